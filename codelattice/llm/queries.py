@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import encode, pack
+from codelattice.llm import credentials, encode, pack
 from codelattice.session import stored, table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "source_files"), "file_id", "source_code").select("file_id", "line").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file with its credentials redacted; repeated rows count once."""
+    return credentials.redact_credentials(table(spark, sf_dir, "source_files"), "file_id", "source_code").dropDuplicates(["file_id"])
+
+
+def p5_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with credentials, and credentials by kind, per repository."""
+    found = credentials.find_credentials(table(spark, sf_dir, "source_files"), "file_id", "source_code")
+    repos = table(spark, sf_dir, "source_files").select("file_id", "repo").distinct()
+    return repos.join(found, "file_id").groupBy("repo", "kind").agg(F.countDistinct("file_id").alias("files"), F.count("*").alias("credentials"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -33,5 +49,5 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
 ORACLES: dict[str, str] = {}
