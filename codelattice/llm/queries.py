@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import credentials, encode, pack
+from codelattice.llm import credentials, docpairs, encode, pack
+from codelattice.llm.syntax import check
 from codelattice.session import stored, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "definitions"))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves: code and documentation."""
+    return docpairs.documented_functions(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "definitions"), with_text=True)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.check_files(table(spark, sf_dir, "source_files"), "file_id", "file_path", "source_code").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, invalid files by cause, and their share, per repository and language."""
+    return check.invalid_rates(table(spark, sf_dir, "source_files"), "file_id", "file_path", "source_code", "repo")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(table(spark, sf_dir, "source_files"), "file_id", "source_code").select("file_id", "line").distinct()
 
@@ -49,5 +68,5 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
 ORACLES: dict[str, str] = {}
