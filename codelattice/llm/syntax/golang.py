@@ -16,9 +16,9 @@ _CODES |= {o + "=": "AUG" for o in ("+", "-", "*", "/", "%", "&", "|", "^", "<<"
 _ENDERS = frozenset(("NAME", "LIT", "STR", "break", "continue", "fallthrough", "return", "INC", ")", "]", "}"))
 
 _LEX = re.compile(
-    r"""(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<raw>`[^`]*`)|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<rune>'(?:[^'\\\n]|\\[^\n]{1,9}?)')"""
+    r"""(?:(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<raw>`[^`]*`)|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<rune>'(?:[^'\\\n]|\\[^\n]{1,9}?)')"""
     r"""|(?P<name>[^\W\d]\w*)|(?P<num>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][+-]?\d[\d_]*)?)i?(?P<glued>\w*))"""
-    r"""|(?P<op>\.\.\.|<<=|>>=|&\^=|:=|<-|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|&\^|[-+*/%&|^!<>=~.,:;()\[\]{}])|(?P<ws>[ \t\r\f]+)|(?P<bad>.)"""
+    r"""|(?P<op>\.\.\.|<<=|>>=|&\^=|:=|<-|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|&\^|[-+*/%&|^!<>=~.,:;()\[\]{}])|(?P<bad>\S))[ \t\r\f]*"""
 )
 
 GRAMMAR = Grammar(
@@ -88,12 +88,10 @@ def outline(text: str) -> Outline:
     lookup, comments = _CODES.get, out.comments
     for m in _LEX.finditer(text):
         g = m.lastgroup
-        if g == "ws":
-            continue
         if g == "name":
-            last = lookup(m.group(), "NAME")
+            last = lookup(m["name"], "NAME")
         elif g == "op":
-            last = _CODES[m.group()]
+            last = _CODES[m["op"]]
         elif g == "nl":
             if last in _ENDERS:
                 codes.append(";")
@@ -101,8 +99,8 @@ def outline(text: str) -> Outline:
                 last = ""
             continue
         elif g == "line" or g == "block":
-            comments.append(m.span())
-            if g == "block" and last in _ENDERS and "\n" in m.group():
+            comments.append(m.span(g))
+            if g == "block" and last in _ENDERS and "\n" in m["block"]:
                 codes.append(";")
                 at.append(m.start())
                 last = ""

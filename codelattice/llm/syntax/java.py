@@ -18,9 +18,9 @@ _CODES |= {o: "BIN" for o in ("/", "%", "|", "^", "||", "==", "!=", "<=", ">=",
 _CODES |= {o + "=": "AUG" for o in ("+", "-", "*", "/", "%", "&", "|", "^", "<<", ">>", ">>>")} | {o: o for o in ("=", ".", ",", ":", ";", "(", ")", "[", "]", "{", "}", "<", ">", "?", "@", "->", "::")}
 
 _LEX = re.compile(
-    r"""(?P<ws>\s+)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[ \t\r\f]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<char>'(?:[^'\\\n]|\\[^\n]{1,6}?)')"""
+    r"""(?:(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[ \t\r\f]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<char>'(?:[^'\\\n]|\\[^\n]{1,6}?)')"""
     r"""|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*(?:\.(?!\.|[A-Za-z_])[\d_]*)?(?:[eE][+-]?\d+)?)[lLfFdD]?(?P<glued>[\w$]*))"""
-    r"""|(?P<op>\.\.\.|>>>=|<<=|>>=|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|[-+*/%&|^!<>=~.,:;?@()\[\]{}])|(?P<bad>.)"""
+    r"""|(?P<op>\.\.\.|>>>=|<<=|>>=|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|[-+*/%&|^!<>=~.,:;?@()\[\]{}])|(?P<bad>\S))\s*"""
 )
 
 GRAMMAR = Grammar(
@@ -103,14 +103,12 @@ def outline(text: str) -> Outline:
     lookup, comments = _CODES.get, out.comments
     for m in _LEX.finditer(text):
         g = m.lastgroup
-        if g == "ws":
-            continue
         if g == "name":
-            codes.append(lookup(m.group(), "NAME"))
+            codes.append(lookup(m["name"], "NAME"))
         elif g == "op":
-            codes.append(_CODES[m.group()])
+            codes.append(_CODES[m["op"]])
         elif g == "line" or g == "block":
-            comments.append(m.span())
+            comments.append(m.span(g))
             continue
         elif g == "num" or g == "glued":
             codes.append("ERR" if m.group("glued") else "LIT")

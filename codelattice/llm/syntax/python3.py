@@ -15,12 +15,12 @@ _CODES |= {o: "BIN" for o in ("/", "//", "%", "<<", ">>", "&", "^", "|")} | {o:
 _CODES |= {o + "=": "AUG" for o in ("+", "-", "*", "/", "//", "%", "@", "&", "|", "^", ">>", "<<", "**")} | {o: o for o in "=.,:;()[]{}"}
 
 _LEX = re.compile(
-    r"""(?P<nl>\n)|(?P<ws>[ \t\f\r]+)|(?P<cm>\#[^\n]*)|(?P<join>\\\r?\n)"""
+    r"""(?:(?P<nl>\n)|(?P<cm>\#[^\n]*)|(?P<join>\\\r?\n)"""
     r"""|(?P<str>(?:[rRbBuUfFtT]{1,2})?(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\"|''')(?:"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')))"""
     r"""|(?P<open>(?:[rRbBuUfFtT]{1,2})?(?:\"\"\"|'''|"|'))"""
     r"""|(?P<name>[^\W\d]\w*)"""
     r"""|(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?P<glued>\w*))"""
-    r"""|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[-+*/%&|^~<>@=.,:;()\[\]{}])|(?P<bad>.)"""
+    r"""|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[-+*/%&|^~<>@=.,:;()\[\]{}])|(?P<bad>\S))[ \t\f\r]*"""
 )
 
 LINES = Grammar(
@@ -246,17 +246,15 @@ def outline(text: str) -> Outline:
     end = 0
     for m in _LEX.finditer(text):
         g = m.lastgroup
-        if g == "ws" or g == "join":
-            continue
         if g == "name":
             if not codes:
                 line_start_of_first = line_start
-            codes.append(lookup(m.group(), "NAME"))
+            codes.append(lookup(m["name"], "NAME"))
             at.append(m.start())
         elif g == "op":
             if not codes:
                 line_start_of_first = line_start
-            o = m.group()
+            o = m["op"]
             if o in "([{":
                 depth += 1
             elif o in ")]}":
@@ -266,27 +264,29 @@ def outline(text: str) -> Outline:
         elif g == "nl":
             if depth == 0:
                 end_line(m.start())
-            line_start = m.end()
+            line_start = m.start() + 1
+        elif g == "join":
+            continue
         elif g == "cm":
-            out.comments.append(m.span())
+            out.comments.append(m.span("cm"))
         else:
             if not codes:
                 line_start_of_first = line_start
             at.append(m.start())
             if g == "str":
                 codes.append("STR")
-                if "\n" in m.group():
-                    line_start = text.rfind("\n", 0, m.end()) + 1
+                if "\n" in m["str"]:
+                    line_start = text.rfind("\n", 0, m.end("str")) + 1
             elif g == "glued" or g == "num":
-                codes.append("ERR" if m.group("glued") or re.match(r"0[0-9_]*[1-9]\d*$", m.group()) else "NUM")
+                codes.append("ERR" if m.group("glued") or re.match(r"0[0-9_]*[1-9]\d*$", m["num"]) else "NUM")
             else:
                 codes.append("ERR")
                 if g == "open":
                     broken = True
                     end = len(text)
-                    if len(m.group().lstrip("rRbBuUfFtT")) == 3:
+                    if len(m["open"].lstrip("rRbBuUfFtT")) == 3:
                         break
-        end = m.end()
+        end = m.end(g)
     out.open_at_end = depth > 0 or (broken and end == len(text))
     if codes:
         end_line(len(text))
