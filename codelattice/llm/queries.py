@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import credentials, docpairs, encode, pack
+from codelattice.llm import credentials, docpairs, encode, pack, pii
 from codelattice.llm.syntax import check
 from codelattice.session import stored, table
 
@@ -68,5 +68,14 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its mentions replaced by typed placeholders."""
+    return pii.redact_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
 ORACLES: dict[str, str] = {}
