@@ -100,7 +100,7 @@ def def_use(statements: DataFrame) -> DataFrame:
 def def_use_stats(statements: DataFrame) -> DataFrame:
     """Per function: variables, definitions, uses, the most of each, and variables undefined or never used."""
     return def_use(statements).groupBy("fqn").agg(
-        F.count("*").alias("variables"), F.sum("defs").alias("total_defs"), F.sum("uses").alias("total_uses"), F.max("defs").alias("max_defs"), F.max("uses").alias("max_uses"), F.count_if("defs = 0").alias("undefined"), F.count_if("uses = 0").alias("dead")
+        F.count("*").alias("variables"), F.sum("defs").alias("total_defs"), F.sum("uses").alias("total_uses"), F.max("defs").alias("max_defs"), F.max("uses").alias("max_uses"), F.count_if(F.col("defs") == 0).alias("undefined"), F.count_if(F.col("uses") == 0).alias("dead")
     )
 
 

@@ -17,8 +17,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FALSE, TRUE = F.lit(False), F.lit(True)
-
 
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.plans import problems
+from codelattice.plans import graph_queries, problems, report_queries, rule_queries
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**graph_queries.QUERIES, **report_queries.QUERIES, **rule_queries.QUERIES, **problems.QUERIES}
+ORACLES = {**graph_queries.ORACLES, **report_queries.ORACLES, **rule_queries.ORACLES, **problems.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, sf_dir)
+    return QUERIES["call_matcher"](spark, sf_dir)

@@ -140,6 +140,9 @@ def compose_rows(text: str) -> Iterator[dict]:
             if prop:
                 yield prop
             key, value = m.group(1).strip("\"'"), m.group(2) or ""
+            if key.startswith("x-"):  # an extension of the format, no property
+                prop = None
+                continue
             prop = {"service": service, "service_line": service_line, "prop_key": key, "kind": "scalar", "scalar": None, "scalar_type": None, "prop_items": None, "line": n}
             prop_indent = indent
             if value.startswith("["):
