@@ -52,7 +52,8 @@ class _Tokens:
                     part = ""
                     continue
             if self.kinds[i] != "nl":
-                part += (" " if part and part[-1].isalnum() and w[:1].isalnum() else "") + w
+                apart = part and (part[-1].isalnum() and w[:1].isalnum() or part.isidentifier() and part != "map" and w in ("*", "[", "..."))
+                part += (" " if apart else "") + w
         return [*out, part.strip()] if part.strip() else out
 
 
@@ -115,7 +116,7 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
             k, receiver = i + 1, ""
             if w[k] == "(":
                 e = t.close(k)
-                receiver = " ".join(t.split(k + 1, e)).rpartition(" ")[2].lstrip("*")
+                receiver = (t.split(k + 1, e) or [""])[0].rpartition(" ")[2].lstrip("*").partition("[")[0]
                 k = e + 1
             name = w[k] if k < n else ""
             fqn = ".".join(x for x in (module, receiver, name) if x)

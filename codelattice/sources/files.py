@@ -42,7 +42,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.replace("file://", "").rstrip("/") + "/"
     rel = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
     got = raw.select(path.alias("file"), rel.alias("rel_path"), language(path).alias("lang"), F.col("content").alias("_c"))
-    return got.where(F.col("lang").isNotNull() & ~skipped(F.col("rel_path"))).select("file", "rel_path", "lang", F.decode("_c", "UTF-8").alias("content"), F.sha2("_c", 256).alias("sha256"))
+    return got.where(F.col("lang").isNotNull() & ~skipped(F.col("rel_path"))).select("file", "rel_path", "lang", F.make_valid_utf8(F.col("_c").cast("string")).alias("content"), F.sha2("_c", 256).alias("sha256"))
 
 
 def table_files(source_files: DataFrame) -> DataFrame:
