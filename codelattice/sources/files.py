@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ SKIPPED_MODULES = (
 )
 
 
+_SOURCE = re.compile(r"(?i)^dockerfile|docker-compose.*\.ya?ml$|\.(?:py|go|java)$|^go\.mod$")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -35,11 +42,53 @@ def skipped(rel_path: Column, names: tuple[str, ...] = SKIPPED, underscored: boo
     return F.exists(dirs, lambda d: d.isin(*plain) | (F.startswith(d, F.lit("_")) if underscored else F.lit(False)) | (F.endswith(d, F.lit(".egg-info")) if "*.egg-info" in names else F.lit(False)))
 
 
+_RAW = "path string, content binary"
+
+
+def _walk(top: str, deep: bool) -> Iterator[str]:
+    """Paths of the files below a directory, without directories that are left out; with ``deep`` false of the directory itself."""
+    for here, dirs, names in os.walk(top):
+        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and not d.startswith("_")) if deep else []
+        yield from (os.path.join(here, n) for n in sorted(names))
+
+
+def _read_tree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for top, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            paths: list[str] = []
+            texts: list[bytes] = []
+            for p in _walk(top, deep):
+                if not _SOURCE.search(os.path.basename(p)):
+                    continue
+                with open(p, "rb") as f:
+                    paths.append(p)
+                    texts.append(f.read())
+                if sum(map(len, texts)) > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], names=["path", "content"])
+                    paths, texts = [], []
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], names=["path", "content"])
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(file, rel_path, lang, content, sha256)`` of a source tree, read in parallel; bytes that aren't UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"%20", " ")
-    base = root.replace("file://", "").rstrip("/") + "/"
+    """``(file, rel_path, lang, content, sha256)`` of a source tree; bytes that aren't UTF-8 become replacement characters.
+
+    A tree on a shared file system is walked by the tasks, two levels of directories being dealt out to them: Spark's own file source
+    hides names that begin with an underscore, such as ``__init__.py``. Trees in object stores are read by that source.
+    """
+    if "://" in root and not root.startswith("file://"):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+        base = root.rstrip("/") + "/"
+    else:
+        top = os.path.abspath(root.removeprefix("file://"))
+        base = top.rstrip("/") + "/"
+        keep = lambda d: d.is_dir() and d.name not in SKIPPED and not d.name.startswith("_")
+        work = [(top, False)]
+        for one in sorted((d for d in os.scandir(top) if keep(d)), key=lambda d: d.name):
+            below = sorted((d.path for d in os.scandir(one.path) if keep(d)))
+            work += [(one.path, False), *((p, True) for p in below)]
+        raw = spark.createDataFrame(work, "top string, deep boolean").repartition(max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_read_tree, _RAW)
+    path = F.col("path")
     rel = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
     got = raw.select(path.alias("file"), rel.alias("rel_path"), language(path).alias("lang"), F.col("content").alias("_c"))
     return got.where(F.col("lang").isNotNull() & ~skipped(F.col("rel_path"))).select("file", "rel_path", "lang", F.make_valid_utf8(F.col("_c").cast("string")).alias("content"), F.sha2("_c", 256).alias("sha256"))
