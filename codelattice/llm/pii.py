@@ -97,7 +97,7 @@ _LOWER_NAMES = re.compile(r"(?<![\w@._+%-])([a-zà-ÿ]{2,}) (?:([a-z])\. )?((?:o
 _TOKEN = re.compile(_CAP)
 
 _CUES = {
-    "phone": re.compile(r"(?i)\b(?:phones?|tel|telephone|telefono|teléfono|téléphone|telefon|call|calls|caller|mobile|mobil|cell|fax|reach|ring|dial|whatsapp|sms|text me|hotline|on-call|joignable|erreichbar|appelez|llame|llamar|anrufen|rufnummer|handy|contact|owner|numéro|ask)\b"),
+    "phone": re.compile(r"(?i)\b(?:phones?|tel|telephone|telefono|teléfono|téléphone|telefon|call|calls|caller|mobile|mobil|cell|fax|reach|ring|dial|whatsapp|sms|text me|hotline|on-call|joignable|erreichbar|appel\w*|llam\w+|anruf\w*|rufnummer|handy|contact|owner|numéro|ask)\b"),
     "id": re.compile(rf"(?i)\b(?:{_ID_CUE}|real record|identity number)\b"),
     "address": re.compile(r"(?i)\b(?:address|adresse|anschrift|dirección|domicile|lives|living|reside\w*|wohn\w+|habite|vive|ship|shipped|deliver\w*|send|mail it|laptop|office|invoice is|street|located|moved to|parcel to|liefer\w+|livr\w+|enviar|envíe|zu hause|home|real record)\b"),
     "number": re.compile(r"(?i)\b(?:tickets?|builds?|orders?|offsets?|pages?|lines?|versions?|release|trace|sha|commit|revision|fixed in|ports?|pid|jobs?|rows?|issues?|cwe|items?|bytes|files?|bug|run|serial|part|sku|invoice no|batch|hops|ms|iterations?|hash|id=|seq|uuid|isbn|account no|rule|at)\b[\s:#=.-]*"),

@@ -42,7 +42,7 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
     file_units: list[str] = []
     i = 0
 
-    def end_unit(frame: list, end: int) -> None:
+    def end_unit(frame: list, end: int, semicolon: bool = False) -> None:
         tokens, offsets = tuple(frame[3]), tuple(frame[4])
         frame[3], frame[4], frame[5] = [], [], 0
         if not tokens:
@@ -58,6 +58,8 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
                 file_units.append(code)
             return
         common = kinds & all_kinds
+        if semicolon:  # what a semicolon ends is no list of elements
+            common -= {"elements"}
         merged = common if frame[1] is None else frame[1] & common
         if not common or not merged:
             faults.append(Fault(offsets[0], end, lang.usual, tokens, offsets))
@@ -92,7 +94,7 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
                 value = "=" in tokens or tokens[0] in ("return", "throw", "yield", "assert", "new") or "new" in tokens or "->" in tokens and tokens[0] != "case" and tokens[0] != "default"
                 if follows == ";" and value:
                     pass
-                elif tokens[0] == "do" and follows == "while":
+                elif follows == "while" and "do" in tokens:
                     pass
                 else:
                     end_unit(up, at[i] + 1)
@@ -104,10 +106,10 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
                 if lang.ends_after_group:
                     frame[3].append(c)
                     frame[4].append(at[i])
-                    if not (i + 1 < n and codes[i + 1] == "else" or frame[3][0] == "do" and i + 1 < n and codes[i + 1] == "while"):
+                    if not (i + 1 < n and codes[i + 1] == "else" or "do" in frame[3] and i + 1 < n and codes[i + 1] == "while"):
                         end_unit(frame, at[i] + 1)
                 else:
-                    end_unit(frame, at[i])
+                    end_unit(frame, at[i], True)
         else:
             if c == "(" or c == "[":
                 frame[5] += 1

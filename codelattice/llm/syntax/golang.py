@@ -58,7 +58,7 @@ GRAMMAR = Grammar(
     element = (item ':')? item
     item = expr | ELEMENTS
     stmt = simple | flow | block | vars | types | NAME ':' stmt?
-    clause = label+ stmt?
+    clause = label+ stmt? | stmt
     label = 'case' caselist ':' | 'default' ':'
     caselist = simple | cases
     cases = (expr | type) (',' (expr | type))*

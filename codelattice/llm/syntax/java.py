@@ -52,7 +52,7 @@ GRAMMAR = Grammar(
     params = param (',' param)*
     param = pmod* type (DOTS? NAME dims | 'this' | NAME '.' 'this')
     pmod = 'final' | annotation
-    enumbody = consts? (',')? ';'?
+    enumbody = consts? (',')? ';'? | member
     consts = const (',' const)*
     const = annotation* NAME ('(' args? ')')? CLASS?
     items = item (',' item)* ','? | ','
@@ -65,7 +65,7 @@ GRAMMAR = Grammar(
     resource = pmod* type NAME '=' expr | prim
     init = pmod* type vars | exprs
     exprs = expr (',' expr)*
-    clause = label+ stmt? | label* ('case' labels guard? | 'default') '->' (BLOCK | expr ';' | 'throw' expr ';')
+    clause = label+ stmt? | stmt | label* ('case' labels guard? | 'default') '->' (BLOCK | expr ';' | 'throw' expr ';')
     label = 'case' labels guard? ':' | 'default' ':'
     labels = labelone (',' labelone)*
     labelone = cond | 'default' | pattern

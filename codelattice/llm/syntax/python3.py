@@ -48,7 +48,7 @@ LINES = Grammar(
     prefix = SIGN | UN | 'not' | 'await'
     binary = BIN | STAR | SIGN | DSTAR | AT | CMP | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or'
     prim = atom | prim '(' args? ')' | prim '[' subs ']' | prim '.' name
-    atom = name | NUM | CONST | STR+ | '(' ')' | '(' stars ')' | '(' yielded ')' | '(' named loops ')' | '[' stars? ']' | '[' named loops ']' | '{' '}' | '{' stars '}' | '{' named loops '}' | '{' pair (',' pair)* ','? '}' | '{' expr ':' expr loops '}'
+    atom = name | NUM | CONST | STR+ | BYTES+ | '(' ')' | '(' stars ')' | '(' yielded ')' | '(' named loops ')' | '[' stars? ']' | '[' named loops ']' | '{' '}' | '{' stars '}' | '{' named loops '}' | '{' pair (',' pair)* ','? '}' | '{' expr ':' expr loops '}'
     pair = expr ':' expr | DSTAR ops
     loops = loop+
     loop = 'async'? 'for' targets 'in' ops ('if' 'lambda'? oneif)*
@@ -80,7 +80,7 @@ LINES = Grammar(
     patterns = pattern (',' pattern)* ','?
     pattern = (STAR name | choice) ('as' name)?
     choice = closed (BIN closed)*
-    closed = SIGN? NUM (SIGN NUM)? | STR+ | CONST | dotted | dotted '(' (casearg (',' casearg)* ','?)? ')' | '(' patterns? ')' | '[' patterns? ']' | '{' (casepair (',' casepair)* ','?)? '}'
+    closed = SIGN? NUM (SIGN NUM)? | STR+ | BYTES+ | CONST | dotted | dotted '(' (casearg (',' casearg)* ','?)? ')' | '(' patterns? ')' | '[' patterns? ']' | '{' (casepair (',' casepair)* ','?)? '}'
     casearg = pattern | name '=' pattern
     casepair = closed ':' pattern | DSTAR name
     h_deco = AT named
@@ -107,6 +107,9 @@ BLOCKS = Grammar(
 )
 
 
+_FORMATTED = re.compile(r"[rR]?[fFtT][rR]?[\"']")  # such strings are expressions, no documentation
+
+
 class _Lines:
     """The kind of a logical line, by the sequence of its tokens."""
 
@@ -214,7 +217,7 @@ def outline(text: str) -> Outline:
             if kinds[-1:] != ["S"]:
                 kinds.append("S")
             if pending:
-                if tokens[0] == "STR" and all(t == "STR" for t in tokens):
+                if all(t == "STR" for t in tokens) and not any(_FORMATTED.match(text, a) for a in at):
                     out.functions[pending[0]] = (*out.functions[pending[0]][:3], text[start:end])
                 pending = []
         else:
@@ -274,7 +277,8 @@ def outline(text: str) -> Outline:
                 line_start_of_first = line_start
             at.append(m.start())
             if g == "str":
-                codes.append("STR")
+                head = m["str"][:2]
+                codes.append("BYTES" if head[0] in "bB" or head[0] in "rR" and head[1] in "bB" else "STR")
                 if "\n" in m["str"]:
                     line_start = text.rfind("\n", 0, m.end("str")) + 1
             elif g == "glued" or g == "num":

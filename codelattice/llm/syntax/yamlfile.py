@@ -119,7 +119,7 @@ def outline(text: str) -> Outline:
         if top and body[0] == "-" and (len(body) == 1 or body[1].isspace()):
             close(column + 0.5)
             top = stack[-1] if stack else None
-            if top and top[0] == column and top[1][-1] in ("KEY", "NODE") and top[1][0] in ("KEY", "KEYED"):
+            if top and (top[0] == column + 0.5 or top[0] == column and top[1][-1] in ("KEY", "NODE") and top[1][0] in ("KEY", "KEYED")):
                 column += 0.5
         elif top and top[0] == column + 0.5:
             close(column)
@@ -193,7 +193,7 @@ def _value(text: str, at: int, column: int, end: int, out: Outline) -> tuple[int
             return end + 1, False
         return _rest(text, m.end(), out), False
     value = re.sub(r"(?:^|\s)#.*", "", text[at:end], flags=re.S)
-    if c in "%@`" or re.search(r":(?:\s|$)", value.rstrip("\r")) or (c in "&*!" and not re.match(r"[&*!]\S+", value)):
+    if c in "%@`]}," or re.search(r":(?:\s|$)", value.rstrip("\r")) or (c in "&*!" and not re.match(r"[&*!]\S+", value)):
         out.faults.append(Fault(at, end, "scalar", ("ERR",)))
     return end + 1, c not in "*&!"
 
