@@ -140,11 +140,15 @@ def tuple_element(value: Column, index: int) -> Column:
     return F.when(is_tuple, clean_value(F.get(F.split(inner, ","), F.lit(index)))).otherwise(whole)
 
 
-def keyword_map(arguments: Column) -> Column:
-    """Keyword arguments by name: every argument that holds ``=``, cut at the first one; the last of a name wins."""
-    pairs = F.transform(F.filter(arguments, lambda a: F.contains(a["value"], F.lit("="))), lambda a: F.struct(F.trim(F.substring_index(a["value"], "=", 1)).alias("k"), F.trim(F.regexp_extract(a["value"], r"(?s)^[^=]*=(.*)$", 1)).alias("v")))
-    keep = F.filter(pairs, lambda p, i: ~F.exists(F.slice(F.transform(pairs, lambda q: q["k"]), i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda k: k == p["k"]))
-    return F.map_from_entries(keep)
+def keyword_value(arguments: Column, name: str) -> Column:
+    """A keyword argument's text: of the arguments that hold ``=``, cut at the first one, the last of that name; null if there is none."""
+    mine = F.filter(arguments, lambda a: F.contains(a["value"], F.lit("=")) & (F.trim(F.substring_index(a["value"], "=", 1)) == name))
+    return F.trim(F.regexp_extract(F.try_element_at(mine, F.lit(-1))["value"], r"(?s)^[^=]*=(.*)$", 1))
+
+
+def _holds(value: Column, c: Constraint, lists: bool, comparators: bool) -> Column:
+    """``value_match`` with the value computed once, however often the test mentions it; null counts as false."""
+    return F.coalesce(F.exists(F.array(value), lambda v: value_match(v, c, lists, comparators)), F.lit(False))
 
 
 def argument_match(arguments: Column, positional: Mapping[str, Constraint] = {}, keyword: Mapping[str, Constraint] = {}, lists: bool = True, comparators: bool = False) -> Column:  # noqa: B006
@@ -158,14 +162,12 @@ def argument_match(arguments: Column, positional: Mapping[str, Constraint] = {},
         actual = F.get(arguments, F.lit(int(m.group(1))))["value"]
         if m.group(2) is not None:
             actual = tuple_element(actual, int(m.group(2)))
-        tests.append(F.coalesce(value_match(actual, c, lists, comparators), F.lit(False)))
-    if keyword:
-        given = keyword_map(arguments)
-        for name, c in keyword.items():
-            if comparators and c.comparator == "missing":
-                tests.append(~F.map_contains_key(given, name))
-            else:
-                tests.append(F.coalesce(value_match(F.try_element_at(given, F.lit(name)), c, lists, comparators), F.lit(False)))
+        tests.append(_holds(actual, c, lists, comparators))
+    for name, c in keyword.items():
+        if comparators and c.comparator == "missing":
+            tests.append(keyword_value(arguments, name).isNull())
+        else:
+            tests.append(_holds(keyword_value(arguments, name), c, lists, comparators))
     return all_of(tests)
 
 
@@ -193,4 +195,5 @@ def attribute_matcher(statements: DataFrame, patterns: Sequence[str]) -> DataFra
 def match_rules(call_sites: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Many rules in one pass: a row for each rule whose condition holds, with its id."""
     ids = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))
-    return call_sites.withColumn("_rules", ids).where(F.size("_rules") > 0).withColumn("rule_id", F.explode("_rules")).drop("_rules")
+    # An outer explode: a plain one would add a filter on the array's size and so compute all conditions twice.
+    return call_sites.withColumn("rule_id", F.explode_outer(ids)).where(F.col("rule_id").isNotNull())
