@@ -1,7 +1,7 @@
 """Dataflow within functions and across calls.
 
 Statements: fqn, seq, line, type, def, uses array, call_target, call_chain, attribute_access, call_args array; '' means absent. What
-needs a function's statements in order runs once a function, as grouped maps over functions that hold both a source and a sink;
+needs a function's statements in order runs once a function, on one array for each function that holds both a source and a sink;
 everything across functions is joins over edges and summaries.
 
 A graph node is a variable at a line (``var@line``): a second definition on a line takes the first one's place.
@@ -9,10 +9,12 @@ A graph node is a variable at a line (``var@line``): a second definition on a li
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import deque
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,13 @@ class DependencyGraph:
 
     def __init__(self, params: Sequence[str] = ()) -> None:
         self.nodes: dict[tuple[str, int], list[bool]] = {}  # (var, line) -> [source, sanitized]
+        self.lines: dict[str, list[int]] = {}  # the lines of each variable's definitions, in order
+        self._parents: dict[tuple[str, int], dict[tuple[str, int], tuple[str, int]]] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.live: dict[str, tuple[str, int]] = {}
         for p in params:
             self.nodes[p, 0] = [False, False]
+            self.lines[p] = [0]
             self.live[p] = (p, 0)
 
     def build(self, statements: Iterable[Mapping], sources: Sequence[str], sanitizers: Sequence[str]) -> None:
@@ -55,6 +60,8 @@ class DependencyGraph:
                 continue
             key = (s["def"], int(s["line"]))
             names = [s[c] or "" for c in ("call_target", "call_chain", "attribute_access")]
+            if key not in self.nodes:
+                insort(self.lines.setdefault(s["def"], []), key[1])
             self.nodes[key] = [any(name_matches(n, sources) for n in names), any(name_matches(n, sanitizers) for n in names)]
             for v in s["uses"]:
                 if v in self.live:
@@ -63,26 +70,28 @@ class DependencyGraph:
 
     def latest(self, var: str, line: int) -> tuple[str, int] | None:
         """The definition of a variable on the greatest line that is not behind ``line``."""
-        found = [k for k in self.nodes if k[0] == var and k[1] <= line]
-        return max(found, key=lambda k: k[1], default=None)
+        lines = self.lines.get(var, ())
+        i = bisect_right(lines, line)
+        return (var, lines[i - 1]) if i else None
 
     def path(self, start: tuple[str, int], end: tuple[str, int]) -> list[tuple[str, int]] | None:
-        """A shortest path, by the order of the edges."""
-        if start == end:
-            return [start]
-        parent, queue = {start: start}, deque([start])
-        while queue:
-            at = queue.popleft()
-            for n in self.edges.get(at, ()):
-                if n not in parent:
-                    parent[n] = at
-                    if n == end:
-                        out = [n]
-                        while out[-1] != start:
-                            out.append(parent[out[-1]])
-                        return out[::-1]
-                    queue.append(n)
-        return None
+        """A shortest path, by the order of the edges. One walk a start serves all its ends."""
+        parent = self._parents.get(start)
+        if parent is None:
+            parent, queue = {start: start}, deque([start])
+            while queue:
+                at = queue.popleft()
+                for n in self.edges.get(at, ()):
+                    if n not in parent:
+                        parent[n] = at
+                        queue.append(n)
+            self._parents[start] = parent
+        if end not in parent:
+            return None
+        out = [end]
+        while out[-1] != start:
+            out.append(parent[out[-1]])
+        return out[::-1]
 
     def clean_path(self, start: tuple[str, int], end: tuple[str, int]) -> list[tuple[str, int]] | None:
         """The shortest path, if no node on it is sanitized; another path is not tried."""
@@ -118,6 +127,25 @@ def vdg_build(statements: DataFrame, sources: Sequence[str], sanitizers: Sequenc
     return marks.groupBy("fqn", "var", "line").agg(F.max("m").alias("m")).select("fqn", "var", "line", F.col("m.a").alias("is_source"), F.col("m.b").alias("is_sanitized"))
 
 
+def _per_function(statements: DataFrame, work: Callable[[str, list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``work`` on the statements of each function in their order; what it yields are rows of ``schema``.
+
+    A function's statements travel as one array; a task streams over many functions without a frame for each.
+    """
+    columns = ("line", "type", "def", "uses", "call_target", "call_chain", "attribute_access", "call_args")
+    rows = statements.groupBy("fqn").agg(F.sort_array(F.collect_list(F.struct("seq", *columns))).alias("rows"))
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [r for fqn, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in work(fqn, rows)]
+            cols = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+    return rows.mapInArrow(run, schema)
+
+
 _FLOW = "fqn string, source_line int, source_var string, sink_line int, sink_call string, sink_var string, path array<string>"
 
 
@@ -130,12 +158,10 @@ def vdg_flows(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str
     hit = lambda p: name_pattern(F.col("call_target"), p) | name_pattern(F.col("call_chain"), p) | name_pattern(F.col("attribute_access"), p)
     both = s.groupBy("fqn").agg(F.bool_or(hit(sources) & (F.col("def") != "")).alias("a"), F.bool_or(hit(sinks)).alias("b")).where("a AND b").select("fqn")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
+    def work(fqn: str, rows: list[dict]) -> Iterator[tuple]:
         g = DependencyGraph()
         g.build(rows, sources, sanitizers)
         starts = sorted((k for k, v in g.nodes.items() if v[0]), key=lambda k: (k[1], k[0]))
-        out = []
         for r in rows:
             if any(name_matches(r[c] or "", sinks) for c in ("call_target", "call_chain", "attribute_access")):
                 for v in r["uses"]:
@@ -143,10 +169,9 @@ def vdg_flows(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str
                     for k in starts if end else ():
                         p = g.clean_path(k, end)
                         if p:
-                            out.append((r["fqn"], k[1], k[0], int(r["line"]), r["call_target"], v, [x[0] for x in p]))
-        return pd.DataFrame(out, columns=["fqn", "source_line", "source_var", "sink_line", "sink_call", "sink_var", "path"])
+                            yield fqn, k[1], k[0], int(r["line"]), r["call_target"], v, [x[0] for x in p]
 
-    return s.join(both, "fqn", "left_semi").groupBy("fqn").applyInPandas(run, _FLOW)
+    return _per_function(s.join(both, "fqn", "left_semi"), work, _FLOW)
 
 
 def flow_reach(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str], max_depth: int = 40) -> DataFrame:
@@ -315,14 +340,13 @@ def intra_taint_forward(statements: DataFrame, sources: Sequence[str], sinks: Se
     """A forward pass over each function's statements: taint with a confidence that fades through calls; (fqn, source_line, sink_line, sink_call, confidence)."""
     s = _stmt_columns(statements)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(fqn: str, rows: list[dict]) -> Iterator[tuple]:
         taint: dict[str, tuple[float, int]] = {}
-        out = []
-        for r in pdf.sort_values("seq").to_dict("records"):
+        for r in rows:
             call = r["call_target"] or ""
             worst = max((taint[v] for v in r["uses"] if v in taint), default=None)
             if worst and call and name_matches(call, sinks):
-                out.append((r["fqn"], worst[1], int(r["line"]), call, worst[0]))
+                yield fqn, worst[1], int(r["line"]), call, worst[0]
             if not r["def"]:
                 continue
             if call and name_matches(call, sources):
@@ -331,9 +355,8 @@ def intra_taint_forward(statements: DataFrame, sources: Sequence[str], sinks: Se
                 taint.pop(r["def"], None)
             else:
                 taint[r["def"]] = (worst[0] * (decay if call else 1.0), worst[1])
-        return pd.DataFrame(out, columns=["fqn", "source_line", "sink_line", "sink_call", "confidence"])
 
-    return s.groupBy("fqn").applyInPandas(run, "fqn string, source_line int, sink_line int, sink_call string, confidence double")
+    return _per_function(s, work, "fqn string, source_line int, sink_line int, sink_call string, confidence double")
 
 
 def inter_taint(local_sources: DataFrame, call_sites: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from codelattice.functions import scalar
 from codelattice.operators import container, reports, symbols, traversal
 from codelattice.operators.logic import container_all_of, container_any_of, container_none_of
 from codelattice.plans import problems, views as v
-from codelattice.session import table
+from codelattice.session import stored, table
 from codelattice.sources import brace_code, container_code, facts, files, python_code, registry, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,7 +266,7 @@ def source_flows(s, d):
     """Dataflow over the parsed functions: what ``read`` and ``get`` give that reaches ``execute`` and logging."""
     from codelattice.operators import dataflow
 
-    st = facts.table_of(_facts(s, d, "python"), "statements").withColumn("fqn", F.concat_ws(":", "file", "fqn"))
+    st = stored(facts.table_of(_facts(s, d, "python"), "statements").withColumn("fqn", F.concat_ws(":", "file", "fqn")), "statements")  # parsed once, read twice
     return dataflow.vdg_flows(st, ["read", "get", "index", "verify", "rank", "load", "collect", "fetch", "sample"], ["execute", "log.info", "log.warning"]).select("fqn", "source_line", "sink_line", "sink_call")
 
 
