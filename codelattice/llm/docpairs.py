@@ -43,7 +43,7 @@ _DIRECTIVE = re.compile(
     re.M,
 )
 _TAGS = re.compile(r"(?:^|(?<=\s)|(?<=>))(?:@(?:param|returns?|throws|exception|see|since|author|version|deprecated|type|rtype|raises?|arg|argument|since|hidden|serial\w*)\b|:(?:param|parameter|arg|argument|key|type|returns?|rtype|raises?|raise|except|yields?|ytype|var|ivar|cvar|meta)\b[^:\n]*:)[\s\S]*")
-_SECTION = re.compile(r"^[ \t]*(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields?|Throws|Keyword Args|Attributes|Other Parameters)[ \t]*(?::[ \t]*$|\n[ \t]*-{3,}[ \t]*$)(?:\n(?:[ \t]*$|[ \t]+\S.*|[ \t]*\w+[ \t]*:.*))*", re.M)
+_SECTION = re.compile(r"^[ \t]*(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields?|Throws|Keyword Args|Attributes|Other Parameters)[ \t]*(?::[ \t]*$|\n[ \t]*[-=]{3,}[ \t]*$)(?:\n(?:[ \t]*$|[ \t]+\S.*|[ \t]*\w+[ \t]*:.*))*", re.M)
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:[a-z]+|#\d+);|\{@inheritDoc\}|\{@\w+|[`*_#=~|{}\[\]<>-]{2,}|^[ \t]*>>>.*$|^[ \t]*\.\.\.(?:[ \t].*)?$", re.M)
 _MISSING = re.compile(
     r"^(?:(?:todo|fixme|xxx|tbd|hack|note)\b[\s:(\w)]*?(?:document\w*|descri\w+|doc|docs|docstrings?|comments?|javadoc|summary)\b.*"
