@@ -403,3 +403,70 @@ def binding_at_line(bindings: DataFrame, uses: DataFrame) -> DataFrame:
     found = asof_latest_def(uses.withColumnRenamed("scope_fqn", "fqn"), bindings.withColumnRenamed("scope_fqn", "fqn")).withColumnRenamed("fqn", "scope_fqn")
     one = bindings.groupBy("scope_fqn", "var", F.col("line").alias("def_line")).agg(F.min("type_fqn").alias("type_fqn"))
     return found.join(one, ["scope_fqn", "var", "def_line"], "left")
+
+
+def _graphs(cfg_edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The control flow graph of each function as one array of edges."""
+    return cfg_edges.groupBy(*keys).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("src", "dst")))).alias("edges"))
+
+
+def dominators(cfg_edges: DataFrame, keys: Sequence[str] = ("file", "fqn")) -> DataFrame:
+    """``(*keys, block, dominators)``: for each block reachable from block 0 the blocks that every path to it passes, itself included."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, blocks, doms = [], [], []
+            for i, edges in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                before: dict[int, list[int]] = {}
+                after: dict[int, list[int]] = {}
+                for e in edges:
+                    before.setdefault(e["dst"], []).append(e["src"])
+                    after.setdefault(e["src"], []).append(e["dst"])
+                order, todo = [0], deque([0])
+                while todo:
+                    for n in after.get(todo.popleft(), ()):
+                        if n not in order:
+                            order.append(n)
+                            todo.append(n)
+                known = {n: set(order) for n in order} | {0: {0}}
+                changed = True
+                while changed:
+                    changed = False
+                    for n in order[1:]:
+                        new = {n} | set.intersection(*(known[p] for p in before[n] if p in known))
+                        if new != known[n]:
+                            known[n], changed = new, True
+                for n in order:
+                    at.append(i)
+                    blocks.append(n)
+                    doms.append(sorted(known[n]))
+            cols = [b.column(k).take(pa.array(at, pa.int32())) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(blocks, pa.int32()), pa.array(doms, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "block", "dominators"])
+
+    return _graphs(cfg_edges, keys).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", block int, dominators array<int>")
+
+
+def all_paths(cfg_edges: DataFrame, keys: Sequence[str] = ("file", "fqn"), most: int = 1000) -> DataFrame:
+    """``(*keys, path)``: the paths without repeated blocks from block 0 to blocks without successors, at most ``most`` a function (their
+    number grows exponentially with the branches; the bound is part of the operator)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths = [], []
+            for i, edges in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                after: dict[int, list[int]] = {}
+                for e in edges:
+                    after.setdefault(e["src"], []).append(e["dst"])
+                stack, found = [[0]], 0
+                while stack and found < most:
+                    p = stack.pop()
+                    nxt = [n for n in after.get(p[-1], ()) if n not in p]
+                    if not after.get(p[-1]):
+                        found += 1
+                        at.append(i)
+                        paths.append(p)
+                    stack += [[*p, n] for n in reversed(nxt)]
+            cols = [b.column(k).take(pa.array(at, pa.int32())) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(paths, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "path"])
+
+    return _graphs(cfg_edges, keys).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", path array<int>")

@@ -93,6 +93,14 @@ def flow_compare(s, d):
     return got.withColumn("recall", reports.ratio(F.col("matched_theirs"), F.col("theirs"), 1.0))
 
 
+@query("SELECT sink_fqn, sink_line, sink_call, source_fqn, source_line FROM (SELECT sink_file AS sink_fqn, sink_line, sink_call, function_fqn AS source_fqn, source_line, row_number() OVER (PARTITION BY sink_file, sink_line, sink_call ORDER BY CASE WHEN detection_scope = 'local' THEN 0 ELSE 1 END, function_fqn NULLS FIRST, source_line NULLS FIRST, tainted_var NULLS FIRST) AS rn FROM findings) WHERE rn = 1")
+def dedup_flow(s, d):
+    from codelattice.operators.logic import dedup_flow
+
+    f = table(s, d, "findings").select(F.col("function_fqn").alias("source_fqn"), "source_line", F.col("tainted_var").alias("source_var"), F.col("sink_file").alias("sink_fqn"), "sink_line", "sink_call", F.col("detection_scope").alias("scope"))
+    return dedup_flow(f).select("sink_fqn", "sink_line", "sink_call", "source_fqn", "source_line")
+
+
 @query("WITH f AS (SELECT DISTINCT finding_id, repo, file_path, line FROM findings WHERE line > 0), s AS (SELECT repo, file_path, min(string_split(replace(source_code, chr(13), ''), chr(10))) AS lines FROM source_files WHERE source_code IS NOT NULL GROUP BY ALL), x AS (SELECT f.finding_id, f.line, s.lines, unnest(range(greatest(f.line - 3, 1), least(f.line + 3, len(s.lines)) + 1)) AS line_no FROM f JOIN s ON f.repo = s.repo AND f.file_path = s.file_path) SELECT finding_id, CAST(line_no AS INT) AS line_no, lines[line_no] AS text, line_no = line AS is_highlight FROM x")
 def snippet_context(s, d):
     return reports.snippet_context(table(s, d, "findings"), table(s, d, "source_files").where("source_code IS NOT NULL"))
@@ -256,11 +264,46 @@ def extract_variables(s, d):
     return facts.table_of(_facts(s, d, "python"), "bindings").groupBy("source", "type_fqn").agg(F.count("*").alias("bindings"), F.max("confidence").alias("confidence"))
 
 
+@query()
+def extract_class_attributes(s, d):
+    a = [facts.table_of(_facts(s, d, lang), "class_attributes").withColumn("lang", F.lit(lang)) for lang in ("python", "go", "java")]
+    return a[0].unionByName(a[1]).unionByName(a[2]).groupBy("lang", "type_fqn").agg(F.count("*").alias("attributes"), F.countDistinct("class_fqn").alias("classes"))
+
+
+@query()
+def infer_return_types(s, d):
+    from codelattice.operators.resolution import merge_return_types
+
+    r = facts.table_of(_facts(s, d, "python"), "returns").withColumn("fqn", F.concat_ws(":", "file", "fqn"))
+    return merge_return_types(r).groupBy("type_fqn").agg(F.count("*").alias("functions"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query()
+def index_functions(s, d):
+    """Functions and their annotated parameters by kind."""
+    n = facts.table_of(_facts(s, d, "python"), "nodes").where(F.col("type").isin("function_definition", "method", "constructor", "property", "special_method", "parameter"))
+    return n.groupBy("type").agg(F.count("*").alias("symbols"), F.countDistinct("file", "fqn").alias("names"), F.sum(F.size("params")).alias("params"))
+
+
 @query()
 def build_cfg(s, d):
     return facts.table_of(_facts(s, d, "python"), "cfg_edges").groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("file", "fqn").alias("functions"))
 
 
+@query()
+def dominators(s, d):
+    from codelattice.operators import dataflow
+
+    return dataflow.dominators(facts.table_of(_facts(s, d, "python"), "cfg_edges")).groupBy(F.size("dominators").alias("depth")).agg(F.count("*").alias("blocks"))
+
+
+@query()
+def all_paths(s, d):
+    from codelattice.operators import dataflow
+
+    return dataflow.all_paths(facts.table_of(_facts(s, d, "python"), "cfg_edges")).groupBy("file", "fqn").agg(F.count("*").alias("paths"), F.max(F.size("path")).alias("longest"))
+
+
 @query()
 def source_flows(s, d):
     """Dataflow over the parsed functions: what ``read`` and ``get`` give that reaches ``execute`` and logging."""

@@ -121,3 +121,11 @@ def test_lookups():
     s.advance("parse", 0.4)
     s.finish()
     assert s.state == "ready" and s.progress == 1.0
+
+
+def test_dominators_and_paths(spark):
+    e = spark.createDataFrame([("f", "m", a, b) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3), (3, 5), (9, 3))], "file string, fqn string, src int, dst int")
+    got = {r.block: r.dominators for r in dataflow.dominators(e).collect()}
+    assert got == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 3], 4: [0, 3, 4], 5: [0, 3, 5]}
+    assert sorted(list(r.path) for r in dataflow.all_paths(e).collect()) == [[0, 1, 3, 5], [0, 2, 3, 5]]
+    assert dataflow.all_paths(e, most=1).count() == 1 and dataflow.dominators(e.limit(0)).count() == 0

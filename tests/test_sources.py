@@ -147,3 +147,21 @@ def test_exports(spark, tmp_path):
     assert got == [(1, 2, "b", False), (1, 3, "c", True), (1, 4, "d", False), (2, 4, "d", False), (2, 5, "e", True)]
     page, info = reports.paginate(f, ["finding_id"], 1)
     assert [r.finding_id for r in page.collect()] == [1] and info["has_more"] and reports.read_cursor(info["next_cursor"]) == 1 and reports.read_cursor("junk") == 0
+
+
+def test_changed_files(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text("1")
+    (tmp_path / "b.py").write_text("1")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    git("checkout", "-qb", "work")
+    (tmp_path / "b.py").write_text("2")
+    (tmp_path / "c.py").write_text("1")
+    (tmp_path / "a.py").unlink()
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    assert sorted(r.path for r in files.changed_files(spark, str(tmp_path), "main").collect()) == ["b.py", "c.py"]
