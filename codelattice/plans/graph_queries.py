@@ -218,9 +218,9 @@ def join_call_function(s, d):
     return joins.join_call_function(c, v.functions(s, d).where("line % 2 = 0")).select("caller_fqn", "seq", "target_line")
 
 
-@query(_ST + "SELECT DISTINCT fqn FROM fx_statements WHERE call_target = 'signup' AND line < 12 INTERSECT SELECT fqn FROM fx_statements WHERE call_target = 'purchase' AND line < 12")
+@query(_ST + "SELECT DISTINCT fqn FROM fx_statements WHERE call_target = 'signup' INTERSECT SELECT fqn FROM fx_statements WHERE call_target = 'purchase'")
 def join_sources_sinks(s, d):
-    st = v.statements(s, d).where("line < 12")
+    st = v.statements(s, d)
     return joins.join_sources_sinks(st.where("call_target = 'signup'"), st.where("call_target = 'purchase'"))
 
 
@@ -378,11 +378,7 @@ def vdg_build(s, d):
     return dataflow.vdg_build(v.statements(s, d), SOURCES, SANITIZERS)
 
 
-def _early(s, d) -> DataFrame:
-    return v.statements(s, d).where("line <= 30")
-
-
-_FLOW = _ST + """, st AS (SELECT * FROM fx_statements WHERE line <= 30), e AS (SELECT u.fqn, max(x.seq) AS a, u.seq AS b FROM st u JOIN st x ON x.fqn = u.fqn AND x.def = u.use_var AND x.seq < u.seq GROUP BY u.fqn, u.seq),
+_FLOW = _ST + """, st AS (SELECT * FROM fx_statements), e AS (SELECT u.fqn, max(x.seq) AS a, u.seq AS b FROM st u JOIN st x ON x.fqn = u.fqn AND x.def = u.use_var AND x.seq < u.seq GROUP BY u.fqn, u.seq),
 r(fqn, root, node) AS (SELECT fqn, seq, seq FROM st WHERE call_target = 'signup' UNION SELECT r.fqn, r.root, e.b FROM r JOIN e ON e.fqn = r.fqn AND e.a = r.node),
 k AS (SELECT s.fqn, s.line AS sink_line, s.use_var AS sink_var, max(x.line) AS def_line FROM st s JOIN st x ON x.fqn = s.fqn AND x.def = s.use_var AND x.line <= s.line WHERE s.call_target = 'purchase' GROUP BY ALL)
 SELECT DISTINCT r.fqn, r.root AS source_line, k.sink_line, k.sink_var FROM r JOIN k ON k.fqn = r.fqn AND k.def_line = r.node"""
@@ -390,17 +386,17 @@ SELECT DISTINCT r.fqn, r.root AS source_line, k.sink_line, k.sink_var FROM r JOI
 
 @query(_FLOW)
 def vdg_flows(s, d):
-    return dataflow.vdg_flows(_early(s, d), SOURCES, SINKS).select("fqn", "source_line", "sink_line", "sink_var").distinct()
+    return dataflow.vdg_flows(v.statements(s, d), SOURCES, SINKS).select("fqn", "source_line", "sink_line", "sink_var").distinct()
 
 
 @query(_FLOW)
 def flow_reach(s, d):
-    return dataflow.flow_reach(_early(s, d), SOURCES, SINKS)
+    return dataflow.flow_reach(v.statements(s, d), SOURCES, SINKS, max_depth=10_000)
 
 
 @query()
 def vdg_flows_sanitized(s, d):
-    return dataflow.vdg_flows(_early(s, d), SOURCES, SINKS, SANITIZERS).select("fqn", "source_line", "sink_line", "sink_var", F.size("path").alias("steps"))
+    return dataflow.vdg_flows(v.statements(s, d), SOURCES, SINKS, SANITIZERS).select("fqn", "source_line", "sink_line", "sink_var", F.size("path").alias("steps"))
 
 
 @query()
@@ -416,18 +412,18 @@ def target_patterns(s, d):
     return dataflow.target_patterns(matching.call_matcher(v.call_sites(s, d), ["promo.*"]))
 
 
-@query(_CS + ", f AS (SELECT DISTINCT caller_fqn AS fqn, line AS sink_line, 'v3' AS sink_var FROM fx_call_sites WHERE line <= 2) SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM fx_call_sites c WHERE c.caller_fqn = f.fqn AND c.line = f.sink_line AND c.arg2 = 'v3')")
+@query(_CS + ", f AS (SELECT DISTINCT caller_fqn AS fqn, line AS sink_line, 'v3' AS sink_var FROM fx_call_sites) SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM fx_call_sites c WHERE c.caller_fqn = f.fqn AND c.line = f.sink_line AND c.arg2 = 'v3')")
 def tracked_params(s, d):
     c = v.call_sites(s, d)
-    flows = c.where("line <= 2").select(F.col("caller_fqn").alias("fqn"), F.col("line").alias("sink_line"), F.lit("v3").alias("sink_var")).distinct()
+    flows = c.select(F.col("caller_fqn").alias("fqn"), F.col("line").alias("sink_line"), F.lit("v3").alias("sink_var")).distinct()
     return dataflow.tracked_params(flows, c, indices=(2,))
 
 
 def _program(s, d):
     """Statements with returns, parameters and calls between functions, from the events."""
-    st = v.statements(s, d).where("line <= 12 AND user_id < 60")
-    kind = F.when(F.col("line") == 12, "return").otherwise("assignment")
-    call = F.when((F.col("line") == 6) & (F.col("user_id") > 1), F.concat(F.lit("svc.u"), F.floor(F.col("user_id") / 2).cast("string"))).otherwise(F.col("call_target"))
+    st = v.statements(s, d)
+    kind = F.when(F.col("line") % 12 == 0, "return").otherwise("assignment")
+    call = F.when((F.col("line") % 12 == 6) & (F.col("user_id") > 1), F.concat(F.lit("svc.u"), F.floor(F.col("user_id") / 2).cast("string"))).otherwise(F.col("call_target"))
     st = st.withColumns({"type": kind, "call_target": call, "call_chain": F.lit(""), "attribute_access": F.lit(""), "call_args": F.col("uses")})
     params = st.select("fqn").distinct().withColumn("names", F.array(F.lit("v0"), F.lit("v1")))
     edges = st.where(F.startswith("call_target", F.lit("svc."))).select(F.col("fqn").alias("caller"), F.col("call_target").alias("callee")).distinct()
@@ -457,7 +453,7 @@ def flows_global(s, d):
 
 @query()
 def intra_taint_forward(s, d):
-    return dataflow.intra_taint_forward(_early(s, d), SOURCES, SINKS, SANITIZERS)
+    return dataflow.intra_taint_forward(v.statements(s, d), SOURCES, SINKS, SANITIZERS)
 
 
 @query(_CS + ", src AS (SELECT DISTINCT caller_fqn AS fqn, arg2 AS var, 1 AS line FROM fx_call_sites WHERE arg0 = '1') SELECT DISTINCT c.caller_fqn AS fqn, c.line, c.target_fqn, c.arg2 AS var, 0.9 AS confidence FROM fx_call_sites c JOIN src ON src.fqn = c.caller_fqn AND src.var = c.arg2 WHERE c.target_fqn = 'lib.promo.hot_rod'")

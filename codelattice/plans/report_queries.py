@@ -240,12 +240,9 @@ def scan_java(s, d):
     return _counts(s, d, "java")
 
 
-@query(f"WITH {_FILES} SELECT file, alias, fqn, level FROM (SELECT file, regexp_extract(l, '^import (\\w+)$', 1) AS alias, regexp_extract(l, '^import (\\w+)$', 1) AS fqn, 0 AS level FROM (SELECT file, unnest(string_split(replace(content, chr(13), ''), chr(10))) AS l FROM files WHERE ends_with(rel_path, '.py') AND file IN (SELECT file FROM files WHERE regexp_matches(content, '^import os\\nimport logging\\nfrom \\w+ import \\w+\\n\\nlog = logging.getLogger\\(__name__\\)\\n\\w+ = \\d+\\n$'))) WHERE regexp_matches(l, '^import (\\w+)$') UNION ALL SELECT file, regexp_extract(l, '^from (\\w+) import (\\w+)$', 2), regexp_extract(l, '^from (\\w+) import (\\w+)$', 1) || '.' || regexp_extract(l, '^from (\\w+) import (\\w+)$', 2), 0 FROM (SELECT file, unnest(string_split(content, chr(10))) AS l FROM files WHERE ends_with(rel_path, '.py') AND regexp_matches(content, '^import os\\nimport logging\\nfrom \\w+ import \\w+\\n\\nlog = logging.getLogger\\(__name__\\)\\n\\w+ = \\d+\\n$')) WHERE regexp_matches(l, '^from (\\w+) import (\\w+)$'))")
+@query()
 def extract_imports(s, d):
-    """Of the files that consist of a plain head only, for which a pattern can tell the imports."""
-    f = _files(s, d).where((F.col("lang") == "python") & F.col("content").rlike(r"^import os\nimport logging\nfrom \w+ import \w+\n\nlog = logging.getLogger\(__name__\)\n\w+ = \d+\n$"))
-    got = facts.parsed(f.withColumn("module", scalar.module_path(F.col("rel_path"))), python_code.extract)
-    return facts.table_of(got, "imports").select("file", "alias", "fqn", "level")
+    return facts.table_of(_facts(s, d, "python"), "imports").select("file", "alias", "fqn", "level")
 
 
 @query()

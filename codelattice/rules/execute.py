@@ -22,6 +22,8 @@ from codelattice.operators.matching import Constraint
 from codelattice.rules import api
 
 FINDING = ("rule_id", "fqn", "source_line", "source_column", "sink_line", "sink_column", "sink_call", "confidence", "match_method")
+#: Names that a flow's wildcard may stand for; more are refused, none are dropped.
+MOST_TARGETS = 10_000
 _SPEC = re.compile(r"^[A-Z]+(?:-[A-Z]+)*-\d+[a-z]?$")
 
 
@@ -166,7 +168,10 @@ def _patterns(ms: Sequence[Mapping[str, Any]], matched: DataFrame) -> list[str]:
     fixed = [x for m in ms for x in m.get("patterns") or m.get("methodNames") or [] if "*" not in x]
     wild = any("*" in x for m in ms for x in m.get("patterns") or [])
     if wild:
-        fixed += [r[0] for r in dataflow.target_patterns(matched, widen=False).limit(10_000).collect()]
+        found = [r[0] for r in dataflow.target_patterns(matched, widen=False).limit(MOST_TARGETS + 1).collect()]
+        if len(found) > MOST_TARGETS:
+            raise ValueError(f"a flow's pattern matches more than {MOST_TARGETS} names; narrow it")
+        fixed += found
     return sorted({*fixed, *(x.rpartition(".")[2] for x in fixed)})
 
 
