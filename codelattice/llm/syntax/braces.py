@@ -45,6 +45,7 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
     def end_unit(frame: list, end: int, semicolon: bool = False) -> None:
         tokens, offsets = tuple(frame[3]), tuple(frame[4])
         frame[3], frame[4], frame[5] = [], [], 0
+        frame[6].clear()
         if not tokens:
             return
         out.units += 1
@@ -67,11 +68,19 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
         else:
             frame[1] = merged
 
+    special = frozenset("{};()[]")
+    frame = frames[-1]
+    add, add_at = frame[3].append, frame[4].append
     while i < n:
         c = codes[i]
-        frame = frames[-1]
+        if c not in special:
+            add(c)
+            add_at(at[i])
+            i += 1
+            continue
         if c == "{":
-            frames.append([at[i], None, False, [], [], 0, []])
+            frame = [at[i], None, False, [], [], 0, []]
+            frames.append(frame)
         elif c == "}":
             if len(frames) == 1:
                 faults.append(Fault(at[i], at[i] + 1, "unmatched"))
@@ -80,14 +89,14 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
             if frame[5]:
                 faults.append(Fault(frame[6][-1] if frame[6] else at[i], at[i], "unclosed"))
             end_unit(frame, at[i])
-            frames.pop()
-            kinds = all_kinds if frame[1] is None else frame[1]
-            token = every if frame[2] else "group:" + "+".join(sorted(g for g, k in lang.groups if k in kinds))
+            group = frames.pop()
+            kinds = all_kinds if group[1] is None else group[1]
+            token = every if group[2] else "group:" + "+".join(sorted(g for g, k in lang.groups if k in kinds))
             if token not in lang.grammar._sets:
                 lang.grammar.means(token, token[6:].split("+"))
-            up = frames[-1]
+            frame = up = frames[-1]
             up[3].append(token)
-            up[4].append(frame[0])
+            up[4].append(group[0])
             follows = codes[i + 1] if i + 1 < n else ""
             if lang.ends_after_group and up[5] == 0 and follows not in lang.continues:
                 tokens = up[3]
@@ -119,6 +128,7 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
                 frame[6].pop()
             frame[3].append(c)
             frame[4].append(at[i])
+        add, add_at = frame[3].append, frame[4].append
         i += 1
     while len(frames) > 1:
         out.open_at_end = True

@@ -85,17 +85,17 @@ def outline(text: str) -> Outline:
     codes: list[str] = []
     at: list[int] = []
     last = ""
-    lookup, comments = _CODES.get, out.comments
+    lookup, comments, add, add_at, symbols = _CODES.get, out.comments, codes.append, at.append, _CODES
     for m in _LEX.finditer(text):
         g = m.lastgroup
         if g == "name":
             last = lookup(m["name"], "NAME")
         elif g == "op":
-            last = _CODES[m["op"]]
+            last = symbols[m["op"]]
         elif g == "nl":
             if last in _ENDERS:
-                codes.append(";")
-                at.append(m.start())
+                add(";")
+                add_at(m.start())
                 last = ""
             continue
         elif g == "line" or g == "block":
@@ -113,8 +113,8 @@ def outline(text: str) -> Outline:
             last = "ERR" if m.group("glued") else "LIT"
         else:
             last = "ERR"
-        codes.append(last)
-        at.append(m.start())
+        add(last)
+        add_at(m.start())
     if last in _ENDERS:
         codes.append(";")
         at.append(len(text))

@@ -100,13 +100,13 @@ def outline(text: str) -> Outline:
     out = Outline()
     codes: list[str] = []
     at: list[int] = []
-    lookup, comments = _CODES.get, out.comments
+    lookup, comments, add, add_at, symbols = _CODES.get, out.comments, codes.append, at.append, _CODES
     for m in _LEX.finditer(text):
         g = m.lastgroup
         if g == "name":
-            codes.append(lookup(m["name"], "NAME"))
+            add(lookup(m["name"], "NAME"))
         elif g == "op":
-            codes.append(_CODES[m["op"]])
+            add(symbols[m["op"]])
         elif g == "line" or g == "block":
             comments.append(m.span(g))
             continue
@@ -115,8 +115,8 @@ def outline(text: str) -> Outline:
         elif g == "bad":
             codes.append("ERR")
         else:
-            codes.append("LIT")
-        at.append(m.start())
+            add("LIT")
+        add_at(m.start())
     _methods(text, codes, at, out)
     parse(text, codes, at, LANGUAGE, out)
     return out

@@ -188,7 +188,7 @@ def outline(text: str) -> Outline:
         return stack[-1][0] == upto
 
     def end_line(end: int) -> None:
-        nonlocal codes, at, last_kind, last_end, deco_at, pending
+        nonlocal last_kind, last_end, deco_at, pending
         if not codes:
             return
         start = at[0]
@@ -243,17 +243,19 @@ def outline(text: str) -> Outline:
         else:
             deco_at = -1
         last_kind, last_end = kind, end
-        codes, at = [], []
+        codes.clear()
+        at.clear()
 
     line_start_of_first = 0
     end = 0
+    add, add_at, symbols = codes.append, at.append, _CODES
     for m in _LEX.finditer(text):
         g = m.lastgroup
         if g == "name":
             if not codes:
                 line_start_of_first = line_start
-            codes.append(lookup(m["name"], "NAME"))
-            at.append(m.start())
+            add(lookup(m["name"], "NAME"))
+            add_at(m.start())
         elif g == "op":
             if not codes:
                 line_start_of_first = line_start
@@ -262,8 +264,8 @@ def outline(text: str) -> Outline:
                 depth += 1
             elif o in ")]}":
                 depth = max(0, depth - 1)
-            codes.append("ELLIPSIS" if o == "..." and codes and codes[0] == "from" and "import" not in codes else _CODES[o])
-            at.append(m.start())
+            add("ELLIPSIS" if o == "..." and codes and codes[0] == "from" and "import" not in codes else symbols[o])
+            add_at(m.start())
         elif g == "nl":
             if depth == 0:
                 end_line(m.start())
