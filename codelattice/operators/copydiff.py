@@ -112,7 +112,7 @@ def _unequal(left: pa.Array, right: pa.Array, same: Callable | None) -> np.ndarr
     return raw
 
 
-def _merge(fields: Sequence[tuple[str, Callable | None]], missing: tuple[str, str], values: bool, key_type: pa.DataType) -> Callable:
+def _merge(fields: Sequence[tuple[str, Callable | None]], missing: tuple[str, str], values: bool) -> Callable:
     """A pass over one sorted range: the run of a key on the left and that on the right meet, or one of them stands alone."""
 
     def report(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -196,5 +196,5 @@ def diff_copies(
     ranges = ranges.sortWithinPartitions("key", "side", *(F.col(c).desc_nulls_last() for c in order))
     out = [T.StructField("key", both.schema["key"].dataType), T.StructField("difference", T.StringType())]
     out += [T.StructField(c, T.StringType()) for c in ("left_value", "right_value")] * values
-    merge = _merge([(f.name, f.same) for f in fields], missing, values, None)
+    merge = _merge([(f.name, f.same) for f in fields], missing, values)
     return ranges.mapInArrow(merge, T.StructType(out)).withColumnRenamed("key", key)

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.operators.matching import name_pattern
@@ -391,9 +391,9 @@ def pattern_registry(call_sites: DataFrame, edges: DataFrame, kind: str, sources
 
 
 def live_bindings(bindings: DataFrame) -> DataFrame:
-    """The last binding of each variable in its scope: (scope_fqn, var, type_fqn, line)."""
-    w = Window.partitionBy("scope_fqn", "var").orderBy(F.col("line").desc(), "type_fqn")
-    return bindings.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("scope_fqn", "var", "type_fqn", "line")
+    """The last binding of each variable in its scope, of several on a line the least type: (scope_fqn, var, type_fqn, line)."""
+    last = F.min_by(F.struct("type_fqn", "line"), F.struct(F.coalesce(-F.col("line"), F.lit(1)).alias("l"), "type_fqn"))
+    return bindings.groupBy("scope_fqn", "var").agg(last.alias("_b")).select("scope_fqn", "var", "_b.type_fqn", "_b.line")
 
 
 def binding_at_line(bindings: DataFrame, uses: DataFrame) -> DataFrame:

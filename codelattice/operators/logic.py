@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PLACE = ("fqn", "source_line", "source_column", "sink_line", "sink_column")
@@ -81,6 +81,11 @@ def function_index_delta(current: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def dedup_flow(flows: DataFrame) -> DataFrame:
-    """One flow for each sink (fqn, line, call): local before global, then by the source's name, line and column."""
-    w = Window.partitionBy("sink_fqn", "sink_line", "sink_call").orderBy(F.when(F.col("scope") == "local", 0).otherwise(1), "source_fqn", "source_line", "source_var")
-    return flows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One flow for each sink (fqn, line, call): local before global, then by the source's name, line and variable.
+
+    An aggregation, not a window: a sink that holds a large share of all flows is combined before the shuffle.
+    """
+    keys = ("sink_fqn", "sink_line", "sink_call")
+    rest = [c for c in flows.columns if c not in keys]
+    order = F.struct(F.when(F.col("scope") == "local", 0).otherwise(1).alias("_rank"), "source_fqn", "source_line", "source_var")
+    return flows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_f")).select(*keys, "_f.*").select(*flows.columns)

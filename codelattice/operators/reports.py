@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.scalar import normalize_severity, severity_rank
@@ -126,6 +126,7 @@ def read_cursor(cursor: str | None) -> int:
 
 
 def latest(rows: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """The row of the greatest ``by`` for each key."""
-    w = Window.partitionBy(*key).orderBy(*(F.col(c).desc_nulls_last() for c in by))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The row of the greatest ``by`` for each key, nulls least; of equals the greatest of the other columns. Combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    order = [*by, *(c for c in rest if c not in by)]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*").select(*rows.columns)
