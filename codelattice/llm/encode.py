@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - reached as pa.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,14 +289,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slices(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text: ids take several times the room of their text while they are Python objects."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held + n > most and i > start:
+            yield b.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield b.slice(start)
+
+
 def _ids_of(path: str, lengths_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            ids = [enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            out = pa.array([len(x) for x in ids], pa.int64()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
-            keys = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keys, out], names=[*b.schema.names[:-1], "n_tokens" if lengths_only else "ids"])
+        for whole in batches:
+            for b in _slices(whole, whole.num_columns - 1):
+                ids = [enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+                out = pa.array([len(x) for x in ids], pa.int64()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
+                keys = [b.column(i) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*keys, out], names=[*b.schema.names[:-1], "n_tokens" if lengths_only else "ids"])
 
     return run
 
