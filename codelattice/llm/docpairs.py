@@ -83,6 +83,13 @@ def _name_stems(name: str) -> set[str]:
     return {_stem(w) for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\da-zA-Z_]+", name)}
 
 
+# What a text must hold for the patterns above to find anything.
+_DIRECTIVE_SIGNS = (":", "noqa", "nolint", "+build", "noinspection", "NOSONAR", "NOPMD", "pragma", "eslint-", "@SuppressWarnings", "coding=", "export ")
+_SECTION_SIGNS = ("Args", "Arguments", "Param", "Return", "Raises", "Yield", "Throws", "Attributes")
+_MARKUP_SIGNS = tuple("<&{}[]*_#=~|>`-") + ("...",)
+_CODE_SIGN = re.compile(r"[=;{}()]|\breturn\b")
+
+
 def description(raw: str | None, names: str = "") -> str:
     """The documentation without comment marks, markup, directives, and lists of parameters and results.
 
@@ -90,34 +97,41 @@ def description(raw: str | None, names: str = "") -> str:
     """
     if not raw:
         return ""
-    s = raw.replace("\r", "")
+    s = raw.replace("\r", "") if "\r" in raw else raw
+    # Each pattern runs only on texts that hold one of its signs.
     if s.lstrip()[:1] in "\"'rRbBuUfF":
         s = _STRING.sub("", s)
-    s = _MARKS.sub("", s)
-    s = _DIRECTIVE.sub(" ", s)
-    s = _SECTION.sub(" ", s)
-    s = re.sub(r"\{@(?:link|linkplain|code|literal|value)\s+([^{}]*)\}", r"\1", s)
-    s = _TAGS.sub(" ", s)
-    if ":" in s and names:
+    if "*" in s or "/" in s or "#" in s:
+        s = _MARKS.sub("", s)
+    if any(x in s for x in _DIRECTIVE_SIGNS):
+        s = _DIRECTIVE.sub(" ", s)
+    if "\n" in s and any(x in s for x in _SECTION_SIGNS):
+        s = _SECTION.sub(" ", s)
+    if "{@" in s:
+        s = re.sub(r"\{@(?:link|linkplain|code|literal|value)\s+([^{}]*)\}", r"\1", s)
+    if "@" in s or ":" in s:
+        s = _TAGS.sub(" ", s)
+    if names and ":" in s:
         ids = set(re.findall(r"[^\W\d]\w*", names))
         s = re.sub(r"(?:^|(?<=\s)|(?<=>))([^\W\d]\w*)\s*:[ \t]*\S+", lambda m: " " if m.group(1) in ids else m.group(), s)
-    return _MARKUP.sub(" ", s)
+    return _MARKUP.sub(" ", s) if any(x in s for x in _MARKUP_SIGNS) else s
 
 
 def is_trivial(raw: str | None, name: str = "", signature: str = "") -> bool:
     s = description(raw, signature)
     words = _WORD.findall(s)
-    if len(words) + len(_CJK.findall(s)) // 2 < LEAST_WORDS:
+    n = len(words)
+    if n < LEAST_WORDS and n + len(_CJK.findall(s)) // 2 < LEAST_WORDS:
         return True
-    if _MISSING.match(s.strip(" \t\n.:-!")) and len(words) <= 14:
+    if n <= 14 and _MISSING.match(s.strip(" \t\n.:-!")):
         return True
-    if len(words) <= 16:
+    if n <= 16:
         left = {_stem(w) for w in words if w.lower() not in _FILLERS}
         if left <= _name_stems(name):
             return True
-    if re.search(r"[=;{}()]|\breturn\b", s):
-        rest = _WORD.findall(_CODE.sub(" ", s))
-        if len(rest) < LEAST_WORDS and len(rest) < len(words):
+    if _CODE_SIGN.search(s):
+        rest = len(_WORD.findall(_CODE.sub(" ", s)))
+        if rest < LEAST_WORDS and rest < n:
             return True
     return False
 
