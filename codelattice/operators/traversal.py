@@ -1,8 +1,8 @@
 """Callers, callees, reachability and paths over edge tables.
 
 Closures grow by rounds: the frontier is joined to the edges, what is new is kept. Every few rounds the state is written to the
-shared folder (a reliable checkpoint), which keeps plans short and survives lost executors. Rounds end when nothing is new or at
-the depth bound; a round's size is checked with a count, nothing else reaches the driver.
+shared folder (a reliable checkpoint), which keeps plans short and survives lost executors. Rounds end when nothing is new; a
+depth bound holds only where the caller gives one. A round's size is checked with a count, nothing else reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from codelattice.session import cut
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(root, node, depth)``: what each root reaches over ``edges`` (src, dst), itself at depth 0, with the least depth."""
     e = edges.select("src", "dst").distinct()
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier, depth = seen, 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -31,12 +31,12 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFram
     return seen
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, depth)``: what the start nodes reach, themselves included."""
     e = edges.select("src", "dst").distinct()
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier, depth = seen, 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -59,12 +59,12 @@ def reachable_sql(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
     )
 
 
-def transitive_callers(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
+def transitive_callers(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, depth)``: all that reach the start nodes."""
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, max_depth)
 
 
-def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
+def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(src, dst, path)``: the shortest path of each pair, of several the one that comes first by its nodes; pairs without one are left out.
 
     Paths grow only from the pairs' sources, one node a round, one path for each (source, node).
@@ -72,7 +72,7 @@ def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 20) -> DataFr
     e = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
     front = pairs.select(F.col("src").alias("root")).distinct().withColumns({"node": F.col("root"), "path": F.array("root")})
     seen, depth = front, 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(e, F.col("node") == F.col("_a")).select("root", F.col("_b").alias("node"), F.concat("path", F.array("_b")).alias("path"))
         step = step.groupBy("root", "node").agg(F.min("path").alias("path"))

@@ -338,6 +338,32 @@ def traverse(s, d):
     return traversal.traverse(e, "40", "both", 3).select(F.col("node").cast("bigint").alias("node"), "depth", "direction")
 
 
+_FAR = "SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 100 = 0"
+
+
+def _hundreds(s, d):
+    return s.read.parquet(f"{d}/part.parquet").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node")).distinct()
+
+
+@query(_ED + f", r(node, depth) AS ({_FAR} UNION SELECT e.dst, r.depth + 1 FROM r JOIN fx_edges e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def reachable_all(s, d):
+    """The closure to its end, from start nodes all over the graph."""
+    return traversal.reachable(v.edges(s, d), _hundreds(s, d))
+
+
+@query(_ED + ", r(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT e.src, r.depth + 1 FROM r JOIN fx_edges e ON e.dst = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def transitive_callers_all(s, d):
+    """All that reach the node, however far."""
+    return traversal.transitive_callers(v.edges(s, d), s.createDataFrame([(3,)], "node bigint"))
+
+
+@query()
+def find_path_all(s, d):
+    """Shortest paths of any length, from start nodes all over the graph to its low nodes."""
+    pairs = _hundreds(s, d).select(F.col("node").alias("src")).crossJoin(s.createDataFrame([(x,) for x in (1, 2, 5, 9)], "dst bigint"))
+    return traversal.find_path(v.edges(s, d), pairs).select("src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query(_CF + "SELECT f.fqn AS caller, f.file, m.line AS call_line, m.col AS call_column FROM (SELECT DISTINCT caller_fqn FROM fx_call_sites WHERE target_fqn = 'lib.promo.hot_rod') c JOIN fx_functions f ON f.fqn = c.caller_fqn LEFT JOIN (SELECT caller_fqn, line, col FROM (SELECT caller_fqn, line, col, row_number() OVER (PARTITION BY caller_fqn ORDER BY line, col) AS rn FROM fx_call_sites WHERE target_fqn = 'lib.promo.hot_rod' OR target = 'hot_rod') WHERE rn = 1) m ON m.caller_fqn = c.caller_fqn")
 def callers(s, d):
     c = v.call_sites(s, d)

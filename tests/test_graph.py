@@ -1,3 +1,5 @@
+import inspect
+
 from pyspark.sql import functions as F
 
 from codelattice.operators import dataflow, joins, resolution, symbols, traversal
@@ -72,6 +74,14 @@ def test_summaries_across_functions(spark):
     assert [(r.source_fqn, r.sink_fqn, r.scope) for r in g] == [("m.source", "m.sink", "global")]
 
 
+def test_closures_have_no_depth_bound(spark):
+    names = [f"n{i:02}" for i in range(23)]
+    e = edges(spark, *zip(names, names[1:], strict=False), ("n03", "n01"))
+    path = traversal.find_path(e, spark.createDataFrame([(names[0], names[-1])], "src string, dst string")).first().path
+    assert list(path) == names
+    assert all(inspect.signature(f).parameters["max_depth"].default is None for f in (traversal.closure, traversal.reachable, traversal.transitive_callers))
+
+
 def test_asof_and_edges(spark):
     defs = spark.createDataFrame([("f", "x", 1), ("f", "x", 5), ("f", "y", 9)], "fqn string, var string, line int")
     uses = spark.createDataFrame([("f", "x", 1), ("f", "x", 4), ("f", "x", 5), ("f", "y", 8), ("g", "x", 3)], "fqn string, var string, line int")
