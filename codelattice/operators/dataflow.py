@@ -446,27 +446,36 @@ def dominators(cfg_edges: DataFrame, keys: Sequence[str] = ("file", "fqn")) -> D
     return _graphs(cfg_edges, keys).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", block int, dominators array<int>")
 
 
-def all_paths(cfg_edges: DataFrame, keys: Sequence[str] = ("file", "fqn"), most: int = 1000) -> DataFrame:
-    """``(*keys, path)``: the paths without repeated blocks from block 0 to blocks without successors, at most ``most`` a function (their
-    number grows exponentially with the branches; the bound is part of the operator)."""
+def all_paths(cfg_edges: DataFrame, keys: Sequence[str] = ("file", "fqn"), most: int | None = None) -> DataFrame:
+    """``(*keys, path)``: the paths without repeated blocks from block 0 to blocks without successors; all of them, or ``most`` a function.
+
+    Their number grows exponentially with the branches: they leave in batches, so that only the branches of one path are in memory."""
+    flush = 4096
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, paths = [], []
+
+            def batch(b: pa.RecordBatch, at: list[int], paths: list[list[int]]) -> pa.RecordBatch:
+                cols = [b.column(k).take(pa.array(at, pa.int32())) for k in range(b.num_columns - 1)]
+                return pa.RecordBatch.from_arrays([*cols, pa.array(paths, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "path"])
+
             for i, edges in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 after: dict[int, list[int]] = {}
                 for e in edges:
                     after.setdefault(e["src"], []).append(e["dst"])
                 stack, found = [[0]], 0
-                while stack and found < most:
+                while stack and (most is None or found < most):
                     p = stack.pop()
                     nxt = [n for n in after.get(p[-1], ()) if n not in p]
                     if not after.get(p[-1]):
                         found += 1
                         at.append(i)
                         paths.append(p)
+                        if len(paths) >= flush:
+                            yield batch(b, at, paths)
+                            at, paths = [], []
                     stack += [[*p, n] for n in reversed(nxt)]
-            cols = [b.column(k).take(pa.array(at, pa.int32())) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(paths, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "path"])
+            yield batch(b, at, paths)
 
     return _graphs(cfg_edges, keys).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", path array<int>")

@@ -139,3 +139,10 @@ def test_dominators_and_paths(spark):
     assert got == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 3], 4: [0, 3, 4], 5: [0, 3, 5]}
     assert sorted(list(r.path) for r in dataflow.all_paths(e).collect()) == [[0, 1, 3, 5], [0, 2, 3, 5]]
     assert dataflow.all_paths(e, most=1).count() == 1 and dataflow.dominators(e.limit(0)).count() == 0
+
+
+def test_all_paths_are_whole(spark):
+    pairs = [x for i in range(13) for x in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))]
+    e = spark.createDataFrame([("f", "m", a, b) for a, b in pairs], "file string, fqn string, src int, dst int")
+    got = dataflow.all_paths(e).agg(F.count("*").alias("n"), F.countDistinct("path").alias("d"), F.max(F.size("path")).alias("longest")).first()
+    assert (got.n, got.d, got.longest) == (8192, 8192, 27)
