@@ -50,6 +50,18 @@ def test_generators_recall():
     assert hit / n > 0.97
 
 
+def test_generators_take_every_cue_and_way():
+    """No cheap test before a pattern keeps out what the pattern takes."""
+    spans = lambda t, kind: {t[c.start : c.end] for c in pii.candidates(t) if c.kind == kind}
+    for cue in ("pasaporte", "nie", "tin", "insee", "Sozialversicherungsnummer", "Steuernummer", "cédula", "passport", "SSN", "tax id", "Ausweis", "driver's license", "personnummer", "id no"):
+        assert "12 150780 J 009" in spans(f"Cue: {cue} 12 150780 J 009", 2), cue
+    for way in pii._WAY[3:].partition(")")[0].split("|"):
+        for end in ("", "\nSpringfield", ";", ")", ", Springfield"):
+            assert any(x.startswith(f"45 Oak {way}") for x in spans(f"45 Oak {way}{end}", 3)), (way, end)
+    for text in ("12 rue Morin", "Birkenweg12", "Am Lindenplatz 3", "Calle Mayor 4", "Viale Roma 7", "P.O.Box 12", "BP 77", "Apdo. 9", "4 bd Morin"):
+        assert spans(text, 3), text
+
+
 def test_boosting_learns_and_calibrates():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(3000, 5))
