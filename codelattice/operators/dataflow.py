@@ -312,7 +312,7 @@ def summary_fixpoint(statements: DataFrame, parameters: DataFrame, edges: DataFr
     return now
 
 
-def flows_global(sources_at: DataFrame, sinks_at: DataFrame, edges: DataFrame, summaries: DataFrame, local: DataFrame, max_depth: int = 20) -> DataFrame:
+def flows_global(sources_at: DataFrame, sinks_at: DataFrame, edges: DataFrame, summaries: DataFrame, local: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Local flows, and flows from functions with a source to functions with a sink that they reach by calls.
 
     A path (shortest; at least two functions) holds if the source's summary may let taint out, the sink's may take it in, and every

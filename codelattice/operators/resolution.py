@@ -46,7 +46,7 @@ def _names(functions: DataFrame, name: str) -> DataFrame:
     return functions.select(F.col("fqn").alias(name)).distinct()
 
 
-def resolve_self_attr(call_sites: DataFrame, class_attributes: DataFrame, functions: DataFrame, max_depth: int = 5) -> DataFrame:
+def resolve_self_attr(call_sites: DataFrame, class_attributes: DataFrame, functions: DataFrame, max_depth: int = 6) -> DataFrame:
     """``self.a.b.m`` by the types of the attributes along the chain: adds ``self_fqn``; null where a step is unknown.
 
     ``class_attributes``: class_fqn, name, type_fqn. One join a step; chains end after ``max_depth`` steps.
@@ -148,24 +148,34 @@ def resolve_call_go(call_sites: DataFrame, functions: DataFrame, imports: DataFr
 
 
 def chain_steps(target: Column) -> Column:
-    """The names of a chained call: ``a().b(x).c()`` gives [a, b, c]; what stands in brackets is left out, three levels deep."""
-    s = target
-    for _ in range(3):
-        s = F.regexp_replace(s, r"\([^()]*\)", "")
-    return F.split(s, r"\.")
+    """The names of a chained call: ``a().b(x).c()`` gives [a, b, c]; what stands in brackets is left out, however deep."""
+    closing, opening = F.lit(")"), F.lit("(")
 
+    def step(at: Column, c: Column) -> Column:
+        deep = at["deep"] + F.when(c == opening, 1).when((c == closing) & (at["deep"] > 0), -1).otherwise(0)
+        inside = (at["deep"] > 0) | (c == opening)
+        return F.struct(deep.alias("deep"), F.when(inside, at["text"]).otherwise(F.concat(at["text"], c)).alias("text"))
 
-def resolve_chain(chains: DataFrame, returns: DataFrame, methods: DataFrame, max_steps: int = 6) -> DataFrame:
+    start = F.struct(F.lit(0).alias("deep"), F.lit("").alias("text"))
+    return F.split(F.aggregate(F.split(target, ""), start, step, lambda at: at["text"]), r"\.")
+
+
+def resolve_chain(chains: DataFrame, returns: DataFrame, methods: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Chained calls step by step: the first by what a function returns or a variable is, the others by what methods return.
 
     ``chains``: id, target; ``returns``: name, type_fqn, confidence; ``methods``: type_fqn, method, return_type, confidence.
-    Gives id, type_fqn, confidence (the product over the steps), steps; chains with an unknown step are left out. One join a step.
+    Gives id, type_fqn, confidence (the product over the steps), steps; chains with an unknown step are left out. One join a step,
+    as many as the longest chain has (one number reaches the driver); every few steps the state is checkpointed.
     """
     first = returns.groupBy(F.col("name").alias("_s")).agg(F.max(F.struct(F.col("confidence").alias("c"), F.col("type_fqn").alias("t"))).alias("_r"))
     m = methods.groupBy(F.col("type_fqn").alias("_t"), F.col("method").alias("_s")).agg(F.max(F.struct(F.col("confidence").alias("c"), F.col("return_type").alias("t"))).alias("_r"))
-    now = chains.select("id", chain_steps(F.col("target")).alias("_steps")).withColumn("_s", F.get("_steps", F.lit(0))).join(first, "_s").select("id", "_steps", F.col("_r.t").alias("_t"), F.col("_r.c").cast("double").alias("_c"), F.lit(1).alias("_n"))
+    steps = chains.select("id", chain_steps(F.col("target")).alias("_steps"))
+    rounds = max_steps if max_steps is not None else steps.agg(F.max(F.size("_steps"))).first()[0]
+    now = steps.withColumn("_s", F.get("_steps", F.lit(0))).join(first, "_s").select("id", "_steps", F.col("_r.t").alias("_t"), F.col("_r.c").cast("double").alias("_c"), F.lit(1).alias("_n"))
     done = []
-    for _ in range(max_steps):
+    for i in range(max(1, rounds or 1)):
+        if i and i % 6 == 0:
+            now = cut(now)
         done.append(now.where(F.col("_n") == F.size("_steps")))
         now = now.where(F.col("_n") < F.size("_steps")).withColumn("_s", F.get("_steps", F.col("_n"))).join(m, ["_t", "_s"]).select("id", "_steps", F.col("_r.t").alias("_t"), (F.col("_c") * F.col("_r.c")).alias("_c"), (F.col("_n") + 1).alias("_n"))
     out = done[0]

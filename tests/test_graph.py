@@ -146,3 +146,29 @@ def test_all_paths_are_whole(spark):
     e = spark.createDataFrame([("f", "m", a, b) for a, b in pairs], "file string, fqn string, src int, dst int")
     got = dataflow.all_paths(e).agg(F.count("*").alias("n"), F.countDistinct("path").alias("d"), F.max(F.size("path")).alias("longest")).first()
     assert (got.n, got.d, got.longest) == (8192, 8192, 27)
+
+
+def test_chains_of_any_length(spark):
+    t = spark.createDataFrame([(1, "a(f(g(h(x))))" + ".b()" * 8), (2, "a().b(')')"), (3, None), (4, "a().z()")], "id int, target string")
+    returns = spark.createDataFrame([("a", "T", 1.0)], "name string, type_fqn string, confidence double")
+    methods = spark.createDataFrame([("T", "b", "T", 0.5)], "type_fqn string, method string, return_type string, confidence double")
+    got = {r.id: (r.type_fqn, r.confidence, r.steps) for r in resolution.resolve_chain(t, returns, methods).collect()}
+    assert got[1] == ("T", 0.5**8, 9) and set(got) <= {1, 2}
+    assert resolution.resolve_chain(t.limit(0), returns, methods).count() == 0
+
+
+def test_self_attributes_six_deep(spark):
+    calls = spark.createDataFrame([("C.run", "self.a.b.c.d.e.f.m")], "caller_fqn string, target string")
+    names = "abcdef"
+    attrs = spark.createDataFrame([("C" if i == 0 else f"T{i}", x, f"T{i + 1}") for i, x in enumerate(names)], "class_fqn string, name string, type_fqn string")
+    assert resolution.resolve_self_attr(calls, attrs, spark.createDataFrame([("T6.m",)], "fqn string")).first().self_fqn == "T6.m"
+
+
+def test_flows_over_many_calls(spark):
+    names = [f"m.f{i:02}" for i in range(23)]
+    calls = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "caller string, callee string")
+    sums = spark.createDataFrame([(x, x == names[0], False, True, [0], [0]) for x in names], "fqn string, is_source boolean, is_sanitizer boolean, return_tainted boolean, p2ret array<int>, p2sink array<int>")
+    at = lambda f, c: spark.createDataFrame([(f, 1, c)], "fqn string, line int, call string")
+    local = spark.createDataFrame([], "fqn string, source_line int, source_var string, sink_line int, sink_call string, confidence double")
+    got = dataflow.flows_global(at(names[0], "input"), at(names[-1], "execute"), calls, sums, local).collect()
+    assert [(r.source_fqn, r.sink_fqn) for r in got] == [(names[0], names[-1])]
