@@ -165,20 +165,19 @@ def candidates(text: str) -> list[Candidate]:
         if s and (text[s - 1].isalnum() or text[s - 1] == "_"):
             continue
         head, follows = first.group().split("'")[0], text[first.end() : first.end() + 2]
-        if head not in _GIVEN_ANY and not (len(head) == 1 and follows[:1] == ".") and s not in titled and not _cued(text, s):
-            second = _TOKEN.match(text, first.end() + 2) if follows == ", " else None
-            if not second or second.group() not in _GIVEN_ANY:
-                continue
+        second = _TOKEN.match(text, first.end() + 2) if follows == ", " else None
+        told = head in _GIVEN_ANY or (len(head) == 1 and follows[:1] == ".") or s in titled or bool(second and second.group() in _GIVEN_ANY) or _cued(text, s)
         m = _NAMES.match(text, s)
-        if not m:
+        if not m or (m.lastgroup == "one" and not told):
             continue
         e, form = m.end(), m.lastgroup
         spans = {(s, e, form)}
         if form == "full":
             parts = [(t.start(), t.end()) for t in _TOKEN.finditer(text, s, e)]
-            spans |= {(s, b, "full") for _, b in parts[1:]} | {(s, parts[0][1], "one")}
+            spans |= {(s, b, "full") for _, b in parts[1:]} | ({(s, parts[0][1], "one")} if told else set())
         elif form in ("turned", "short"):
-            spans.add((s, first.end(), "one"))
+            if told:
+                spans.add((s, first.end(), "one"))
             if form == "turned":
                 more = re.compile(rf"{_CAP} (?:[A-Z]\. ?)?{_CAP}").match(text, s)
                 if more:

@@ -12,6 +12,8 @@ import numpy as np
 from codelattice.llm import boosting, pii
 
 SENTENCES, SEED = 9_000, 20
+#: The share of given names that are in the list of the models' features; the others are made from syllables.
+LISTED = 0.8
 
 _FIRST = "bal cor den fal gar hol jen kel lor mar nor pel quin ros sel tor ul ver wen yar zan brin dun esk".split()
 _MID = "an el in or ast end ill ov ur em ath".split()
@@ -23,8 +25,8 @@ _TEAM = "billing search audit mesh gateway pricing intake orbit".split()
 
 
 class _Maker:
-    def __init__(self, rnd: random.Random) -> None:
-        self.r = rnd
+    def __init__(self, rnd: random.Random, listed: float = LISTED) -> None:
+        self.r, self.listed = rnd, listed
 
     def pick(self, xs):
         return self.r.choice(xs)
@@ -38,7 +40,7 @@ class _Maker:
         return f"O'{w}" if roll < 0.07 else f"Mac-{w}" if roll < 0.11 else f"{w}-{self.word(_LAST)}" if roll < 0.14 else w.replace("e", "é", 1) if roll < 0.18 else w.replace("u", "ü", 1) if roll < 0.21 else w
 
     def given(self) -> str:
-        return self.pick(sorted(pii.GIVEN)) if self.r.random() < 0.93 else self.word(["a", "o", "an", "is", "el"])
+        return self.pick(sorted(pii.GIVEN)) if self.r.random() < self.listed else self.word(["a", "o", "an", "is", "el", "iew", "ek", "ina"])
 
     def name(self, alone: float = 0.0) -> str:
         g, s, roll = self.given(), self.surname(), self.r.random()
@@ -127,13 +129,13 @@ class _Maker:
             [f"Upgrade {self.pick(_NOUN)}@{d(1)}.{d(2)}.{d(1)} to {self.pick(_NOUN)}@{d(1)}.{d(1)}.{d(1)}."], [f"cc @{t}-bot for the rerun."], [f"Pulled registry.example/{t}@sha256:{d(12)}."], [f"git clone git@host{d(1)}:team/{t}.git"], [f"Trace {d(4)}a{d(3)}-{d(4)}-{d(4)}-8{d(3)}-0{d(11)} shows it."], [f"Fixed in {d(12)}; the next nightly is clean."], [f"It took {d(4)} ms to parse {d(4)} files."],
             [f"{d(4)}\t\t{d(3)} signed"], [f"Line {d(4)} belongs to {t}."], [f"The {self.word(_LAST)} helper has no owner."], [f"{th}.{self.pick(_NOUN)} at {t}/{self.pick(_NOUN)}.go:{d(3)}:{d(2)} is bound twice."], [f"The rule PYTHON-SEC-{d(1)} fired {d(4)} times."], [f"See CWE-{d(4)} for background."], [f"Host {g.lower()}-{d(2)}.{t}.example answers on port {d(4)}."], [f"serial {d(4)} {d(4)} {d(4)} was logged"],
             [f"from 2024-0{r.randrange(1, 9)}-0{r.randrange(1, 9)} to 2024-1{r.randrange(0, 2)}-1{d(1)}"], [f"commit {d(7)}b{d(2)} moved it"], [f"[2024-03-2{d(1)}T08:{d(5)}Z] INFO: scanned {d(4)} files"], [f"Version {d(1)}.{d(2)}.{d(2)} adds a matcher."], [f"The {self.word(_LAST)} Router and the {g} Store are vendored."], [f"branch feature/{g.lower()}-{d(3)} is stale"], [f"{{\"rule\": \"GO-LINT-{d(1)}\", \"line\": {d(4)}, \"sha\": \"{d(12)}\"}}"],
-            [f"Whatever {t} sends at {d(2)} hops is slow."], [f"invoice {d(9)} was paid"], [f"id={d(9)} seq={d(8)}"], [f"Job {d(3)}-{d(3)}-{d(4)} failed."], [f"The {th} of the {self.pick(_NOUN)} is stale, says the log."], [f"{self.pick(_THING)} {self.pick(_NOUN)} {d(4)} {d(4)}"], [f"table {g} has {d(7)} rows"], [f"class {g}({th}):"], [f"deploy@{t}-{d(2)} ran it"], [f"{t}-bot@{d(1)}.{d(1)} replied"],
+            [f"Whatever {t} sends at {d(2)} hops is slow."], [f"invoice {d(9)} was paid"], [f"id={d(9)} seq={d(8)}"], [f"Job {d(3)}-{d(3)}-{d(4)} failed."], [f"The {th} of the {self.pick(_NOUN)} is stale, says the log."], [f"{self.pick(_THING)} {self.pick(_NOUN)} {d(4)} {d(4)}"], [f"table {g} has {d(7)} rows"], [f"{self.word(_LAST)} {th} is stale."], [f"Merge {self.word(_PLACE)} {th} into the {self.pick(_THING)} {th}."], [f"The {self.word(_PLACE)} {self.word(_LAST)} build is green."], [f"See {th} {self.pick(_THING)} in the {self.word(_PLACE)} Guide."], [f"Pull Request {d(3)} adds {self.word(_LAST)} {th}."], [f"{th} {self.pick(_THING)} merged the {self.pick(_NOUN)}."], [f"class {g}({th}):"], [f"deploy@{t}-{d(2)} ran it"], [f"{t}-bot@{d(1)}.{d(1)} replied"],
         ])
 
 
-def sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def sentences(n: int = SENTENCES, seed: int = SEED, listed: float = LISTED) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Texts of a few sentences with the (type, start, end) of their mentions."""
-    make = _Maker(random.Random(seed))
+    make = _Maker(random.Random(seed), listed)
     out = []
     fillers = ["The {} reaches the sink unchanged.", "A second {} hides the first... right?", "Every {} of the package is bound twice.", "Please wrap the {} so that it raises early.", "Der Wert {} gelangt ungeprüft nach Cache.flush.", "La valeur {} atteint le puits.", "Hay que limpiar {} antes.", "The container mounts the {} socket.", "In {}, line 12 wins.", "Our {} stub counts as high."]
     for _ in range(n):

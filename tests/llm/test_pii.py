@@ -62,6 +62,18 @@ def test_generators_take_every_cue_and_way():
         assert spans(text, 3), text
 
 
+def test_names_outside_the_list(finder):
+    for text in ("Zbigniew Kowalczyk merged the fix.", "I met with Zbigniew Kowalczyk in Holm."):
+        assert ("name", "Zbigniew Kowalczyk") in found(finder, text)
+    texts = pii_training.sentences(600, seed=5150, listed=0.0)
+    n = hit = 0
+    for (text, spans), got in zip(texts, finder.find([t for t, _ in texts]), strict=True):
+        want, have = {s for k, s, _ in spans if k == 4}, {c.start for c, _ in got if c.kind == 4}
+        n, hit = n + len(want), hit + len(want & have)
+    print(f"recall of names outside the list: {hit / n:.4f} of {n}")
+    assert hit / n > 0.85
+
+
 def test_boosting_learns_and_calibrates():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(3000, 5))
