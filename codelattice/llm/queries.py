@@ -28,6 +28,12 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.invalid_rates(table(spark, sf_dir, "source_files"), "file_id", "file_path", "source_code", "repo")
 
 
+def p4_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invalid files with cause, cost of repair (a lower bound) and the line of the first edit."""
+    checked = check.check_files(table(spark, sf_dir, "source_files"), "file_id", "file_path", "source_code", details=True)
+    return checked.where("invalid").select("file_id", "language", "cause", "cost", "line")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(table(spark, sf_dir, "source_files"), "file_id", "source_code").select("file_id", "line").distinct()
 
@@ -77,5 +83,5 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p4_repairs": p4_repairs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
 ORACLES: dict[str, str] = {}
