@@ -55,12 +55,17 @@ def _tokens(instruction: str, rest: str) -> tuple[str, ...]:
         words = _QUOTED.findall(rest)
         if len("".join(words)) != len(re.sub(r"\s(?=(?:[^\"']|\"[^\"]*\"|'[^']*')*$)", "", rest)) and re.sub(r"\s", "", "".join(words)) != re.sub(r"\s", "", rest):
             return (*out, "ERR")  # a quote without its end
-        return (*out, *("PAIR" if re.match(r"[^\s=\"']+=", w) or re.match(r"\"[^\"]+\"=", w) else "WORD" for w in words[:64]))
-    for w in rest.split()[:64]:
+        return (*out, *("PAIR" if re.match(r"[^\s=\"']+=", w) or re.match(r"\"[^\"]+\"=", w) else "WORD" for w in words))
+    for w in rest.split():
         out.append("HEREDOC" if instruction in ("ADD", "COPY") and w.startswith("<<") else "AS" if instruction == "FROM" and w.upper() == "AS" else "WORD")
     return tuple(out)
 
 
+def _short(tokens: tuple[str, ...]) -> tuple[str, ...]:
+    """Runs of a token cut to three, which no rule of the grammar tells from longer ones."""
+    return tuple(t for i, t in enumerate(tokens) if i < 3 or not t == tokens[i - 1] == tokens[i - 2] == tokens[i - 3])
+
+
 def outline(text: str) -> Outline:
     out = Outline()
     lines = text.lstrip("﻿").split("\n")
@@ -92,7 +97,7 @@ def outline(text: str) -> Outline:
         word, _, rest = whole.partition(" ") if " " in whole.split("\t", 1)[0] else whole.partition("\t")
         name = word.upper()
         out.units += 1
-        tokens = _tokens(name, rest) if name in INSTRUCTIONS else ("UNKNOWN",)
+        tokens = _short(_tokens(name, rest)) if name in INSTRUCTIONS else ("UNKNOWN",)
         if name in ("RUN", "ADD", "COPY"):
             for m in _HEREDOC.finditer(rest):
                 while i < n and lines[i].strip() != m.group(2):
