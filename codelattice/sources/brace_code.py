@@ -160,7 +160,7 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
             i = end + 1
         elif w[i] in ("var", "const") and i + 1 < n and t.kinds[i + 1] == "name" and (i == 0 or t.kinds[i - 1] == "nl"):
             end = next((k for k in range(i, n) if t.kinds[k] == "nl"), n)
-            out["nodes"].append(_row("package_variable" if w[i] == "var" else "constant", w[i + 1], f"{module}.{w[i + 1]}", t.lines[i], t.lines[i], value=" ".join(w[i + 2 : end])[:200]))
+            out["nodes"].append(_row("package_variable" if w[i] == "var" else "constant", w[i + 1], f"{module}.{w[i + 1]}", t.lines[i], t.lines[i], value=" ".join(w[i + 2 : end])))
             _calls(t, i, end, f"{module}.init$vars", out)
             i = end
         else:
@@ -244,7 +244,7 @@ def extract_java(text: str, module: str) -> dict[str, list[dict]]:
                 names = [x for x in (head[: head.index("=")] if "=" in head else head) if re.fullmatch(r"[A-Za-z_$][\w$]*", x)]
                 if len(names) >= 2:
                     fqn = ".".join(x for x in (package, *(s for s, _ in stack)) if x)
-                    out["nodes"].append(_row("variable_declaration", names[-1], f"{fqn}.{names[-1]}", t.lines[begin], t.lines[i], return_type=names[-2], value=" ".join(head[head.index("=") + 1 :])[:200] if "=" in head else ""))
+                    out["nodes"].append(_row("variable_declaration", names[-1], f"{fqn}.{names[-1]}", t.lines[begin], t.lines[i], return_type=names[-2], value=" ".join(head[head.index("=") + 1 :]) if "=" in head else ""))
                     out["class_attributes"].append({"class_fqn": fqn, "name": names[-1], "type_fqn": names[-2], "confidence": 1.0})
             begin = i + 1
         elif w[i] == "(" and stack and depth == stack[-1][1] and i > begin and t.kinds[i - 1] == "name" and "=" not in w[begin:i] and (i < 2 or w[i - 2] != "@"):

@@ -124,7 +124,7 @@ class _Extractor:
                 kind, sure, how = (_text(n.annotation), 1.0, "annotation") if isinstance(n, ast.AnnAssign) else infer(value)
                 constant = t.id.upper() == t.id and any(c.isalpha() for c in t.id) and t.id.replace("_", "").isalnum()
                 where = "class_field" if cls else "constant" if constant and scope == self.module else "module_variable" if scope == self.module else "variable_assignment"
-                self.node(where, t.id, f"{scope}.{t.id}", n, return_type=kind, value=_text(value)[:200] if value is not None else "")
+                self.node(where, t.id, f"{scope}.{t.id}", n, return_type=kind, value=_text(value) if value is not None else "")
                 if kind:
                     self.add("bindings", scope_fqn=scope, var=t.id, line=n.lineno, type_fqn=kind, confidence=sure, source=how)
                 if cls and kind:

@@ -69,6 +69,12 @@ def test_go_and_java_facts():
     assert "this.db.find" in [c["target"] for c in j["call_sites"]] and j["imports"][0]["fqn"] == "java.util.List"
 
 
+def test_values_are_whole():
+    long = "x" * 300
+    for got in (python_code.extract(f"v = '{long}'\n", "m"), brace_code.extract_go(f'package p\n\nvar v = "{long}"\n', "p"), brace_code.extract_java(f'package a;\npublic class C {{\n  String v = "{long}";\n}}\n', "m")):
+        assert long in next(n["value"] for n in got["nodes"] if n["name"] == "v")
+
+
 def test_broken_files_give_no_facts(spark):
     df = spark.createDataFrame([("a.py", "a", "def f(:\n"), ("b.py", "b", "x = 1\n"), ("c.py", "c", None), ("d.py", None, "")], "file string, module string, content string")
     got = facts.parsed(df, python_code.extract)
