@@ -19,6 +19,15 @@ class Boosted:
     shift: float = 0.0
     threshold: float = 0.5
 
+    def to_json(self) -> dict:
+        bounds = [[None if np.isinf(b) else float(np.float32(b)) for b in t] for t in self.bounds]
+        return {"features": self.features.tolist(), "bounds": bounds, "leaves": np.round(self.leaves, 6).tolist(), "start": round(self.start, 6), "slope": round(self.slope, 6), "shift": round(self.shift, 6), "threshold": self.threshold}
+
+    @classmethod
+    def from_json(cls, d: dict) -> Boosted:
+        bounds = np.array([[np.inf if b is None else b for b in t] for t in d["bounds"]])
+        return cls(np.array(d["features"]), bounds, np.array(d["leaves"]), d["start"], d["slope"], d["shift"], d["threshold"])
+
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
         rows = np.arange(len(x))

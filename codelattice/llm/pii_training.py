@@ -1,149 +1,288 @@
 """Labelled sentences for the models of ``pii``, made from a grammar of formats and contexts; the same on every run.
 
-The words in them (surnames, streets, towns) are made from syllables, so that the models can't learn them.
+Formats are the public ones (telephone plans, identity numbers, postal addresses, mail headers, forms of names). Contexts are put
+together from parts: subjects, verbs and objects, keys and values, greetings and signatures. Nouns, verbs and the words of headings
+are drawn from the lexicon, surnames and towns are made of syllables, so that the models learn forms rather than words. Tests hold
+out sentence forms, names and number formats that don't occur here.
+
+``python -m codelattice.llm.pii_training`` fits the models and writes ``pii.MODELS``.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
 
 from codelattice.llm import boosting, pii
 
-SENTENCES, SEED = 9_000, 20
-#: The share of given names that are in the list of the models' features; the others are made from syllables.
-LISTED = 0.8
+SENTENCES, SEED = 24_000, 20
+#: The share of given names that are in the list of the models' features; the others are made from syllables or taken from the lexicon.
+LISTED = 0.5
 
-_FIRST = "bal cor den fal gar hol jen kel lor mar nor pel quin ros sel tor ul ver wen yar zan brin dun esk".split()
-_MID = "an el in or ast end ill ov ur em ath".split()
-_LAST = "berg son ski dottir well ford ner ley vik mann ton ez ini eau quist holm sen ska ura moor gate".split()
-_PLACE = "ford ton ville burg haven field stad mouth dale heim port wick".split()
-_NOUN = "cache queue report schema index module parser finding rule branch session bucket cursor ledger router snapshot".split()
-_THING = "Cache Queue Report Store Router Reader Writer Pool Planner Handler Session Index Parser Broker".split()
-_TEAM = "billing search audit mesh gateway pricing intake orbit".split()
+_FIRST = "bal cor den fal gar hol jen kel lor mar nor pel quin ros sel tor ul ver wen yar zan brin dun esk zby kri sva bog raj oks hri chi ngo tch".split()
+_MID = "an el in or ast end ill ov ur em ath gn et is".split()
+_LAST = "berg son ski dottir well ford ner ley vik mann ton ez ini eau quist holm sen ska ura moor gate escu czyk enko ova iyer ati oglu wala aki".split()
+_GIVEN_ENDS = "a o an is el iew ek ina ana slav esh na ita ko mir".split()
+_PLACE = "ford ton ville burg haven field stad mouth dale heim port wick mar by stead bury".split()
+_ROLE = "colleague manager sister friend neighbour lawyer tutor landlord plumber deputy intern reviewer supervisor therapist accountant client".split()
+_DONE = "drafted wrote rebooted fixed reviewed disagrees thinks says believes left joined called emailed suggested wants prefers asked replied retired forgot noticed explained deployed broke opened confirmed declined argued promised knows needs visited moved signed sent paid".split()
+_DID_PASSIVE = "written drafted reviewed approved reported signed prepared filed closed raised sent found opened tested designed edited translated".split()
+_KEYS = "Author Owner From To Cc Contact Reviewer Manager Name Customer Client Attendee Assignee Reporter Speaker Host Patient Tenant Employee Signed Kontakt Ansprechpartner Nom Nombre Autor Responsable Bearbeiter".split()
+_FIELDS = "name user owner author full_name contact created_by customer_name reporter assignee manager approved_by".split()
+_ADVERBS = ["Yesterday", "Last week", "On Monday", "This morning", "Afterwards", "In March", "Sometimes", "Later", "Today", "Apparently", "Hence", "Meanwhile"]
+_GREETINGS = "Hi Hello Hey Dear Hallo Liebe Lieber Bonjour Cher Chère Hola Estimado".split()
+_CLOSINGS = ["Thanks", "Cheers", "Best", "Best regards", "Kind regards", "Regards", "Sincerely", "Viele Grüße", "Cordialement", "Saludos", "Many thanks", "Yours"]
+_TITLES = ["Dr. ", "Ms. ", "Mr. ", "Prof. ", "Mrs. ", "Dr ", "Mr ", "Frau ", "Herr ", "Mme ", "M. ", "Sra. ", "Sr. ", "Professor "]
+_THINGS = "class codename release cluster server host project module package bot library framework plugin branch job service database container team ship storm".split()
+_NUMBERED = "ticket build order page line port job issue batch invoice offset revision commit serial part shipment row case request record block item parcel tracking run sample".split()
+_GERMAN = "Wert Datei Prüfung Regel Fehler Befund Ausgabe Eingabe Abfrage Zeile Klasse Dienst Speicher Schlüssel Anfrage Antwort Version Änderung Meldung Tabelle".split()
 
 
 class _Maker:
     def __init__(self, rnd: random.Random, listed: float = LISTED) -> None:
         self.r, self.listed = rnd, listed
+        ranks = pii.lexicon().ranks
+        self.words = sorted(w for w in ranks if w.islower() and w.isascii() and len(w) > 3 and w not in pii._FUNCTION and w not in pii._GIVEN_LOWER)
+        self.foreign = sorted(w for w in ranks if w.islower() and not w.isascii() and len(w) > 3 and max(w) < "ſ")
+        low = set(self.words)
+        self.proper = sorted(w for w in ranks if w[0].isupper() and w[1:].islower() and w.isascii() and len(w) > 3 and w.lower() not in ranks and w.lower() not in pii._GIVEN_LOWER and w.lower() not in pii._DATES)
+        self.verbs = sorted(w for w in low if w.endswith("ed") and len(w) > 5)
+        self.given_list = sorted(pii.GIVEN)
 
     def pick(self, xs):
-        return self.r.choice(xs)
+        return xs[int(self.r.random() * len(xs))]
+
+    def chance(self, p: float) -> bool:
+        return self.r.random() < p
+
+    # Words
+
+    def w(self) -> str:
+        return self.pick(self.words)
+
+    def cap(self) -> str:
+        return (self.rare() if self.chance(0.15) else self.w()).capitalize()
 
     def word(self, ends: list[str]) -> str:
-        return (self.pick(_FIRST) + (self.pick(_MID) if self.r.random() < 0.6 else "") + self.pick(ends)).capitalize()
+        return (self.pick(_FIRST) + (self.pick(_MID) if self.chance(0.6) else "") + self.pick(ends)).capitalize()
+
+    def rare(self) -> str:
+        """A common word that the lexicon lacks: a word's stem with another ending, or two words in one."""
+        w = self.w()
+        return w[: self.r.randrange(3, len(w) + 1)] + (self.pick("an en ated ing less ung ieren aient amos ize ness ibles ment ar ons able".split()) if self.chance(0.8) else self.w())
+
+    def thing(self) -> str:
+        """A thing's name: words of the lexicon, a product, or a made-up word."""
+        return self.pick([self.cap, self.cap, lambda: self.pick(self.proper), lambda: self.word(_LAST), lambda: self.pick(sorted(pii._THING)).capitalize()])()
+
+    def noun(self) -> str:
+        return self.pick(["the ", "a ", "that ", "our ", "every ", ""]) + self.w() + (" " + self.w() if self.chance(0.3) else "")
+
+    def verb(self) -> str:
+        return self.pick(_DONE) if self.chance(0.6) else self.pick(self.verbs) if self.chance(0.6) else self.w() + "s"
+
+    # Names
 
     def surname(self) -> str:
+        roll = self.r.random()
+        if roll < 0.08:
+            return self.cap()
+        if roll < 0.22:
+            return self.pick(self.proper)
         w = self.word(_LAST)
         roll = self.r.random()
-        return f"O'{w}" if roll < 0.07 else f"Mac-{w}" if roll < 0.11 else f"{w}-{self.word(_LAST)}" if roll < 0.14 else w.replace("e", "é", 1) if roll < 0.18 else w.replace("u", "ü", 1) if roll < 0.21 else w
+        return f"O'{w}" if roll < 0.05 else f"Mc{w}" if roll < 0.08 else f"Mac-{w}" if roll < 0.1 else f"{w}-{self.word(_LAST)}" if roll < 0.14 else w.replace("e", "é", 1) if roll < 0.18 else w.replace("u", "ü", 1) if roll < 0.21 else w.replace("o", "ø", 1) if roll < 0.23 else w
 
     def given(self) -> str:
-        return self.pick(sorted(pii.GIVEN)) if self.r.random() < self.listed else self.word(["a", "o", "an", "is", "el", "iew", "ek", "ina"])
+        if self.chance(self.listed):
+            return self.pick(self.given_list)
+        return self.pick(self.proper) if self.chance(0.3) else self.word(_GIVEN_ENDS)
+
+    def full(self) -> str:
+        return f"{self.given()} {self.surname()}"
 
     def name(self, alone: float = 0.0) -> str:
         g, s, roll = self.given(), self.surname(), self.r.random()
         if roll < alone:
             return g
         roll = self.r.random()
-        if roll < 0.58:
+        if roll < 0.5:
             return f"{g} {s}"
-        if roll < 0.66:
-            return f"{g} {self.pick('ABCDEFHJKLMNPRST')}. {s}"
-        if roll < 0.75:
-            return f"{g[0]}. {s}"
+        if roll < 0.55:
+            return f"{g} {self.pick(['van', 'von', 'de', 'da', 'del', 'di', 'bin', 'van der', 'de la'])} {s}"
+        if roll < 0.6:
+            return f"{g} {self.given() if self.chance(0.5) else self.surname()} {s}"
+        if roll < 0.67:
+            return f"{g} {self.pick('ABCDEFGHJKLMNPRSTVW')}. {s}"
+        if roll < 0.76:
+            return f"{g[0]}. {s}" if self.chance(0.8) else f"{g[0]}. {self.pick('ABCDEFGHJKLMNPRSTVW')}. {s}"
         if roll < 0.86:
             return f"{s}, {g}"
-        if roll < 0.92:
-            return f"{g} {s.upper()}"
-        if roll < 0.96:
+        if roll < 0.91:
+            return f"{g} {s.upper()}" if self.chance(0.6) else f"{g} {s}".upper()
+        if roll < 0.95:
             return f"{g} {s}".lower()
         return f"{g} {s[0]}."
 
+    # Numbers
+
     def digits(self, n: int) -> str:
-        return "".join(str(self.r.randrange(10)) for _ in range(n))
+        return "".join(str(int(self.r.random() * 10)) for _ in range(n))
+
+    def mask(self, mask: str) -> str:
+        """``9`` for a digit, ``A`` for a letter, the rest as it stands."""
+        return "".join(self.digits(1) if c == "9" else self.pick("ABCDEFGHJKLMNPRSTVWXY") if c == "A" else c for c in mask)
 
     def phone(self) -> str:
-        d = self.digits
-        return self.pick([
-            f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+1.{d(3)}.{d(3)}.{d(4)}", f"+1{d(10)}", f"001-{d(3)}-{d(3)}-{d(4)}", f"+44 {d(2)} {d(4)} {d(4)}", f"0{d(4)} {d(6)}", f"+49 {d(2)} {d(5)} {d(3)}",
-            f"0{d(2)}/{d(5)}-{d(3)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+61 {d(1)} {d(4)} {d(4)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+{d(2)}{d(9)}", f"0{d(3)} {d(7)}", f"+49 {d(3)} {d(7)}", f"0049 {d(2)} {d(6)}",
-        ])
+        return self.mask(self.pick(_PHONES))
 
     def idnum(self) -> str:
-        d, L = self.digits, lambda s="ABCDEFGHJKLMNPRSTVWXY": self.pick(s)
+        return self.mask(self.pick(_IDS))
+
+    def number(self) -> str:
+        """A number that is neither: ids of things, counts, dates, versions, hashes, measures."""
+        r = self.r
         return self.pick([
-            f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{self.pick('12')} {d(2)} {self.pick(['01', '05', '09', '11', '12', '13'])} {d(2)} {d(3)} {d(3)} {d(2)}", f"{L()}{L()}{d(6)}{L('ABCD')}", f"{L()}{L()} {d(2)} {d(2)} {d(2)} {L('ABCD')}", f"{L()}{d(8)}", f"X{d(7)}{L()}", f"{d(8)}-{L()}", f"{d(8)}{L()}", f"{L()}{d(7)}",
-        ])
+            lambda: self.digits(r.randrange(5, 13)), lambda: self.digits(r.randrange(7, 11)), lambda: f"{self.digits(4)}-{self.digits(4)}-{self.digits(4)}", lambda: f"{self.digits(3)}-{self.digits(4)}-{self.digits(3)}", lambda: f"{self.digits(3)}-{self.digits(3)}-{self.digits(4)}", lambda: f"{self.digits(6)}-{self.digits(6)}", lambda: f"{self.digits(4)} {self.digits(4)}",
+            lambda: f"{self.digits(4)} {self.digits(4)} {self.digits(4)}", lambda: f"20{self.digits(2)}-0{r.randrange(1, 9)}-1{self.digits(1)}", lambda: f"1{self.digits(1)}.0{r.randrange(1, 9)}.20{self.digits(2)}", lambda: f"{self.digits(1)}.{self.digits(2)}.{self.digits(2)}", lambda: f"{self.digits(2)}.{self.digits(2)}.{self.digits(3)}.{self.digits(2)}",
+            lambda: f"{self.digits(4)}a{self.digits(3)}-{self.digits(4)}-{self.digits(4)}-8{self.digits(3)}-0{self.digits(11)}", lambda: f"{self.digits(7)}b{self.digits(2)}", lambda: f"0x{self.digits(8)}", lambda: f"{self.digits(2)}.{self.digits(7)}", lambda: f"978-{self.digits(1)}-{self.digits(4)}-{self.digits(4)}-{self.digits(1)}", lambda: f"A{self.digits(8)}", lambda: f"{self.mask('AA')}-{self.digits(6)}",
+            lambda: f"{self.digits(3)} {self.digits(3)} {self.digits(3)}", lambda: f"{self.digits(3)}, {self.digits(4)} {self.digits(4)}", lambda: f"17{self.digits(8)}", lambda: f"17{self.digits(11)}", lambda: f"{self.mask('AAAA')}{self.digits(7)}", lambda: f"{self.digits(3)}-{self.digits(2)}-{self.digits(4)}", lambda: "-".join(self.digits(r.randrange(2, 6)) for _ in range(r.randrange(2, 5))), lambda: f"00{self.digits(4)}-00{self.digits(4)}", lambda: f"00{self.digits(r.randrange(4, 9))}", lambda: ".".join(self.digits(r.randrange(1, 4)) for _ in range(4)), lambda: f"1Z{self.digits(3)}{self.mask('AA')}{self.digits(10)}",
+        ])()
+
+    # Addresses and mails
 
     def town(self) -> str:
-        return self.word(_PLACE)
+        return self.word(_PLACE) if self.chance(0.7) else self.pick(self.proper)
 
     def address(self) -> str:
-        r, n, st, t = self.r, self.r.randrange(1, 999), self.word(_PLACE + ["path", "brook", "mere", "stone"]), self.town()
+        r, n, st, t = self.r, self.r.randrange(1, 999), self.word(_PLACE + ["path", "brook", "mere", "stone"]) if self.chance(0.6) else self.cap(), self.town()
         zip5 = self.digits(5)
-        where = self.pick([t, f"{t} {zip5}", f"{zip5} {t}"])
+        where = self.pick([t, f"{t} {zip5}", f"{zip5} {t}", f"{t}, {self.pick(['TX', 'CA', 'NY', 'OH', 'WA'])} {zip5}"])
         sep = self.pick([", ", ", ", ", ", "\n"])
-        way = self.pick("Street St Road Rd Avenue Ave. Lane Drive Boulevard Court Way Terrace Place".split())
+        way = self.pick("Street St Road Rd Avenue Ave Ave. Lane Ln Drive Dr Boulevard Blvd Court Ct Way Terrace Place Square Close Crescent Parkway Row Grove Mews Circle Trail".split())
+        rue = self.pick(["rue", "avenue", "boulevard", "place", "chemin", "quai", "allée", "impasse"])
         return self.pick([
-            f"{n} {st} {way}{sep}{where}", f"{n} {st} {way}, Apt {r.randrange(1, 99)}{sep}{where}", f"Flat {r.randrange(1, 60)}, {n} {st} Road, {t}", f"{n} rue de {st}, {zip5} {t}", f"{n} avenue de {st}, {zip5} {t}", f"{st}{self.pick(['straße', 'weg', 'gasse', 'allee', 'strasse'])} {n}, {zip5} {t}",
-            f"Calle de {st} {n}, {r.randrange(1, 9)}º {self.pick('ABC')}, {t}", f"Calle {st} {n}, {t}", f"P.O. Box {r.randrange(100, 9999)}, {t}", f"Postfach {r.randrange(100, 9999)}, {zip5} {t}", f"{n} {st} {way}",
-        ])
+            lambda: f"{n} {st} {way}{sep}{where}", lambda: f"{n} {st} {way}, {self.pick(['Apt', 'Suite', 'Unit', 'Apartment'])} {r.randrange(1, 99)}{sep}{where}", lambda: f"{self.pick(['Flat', 'Unit', 'Apt'])} {r.randrange(1, 60)}, {n} {st} {way}, {t}", lambda: f"{n}{self.pick(['', ' bis', ','])} {rue} {self.pick(['de ', 'du ', 'des ', 'de la ', ''])}{st}, {zip5} {t}",
+            lambda: f"{st}{self.pick(['straße', 'weg', 'gasse', 'allee', 'strasse', 'platz', 'ring'])} {n}{self.pick(['', 'a', ' b'])}, {zip5} {t}", lambda: f"{self.pick(['Calle', 'Avenida', 'Plaza', 'Paseo', 'Via', 'Piazza', 'Rua'])} {self.pick(['', 'de ', 'del ', 'de la '])}{st}{self.pick([' ', ', '])}{n}, {self.pick([t, f'{zip5} {t}'])}",
+            lambda: f"Calle de {st} {n}, {r.randrange(1, 9)}º {self.pick('ABC')}, {t}", lambda: f"{self.pick(['P.O. Box', 'PO Box', 'P. O. Box'])} {r.randrange(100, 9999)}, {where}", lambda: f"{self.pick(['Postfach', 'Apartado', 'BP', 'Casella postale'])} {r.randrange(100, 9999)}, {zip5} {t}", lambda: f"{n} {st} {way}",
+        ])()
 
     def email(self) -> str:
         g, s = self.given().lower(), self.surname().lower().replace("'", "").replace("-", "")
-        local = self.pick([f"{g}.{s}", f"{g}_{s}", f"{g[0]}{s}", g, f"{s}{self.r.randrange(1, 99)}", f"{g}.{s}+scan"])
-        dom = self.pick([f"{self.word(_PLACE).lower()}.com", f"mail.{self.word(_PLACE).lower()}.org", f"{self.word(_PLACE).lower()}.example", f"{self.word(_PLACE).lower()}.co.uk", "post.example.net"])
+        local = self.pick([f"{g}.{s}", f"{g}_{s}", f"{g[0]}{s}", g, f"{s}{self.r.randrange(1, 99)}", f"{g}.{s}+{self.w()}", f"{s}-{g}", f"{g[0]}.{s}", self.w() + self.digits(2), g[0] + s[0]])
+        a = self.word(_PLACE).lower() if self.chance(0.5) else self.w()
+        dom = self.pick([f"{a}.com", f"mail.{a}.org", f"{a}.example", f"{a}.co.uk", "post.example.net", f"{a}.de", f"{a}.io", f"{a}.test"])
         form = self.r.random()
         if form < 0.6:
             return f"{local}@{dom}"
         if form < 0.68:
             return f"{local}@{dom}".upper()
         parts = dom.split(".")
-        return self.pick([f"{local} (at) {' (dot) '.join(parts)}", f"{local}[at]{'[dot]'.join(parts)}", f"{local} AT {' DOT '.join(parts)}", f"{local} at {' dot '.join(parts)}", f"{local}%40{dom}", f"{local}&#64;{dom}", f"{local} [at] {dom}"])
+        return self.pick([f"{local} (at) {' (dot) '.join(parts)}", f"{local}[at]{'[dot]'.join(parts)}", f"{local} AT {' DOT '.join(parts)}", f"{local} at {' dot '.join(parts)}", f"{local}%40{dom}", f"{local}&#64;{dom}", f"{local} [at] {dom}", f"{local} {{at}} {dom}"])
+
+    # Sentences: lists of pieces; a piece is text, or (type, text)
 
-    def positive(self) -> list:
-        """Pieces of a sentence: text, or (type, text)."""
-        n, n1, e, p, i, a = (4, self.name()), (4, self.given()), (0, self.email()), (1, self.phone()), (2, self.idnum()), (3, self.address())
-        full, g2 = (4, f"{self.given()} {self.surname()}"), (4, self.given())
-        t, title = self.pick(_TEAM), self.pick(["Dr. ", "Ms. ", "Mr. ", "Prof. ", "Mrs. "])
+    def persons(self) -> list:
+        n, full = (4, self.name(0.12)), (4, self.full())
+        one, other = (4, self.given()), (4, self.name(0.3))
+        role, v, noun, noun2 = self.pick(_ROLE), self.verb(), self.noun(), self.noun()
+        key, field, title = self.pick(_KEYS), self.pick(_FIELDS), self.pick(_TITLES)
+        end = self.pick([".", ".", "!", ", I think.", " again.", ""])
         return self.pick([
-            ["Reported by ", n, ", reachable at ", e, "."], ["I spoke with ", n, " about the ", self.pick(_NOUN), "."], ["According to ", n, ", the ", self.pick(_NOUN), " is fine."], ["Please call ", p, " and ask for ", n, " before you merge this."], ["Reach me on ", p, " after lunch."],
-            ["cc ", n, " and ", full, " for the review."], ["Pair with ", n1, " and ", full, " on this one."], ["Hi ", n1, ", the build is green again."], ["Hello ", n1, ",\nthe ", self.pick(_NOUN), " is back."], ["Thanks,\n", (4, self.name(0.4))], ["Cheers,\n", (4, self.name(0.4))], ["Best regards\n", n], [n1, f" from the {t} team will take it over."],
-            ["Escalated to ", title, n, "; no answer yet."], [title, n, " asked for a waiver until Friday."], ["Signed-off-by: ", n, " <", e, ">"], ["Co-authored-by: ", n, " <", e, ">"], ["-- ", n, f", {t} on-call, ", p], ["reporter: ", n, "\nphone: ", p, "\nmail: ", e], ["assignee=", n, ";contact=", e],
-            ['{"owner": "', n, '", "email": "', e, '", "tel": "', p, '"}'], ['id,name,mail\n17,"', n, '",', e], ["# owner: ", n, " (", p, ")"], ["login='", e, "' caller='", p, "' ok"], ["Write to ", e, " or to ", (0, self.email()), " if it fails."], ["mailto:", e], ["user=", e, " action=login"], ["curl 'https://scan.example/invite?to=", e, "&role=dev'"],
-            ["Passport no. ", i, " appears in the seed data."], ["National id ", i, " was used as a test value."], ["The log line leaks a social security number, ", i, ", in clear."], ["dob=1970-01-01;ssn=", i, ";name=", n], ["and has the tax id ", i, "."], ["Die Ausweisnummer ", i, " steht im Log."], ["Le numéro ", i, " figure dans le journal."], ["El documento ", i, " aparece en la prueba."],
-            ["The fixture holds a real record: ", full, ", ", i, ", ", a, "."], ["Ship the replacement laptop to ", a, "."], ["My address for the invoice is ", a, "."], ["Customer lives at ", a, " and has the tax id ", i, "."], ["Deliver to:\n", n, "\n", a, "\n"], ["Die Anschrift lautet ", a, "."], ["Mon adresse est ", a, "."], ["Mi dirección es ", a, "."],
-            ["Gemeldet von ", n, ", erreichbar unter ", p, "."], ["Frau ", n, " prüft den Befund."], ["Herr ", n, " prüft den Befund."], ["Signalé par ", n, ", joignable au ", p, "."], ["Mme ", n, " relit la règle."], ["Écrire à ", e, " avant la fusion."], ["Lo informó ", n, " desde ", e, "."], ["La señora ", n, " revisa el hallazgo."], ["Llame al ", p, " si falla."], ["Bitte an ", e, " schreiben."],
-            [n, " wrote on Tuesday:\n> ok"], ["The mobile of the on-call is ", p, "."], ["tel: ", p, ", fax: ", (1, self.phone())], ["Ask ", n1, " or ", full, "."], ["Author: ", n, "\n"], ["Assigned to ", n, " since Monday."], ["ping ", n1, " about this"], ["from: ", full, " <", e, ">"], ["Dear ", title, full, ","], ["SSN: ", i], ["passport=", i, ";phone=", p], ["Our office moved to ", a, "."], ["contact: ", n, ", ", p],
-            [full, " thinks the ", self.pick(_NOUN), " is stale."], [full, " merged it."], ["Met ", full, " in ", self.town(), "."],
-        ])
+            lambda: [full, f" {v} {noun}{end}"], lambda: [full, f" {v}{end}"], lambda: [full, f" {self.pick(['is', 'was', 'has been', 'will be', 'would be', 'might be'])} {self.pick(['away', 'right', 'on leave', 'the owner', 'in charge of', 'away from'])} {noun}."], lambda: [self.pick(_ADVERBS) + self.pick([" ", ", "]), full, f" {v} {noun}{end}"], lambda: [f"{self.pick(['My', 'Our', 'Her', 'A', 'Your'])} {role} ", (4, self.name(0.4)), f" {v}{end}"],
+            lambda: [f"{self.cap()} {noun} was {self.pick(_DID_PASSIVE)} by ", n, self.pick([".", " in June.", f" for {noun2}."])], lambda: [f"{self.pick(['Spoke', 'I spoke', 'Talk', 'We talked', 'Check', 'Speak', 'Lunch', 'Meeting', 'Call'])} {self.pick(['with', 'to'])} ", n, f" {self.pick(['about', 'regarding', 'before', 'on'])} {noun}."], lambda: [f"{self.pick(['Ask', 'Ping', 'Tell', 'Call', 'Email', 'Met', 'Thank', 'Contact', 'Please ask', 'Meet', 'Invite', 'Remind'])} ", n, f" {self.pick(['about', 'before', 'for', 'if'])} {noun}{end}"],
+            lambda: [f"{self.pick(['According to', 'Thanks to', 'Escalated to', 'Assigned to', 'Forwarded to', 'Handed to', 'Reported by', 'A note from', 'As told by', 'Credit to', 'Photo by', 'Paid by'])} ", n, self.pick([".", ", ", f", {noun} is fine.", " since Monday."])], lambda: [f"{key}: ", n, self.pick(["\n", "", f"\n{self.pick(_KEYS)}: "])], lambda: [f"{field}=", n, self.pick([";", " ", "&", f";{self.w()}={self.digits(2)}"])], lambda: [f'{{"{field}": "', n, f'", "{self.w()}": "{self.w()}"}}'], lambda: [f"{field}: ", n, "\n"],
+            lambda: [f'{self.digits(2)},"', n, f'",{self.w()}'], lambda: [f"{self.pick(_GREETINGS)} ", (4, self.given() if self.chance(0.7) else self.full()), self.pick([",\n", ", ", "! ", ",\n\n"]), noun, end], lambda: [f"{self.pick(_CLOSINGS)},\n", (4, self.name(0.5))], lambda: [f"{self.pick(_CLOSINGS)}, ", (4, self.name(0.5)), "\n"], lambda: [f"{noun}. ", f"{self.pick(['Dear', 'Escalated to', 'Ask', 'See', 'With', 'Tell', 'I saw', ''])} {title}".lstrip(), (4, self.surname() if self.chance(0.4) else self.name()), f" {self.pick(['for', 'about', 'in', 'and'])} {noun}."],
+            lambda: [title, (4, self.surname() if self.chance(0.4) else self.name()), f" {v} {noun}{end}"], lambda: [n, self.pick([", ", " and "]), full, " and ", one, f" {self.pick(['will join', 'left early', 'agreed', 'were absent', 'met'])}."], lambda: ["cc ", n, " and ", full, self.pick([".", " for the review."])], lambda: [full, f"'s {self.w()} {v}."], lambda: [one, f"'s {self.w()} {self.w()} {v}."], lambda: [f"{self.cap()} {noun} ({self.pick(['by', 'reviewed by', 'via', 'with'])} ", n, ")."], lambda: [one, f" {self.pick(['said', 'from the ' + self.w() + ' team', 'from the ' + self.w() + ' desk', 'wrote', 'thinks', 'asked', 'and I', 'will take over', 'from ' + self.w()])} {noun}."],
+            lambda: [n, f" wrote{self.pick([':', ' on Friday:', ' yesterday:'])}\n> {noun}"], lambda: [f"{self.pick(['Signed-off-by', 'Co-authored-by', 'Reviewed-by', 'From', 'To', 'Tested-by'])}: ", n, " <", (0, self.email()), ">"], lambda: [n, " <", (0, self.email()), ">"], lambda: [n, self.pick([" (", ", ", " - ", " – "]), (1, self.phone()), self.pick([")", ""])], lambda: [f"-- ", n, f", {self.w()} {self.pick(['team', 'on-call', 'desk'])}"], lambda: [f"# {self.pick(['owner', 'author', 'maintainer', 'contact'])}: ", n, "\n"], lambda: [f"{self.cap()}: ", full, f", {self.w()} {self.w()}"],
+            lambda: [f"{self.pick(['Between', 'For', 'With', 'Without'])} ", full, f", {noun} {v}."], lambda: [f"{self.pick(['Frau', 'Herr', 'Herrn', 'Kollegin', 'Kollege'])} ", n, f" {self.pick(['prüft', 'schreibt', 'meldet', 'fragt nach', 'bittet um', 'sucht'])} {self.pick(['den', 'die', 'das'])} {self.pick(_GERMAN)}."], lambda: [f"{self.pick(['Gemeldet von', 'Laut', 'Rückfrage an', 'Geprüft von', 'Danke an'])} ", n, self.pick([".", ", danke."])], lambda: [f"{self.pick(['Selon', 'Signalé par', 'Validé par', 'Merci à', 'Contactez'])} ", n, f", {self.w()}."], lambda: [f"{self.pick(['Según', 'Lo informó', 'Revisado por', 'Gracias a', 'La señora', 'El señor'])} ", n, f" {self.pick(['pide', 'desde', 'revisa', 'para'])} {self.w()}."],
+            lambda: [full, self.pick([" ist krank.", " kommt später.", " est absente.", " a validé.", " está de viaje.", " vive lejos.", " hat geschrieben."])], lambda: [f"I {self.pick(['saw', 'know', 'met', 'asked', 'called', 'told', 'trust', 'paid'])} ", n, end], lambda: [f"{self.cap()} {noun} and ", full, f" {v}."], lambda: [f"{self.pick(['where', 'because', 'that', 'when', 'while'])} ", full, f" {v} {noun}{end}"],
+        ])()
+
+    def details(self) -> list:
+        e, p, i, a, n = (0, self.email()), (1, self.phone()), (2, self.idnum()), (3, self.address()), (4, self.name(0.2))
+        noun = self.noun()
+        idname = self.pick(_ID_NAMES)
+        sep = self.pick([": ", " ", "=", " no. ", " is ", " number ", ": ", " #"])
+        phone_word = self.pick(["phone", "tel", "Tel.", "mobile", "cell", "call", "Call", "fax", "Phone", "Telefon", "reach me on", "ring", "dial", "WhatsApp", "SMS to", "Teléfono", "Téléphone", "Handy", "my number is", "hotline", "text me at", "Please call", "tel:", "Llame al", "appelez le"])
+        at = self.pick(["lives at", "office moved to", "address is", "Address:", "Ship to", "Deliver to", "Send it to", "Invoice address:", "wohnt in der", "Anschrift:", "Adresse :", "Dirección:", "habite", "visit us at", "parcel for", "home:", "residing at", "Meet me at", "mail it to", "located at", "Deliver to:\n", "Die Anschrift lautet", "Mon adresse est", "Mi dirección es"])
+        return self.pick([
+            lambda: [f"{phone_word}{self.pick([' ', ': '])}", p, self.pick([".", "", f" {self.pick(['after', 'before', 'if', 'and'])} {noun}."])], lambda: [f"{self.cap()} {noun}: ", p, "\n"], lambda: ["phone=", p, self.pick([";", " ", "&"])], lambda: ['"phone": "', p, '"'], lambda: [f"{self.w()} under ", p, "."], lambda: [n, self.pick([", ", " | ", "\t", "; "]), p, self.pick([", ", " | ", "\t", "; "]), e], lambda: [f"{self.pick(['T', 'M', 'P', 'Ph', 'Mob'])}: ", p], lambda: [f"The {self.pick(['mobile', 'phone', 'number', 'landline', 'extension'])} of {noun} is ", p, "."], lambda: ["joignable au ", p, "."], lambda: ["erreichbar unter ", p, "."], lambda: ["caller='", p, "' ok"],
+            lambda: [f"{idname}{sep}", i, self.pick([".", "", f" {self.verb()} {noun}."])], lambda: [f"{self.pick(['The', 'Her', 'His', 'My'])} {idname} ", i, f" {self.pick(['appears', 'was leaked', 'is printed', 'was used', 'is valid', 'leaked'])} in {noun}."], lambda: [f"{idname.lower().replace(' ', '_')}=", i, ";"], lambda: [f'"{idname.lower()}": "', i, '"'], lambda: [n, ", ", i, ", ", a], lambda: [f"a {idname}, ", i, f", in {noun}."], lambda: [f"with {idname} ", i, f" {self.verb()}."],
+            lambda: [f"{at} ", a, self.pick([".", "\n", ""])], lambda: ["Deliver to:\n", n, "\n", a, "\n"], lambda: [n, "\n", a, "\n"], lambda: [f"{self.pick(['I live at', 'We moved to', 'Our new home is', 'The shop is at', 'Pick it up at'])} ", a, "."], lambda: ["address=", a, ";"], lambda: [n, " lives at ", a, f" and has the {idname} ", i, "."],
+            lambda: [f"{self.pick(['Write to', 'Mail', 'Email', 'Contact', 'Send it to', 'Bitte an', 'Écrire à', 'Escriba a', 'forward to'])} ", e, f" {self.pick(['if', 'before', 'about', 'and'])} {noun}."], lambda: ["mailto:", e], lambda: ["login='", e, "' ok"], lambda: [f"user=", e, f" {self.w()}={self.w()}"], lambda: [f"https://{self.w()}.example/{self.w()}?to=", e, "&a=1"], lambda: ["mail: ", e, "\n"], lambda: [e, " or ", (0, self.email())], lambda: ["contact=", e],
+        ])()
 
     def negative(self) -> list:
-        d, g, th, r = self.digits, self.given(), self.pick(_THING), self.r
-        t = self.pick(_TEAM)
+        g, th, noun, v, num, r = self.given(), self.thing(), self.noun(), self.verb(), self.number(), self.r
+        thing, key = self.pick(_THINGS), self.pick(_NUMBERED)
+        W = self.cap
         return self.pick([
-            [f"Rename class {g}{th} to {self.pick(_THING)}."], [f"Codename {g} ships with version {d(1)}.{d(2)}.{d(2)}."], [f"Release {g}-{d(4)} is out."], [f"The {g} cluster restarts at night."], [f"The {g} Batch job and the Harbor Web job ran on Monday."], [f"Ticket {d(4)}-{d(4)}-{d(4)} was closed."], [f"Ticket {d(3)}-{d(4)}-{d(3)} was closed."],
-            [f"Build {d(8)} finished on 2024-0{r.randrange(1, 9)}-1{d(1)}."], [f"Build {d(10)} finished."], [f"Order {d(8)} has {d(3)} lines."], [f"Offsets {d(6)}-{d(6)} of the {self.pick(_NOUN)} were skipped."], [f"Page {d(3)} of the {th} Manual explains Street View tiles."], [f"{d(4)} Main Loop iterations, then {d(3)} Drive resets."], [f"Bloom Filter and {th} Pool are both stale."],
-            [f"Upgrade {self.pick(_NOUN)}@{d(1)}.{d(2)}.{d(1)} to {self.pick(_NOUN)}@{d(1)}.{d(1)}.{d(1)}."], [f"cc @{t}-bot for the rerun."], [f"Pulled registry.example/{t}@sha256:{d(12)}."], [f"git clone git@host{d(1)}:team/{t}.git"], [f"Trace {d(4)}a{d(3)}-{d(4)}-{d(4)}-8{d(3)}-0{d(11)} shows it."], [f"Fixed in {d(12)}; the next nightly is clean."], [f"It took {d(4)} ms to parse {d(4)} files."],
-            [f"{d(4)}\t\t{d(3)} signed"], [f"Line {d(4)} belongs to {t}."], [f"The {self.word(_LAST)} helper has no owner."], [f"{th}.{self.pick(_NOUN)} at {t}/{self.pick(_NOUN)}.go:{d(3)}:{d(2)} is bound twice."], [f"The rule PYTHON-SEC-{d(1)} fired {d(4)} times."], [f"See CWE-{d(4)} for background."], [f"Host {g.lower()}-{d(2)}.{t}.example answers on port {d(4)}."], [f"serial {d(4)} {d(4)} {d(4)} was logged"],
-            [f"from 2024-0{r.randrange(1, 9)}-0{r.randrange(1, 9)} to 2024-1{r.randrange(0, 2)}-1{d(1)}"], [f"commit {d(7)}b{d(2)} moved it"], [f"[2024-03-2{d(1)}T08:{d(5)}Z] INFO: scanned {d(4)} files"], [f"Version {d(1)}.{d(2)}.{d(2)} adds a matcher."], [f"The {self.word(_LAST)} Router and the {g} Store are vendored."], [f"branch feature/{g.lower()}-{d(3)} is stale"], [f"{{\"rule\": \"GO-LINT-{d(1)}\", \"line\": {d(4)}, \"sha\": \"{d(12)}\"}}"],
-            [f"Whatever {t} sends at {d(2)} hops is slow."], [f"invoice {d(9)} was paid"], [f"id={d(9)} seq={d(8)}"], [f"Job {d(3)}-{d(3)}-{d(4)} failed."], [f"The {th} of the {self.pick(_NOUN)} is stale, says the log."], [f"{self.pick(_THING)} {self.pick(_NOUN)} {d(4)} {d(4)}"], [f"table {g} has {d(7)} rows"], [f"{self.word(_LAST)} {th} is stale."], [f"Merge {self.word(_PLACE)} {th} into the {self.pick(_THING)} {th}."], [f"The {self.word(_PLACE)} {self.word(_LAST)} build is green."], [f"See {th} {self.pick(_THING)} in the {self.word(_PLACE)} Guide."], [f"Pull Request {d(3)} adds {self.word(_LAST)} {th}."], [f"{th} {self.pick(_THING)} merged the {self.pick(_NOUN)}."], [f"class {g}({th}):"], [f"deploy@{t}-{d(2)} ran it"], [f"{t}-bot@{d(1)}.{d(1)} replied"],
-        ])
+            lambda: f"{self.pick(['The ', '', 'A ', 'Our ', 'Both '])}{W()} {W()} {v} {noun}.", lambda: f"{W()} {W()} {W()}\n", lambda: f"{th} {v} {noun}.", lambda: f"{self.pick(['See', 'Open', 'Check', 'Read', 'Use', 'Run'])} {th} {W()} {self.pick(['in', 'of', 'for'])} the {W()} {self.pick(['Guide', 'Manual', 'Index', 'Handbook', 'Book'])}.", lambda: f"{W()} {self.w()} {noun}.", lambda: f"{W()} {noun} in {self.w()} {self.w()}.", lambda: f"# {W()} {W()}\n", lambda: f"{W()}: {self.w()} {self.w()}", lambda: f"{W()}: {W()} {W()}",
+            lambda: f"{self.pick(['Rename', 'Delete', 'Move', 'Add', 'Import'])} {self.pick(['class', 'struct', 'type', 'module'])} {g}{self.thing()} to {self.thing()}.", lambda: f"{thing.capitalize()} {g} {v} {self.w()}.", lambda: f"{thing.capitalize()} {g}-{self.digits(4)} is out.", lambda: f"{self.pick(['The', 'Our', 'A'])} {g} {thing} {v} {noun}.", lambda: f"The {self.surname()} {thing} {v}.", lambda: f"the {g} {W()} {thing} and the {W()} {W()} {thing} {v}.", lambda: f"class {g}({th}):", lambda: f"{g}{th} {v} {noun}", lambda: f"{g}.{self.w()} {v} {noun}", lambda: f"host {g.lower()}-{self.digits(2)}.{self.w()}.example", lambda: f"@{g.lower()}-bot {self.w()}",
+            lambda: f"{self.pick(['upgrade', 'install', 'deploy', 'run', 'start', 'restart'])} {self.pick(self.proper)} {self.digits(1)}.{self.digits(1)}", lambda: f"{self.pick(self.proper)} and {self.pick(self.proper)} {v} {noun}.", lambda: f"with {self.pick(self.proper)} {self.digits(1)}.{self.digits(2)}", lambda: f"in {self.town()} {noun}", lambda: f"{noun} {v} in {self.town()}.", lambda: f"The {self.pick(self.proper)} {self.w()} {v}.", lambda: f"{self.surname()} {self.pick(['Inc.', 'GmbH', 'Ltd', 'Corp', 'AG', 'LLC'])} {v} {noun}.", lambda: f"University of {self.town()}", lambda: f"on {self.pick(['Monday', 'Friday', 'Sunday'])} {W()} {v}", lambda: f"table {g} has {self.digits(5)} rows", lambda: f"release/{g.lower()}-{self.digits(2)}",
+            lambda: f"{self.pick(['Der', 'Die', 'Das', 'Ein'])} {self.pick(_GERMAN)} {self.w()} {self.pick(['gelangt', 'fehlt', 'läuft', 'ist falsch'])} {self.pick(['nach', 'in', 'aus', 'mit'])} {self.pick(_GERMAN)} {th}.{self.w()}.", lambda: f"{self.pick(_GERMAN)} und {self.pick(_GERMAN)} der {self.pick(_GERMAN)} prüfen.", lambda: f"La {self.w()} {self.w()} {th}.{self.w()} sans {self.w()}.", lambda: f"Hay que {self.w()} {self.w()} {th}.", lambda: f"{th}.{self.w()}() {v}", lambda: f"{self.w()}.{self.w()}:{self.digits(3)}:{self.digits(2)} {v} {noun}", lambda: f'File "{self.w()}/{self.w()}.py", line {self.digits(3)}, in {self.w()}_{self.w()}\nTypeError: {noun}', lambda: f"{W()}, {W()} and {W()} {v}.", lambda: f"{W()} & {W()} {v}.",
+            self.codes, self.foreign_line, self.foreign_line, lambda: f"{key.capitalize()} {num} {v} {noun}.", lambda: f"{key}={num}", lambda: f"{key} {num}", lambda: f"{key}s {num} {v}", lambda: f"{self.w()} {num} {self.w()}", lambda: f"{W()} {num} was {self.w()}ed.", lambda: f'{{"{key}": "{num}", "{self.w()}": {self.digits(4)}}}', lambda: f"({num})", lambda: f"{noun} took {self.digits(4)} ms for {self.digits(4)} {self.w()}s", lambda: f"from {num} to {self.number()}", lambda: f"[20{self.digits(2)}-0{r.randrange(1, 9)}-1{self.digits(1)}T08:{self.digits(2)}:{self.digits(2)}Z] INFO {self.w()}: {self.digits(4)} {self.w()}s, {self.digits(3)} {self.w()}s", lambda: f"{self.digits(4)}\t{self.digits(4)}\t{self.digits(3)}", lambda: f"fixed in {self.digits(12)}; {noun}", lambda: f"{self.w()} #{self.digits(7)}",
+            lambda: f"{self.digits(r.randrange(1, 5))} {W()} {self.pick(['Street', 'Drive', 'Court', 'Way', 'Row', 'Place', 'Square', 'Road', 'Close'])} {self.w()}s {v}.", lambda: f"{key} {self.digits(3)} of {noun} {v} {W()} {self.pick(['Street', 'Drive', 'Way'])} {self.w()}.", lambda: f"{self.w()}@{self.digits(1)}.{self.digits(1)}.{self.digits(1)}", lambda: f"@{self.w()}/{self.w()}@{self.digits(2)}.{self.digits(1)}", lambda: f"git clone git@{self.w()}.example:{self.w()}/{self.w()}.git", lambda: f"{self.pick(['ssh', 'scp', 'rsync'])} root@{self.w()}{self.digits(2)}:/srv", lambda: f"{self.w()}-bot@{self.digits(2)}.{self.digits(1)} replied", lambda: f"{self.w()}@sha256:{self.digits(12)}", lambda: f"deploy@{self.w()}-{self.digits(2)} ran", lambda: f"@{self.w()} {v}", lambda: f"mailer-daemon@{self.w()}", lambda: f"{self.w()} at {self.w()} {self.digits(2)}",
+        ])()
+
+    def rare_start(self) -> str:
+        """A sentence that begins with a word the lexicon lacks."""
+        return f"{self.rare().capitalize()} {self.pick([self.verb(), self.noun(), self.digits(self.r.randrange(1, 5)) + ' ' + self.w(), self.w() + 's ' + self.noun(), 'is ' + self.w(), self.pick(['from the', 'de', 'der', 'of', 'to']) + ' ' + self.w()])} {self.w()}{self.pick(['.', '.', '?', ''])}"
+
+    def codes(self) -> str:
+        """Names of rules, constants and the like around numbers and other nouns."""
+        code = f"{self.w().upper()}-{self.w().upper()}-{self.digits(1)}" if self.chance(0.5) else f"{self.w().upper()}_{self.w().upper()}" if self.chance(0.3) else self.w()[:4].upper() + f"-{self.digits(3)}"
+        return f"{self.pick(['The rule ', 'Die Regel ', 'La règle ', 'La regla ', 'See ', 'Rule ', 'Warning ', 'Fehler ', ''])}{code} {self.pick([self.verb(), 'fehlt', 'manque', 'falta', 'im Paket ' + self.w(), 'for background'])}."
+
+    def foreign_line(self) -> str:
+        """Words of several languages, nouns in capitals now and then."""
+        out = []
+        for _ in range(self.r.randrange(3, 10)):
+            w = self.rare() if self.chance(0.2) else self.pick(self.foreign) if self.chance(0.35) else self.w() if self.chance(0.5) else self.pick(["der", "die", "und", "ist", "von", "mit", "les", "des", "et", "en", "de", "la", "que", "para", "por", "el", "una", "nicht", "wird", "sont", "son"])
+            out.append(w.capitalize() if self.chance(0.15) else w)
+        if self.chance(0.3):
+            out.insert(self.r.randrange(1, len(out)), self.digits(4))
+        text = " ".join(out)
+        return text[:1].upper() + text[1:] + self.pick([".", ".", "?", ":", ""])
+
+    def plain(self) -> str:
+        text = " ".join(self.pick([self.w, self.w, self.noun, self.verb, lambda: self.pick(["of", "in", "and", "with", "to", "is", "before"]), lambda: self.digits(self.r.randrange(1, 5))])() for _ in range(self.r.randrange(3, 10)))
+        if self.chance(0.4):
+            text = f"{self.rare()} {self.digits(self.r.randrange(1, 5)) + ' ' if self.chance(0.4) else ''}{text}"
+        return text[:1].upper() + text[1:] + self.pick([".", ".", "?", "", ":"])
+
+
+# Forms of telephone numbers in several countries; 9 stands for a digit.
+_PHONES = (
+    "+1 (999) 999-9999", "(999) 999 9999", "(999) 999-9999", "999-999-9999", "999.999.9999", "+1.999.999.9999", "+19999999999", "001-999-999-9999", "1-999-999-9999", "+1 999 999 9999", "+44 20 9999 9999", "+44 99 9999 9999", "+44 9999 999999", "09999 999999", "099 9999 9999", "0999 999 9999",
+    "+49 99 99999 999", "+49 999 9999999", "+49 (0)99 9999999", "099/99999-999", "0999-9999999", "0999/999999", "0999 9999999", "0049 99 999999", "+33 9 99 99 99 99", "09.99.99.99.99", "09 99 99 99 99", "+34 999 999 999", "+34 999 99 99 99", "999 99 99 99", "+39 99 9999 9999", "+61 9 9999 9999", "+91 99999 99999", "+351 999 999 999",
+    "+48 999 999 999", "+31 9 99999999", "+41 99 999 99 99", "+43 9 9999999", "+46 99-999 99 99", "+99999999999", "+9999999999999", "+81 99-9999-9999", "+55 99 99999-9999", "+420 999 999 999", "0999 99 99 99",
+)
+# Forms of identity numbers; 9 stands for a digit, A for a letter.
+_IDS = (
+    "999-99-9999", "999 99 9999", "999-99-9999", "1 99 09 99 999 999 99", "2 99 12 99 999 999 99", "1990599999999 99", "AA999999A", "AA 99 99 99 A", "AA99 99 99A", "A99999999", "A9999999", "AA9999999", "X9999999A", "Y-9999999-A", "99999999-A", "99999999A", "99 999 999 999", "99999999999", "999999999", "999.999.999-99", "9999 9999 9999", "999999-9999", "999999-999A",
+    "999 999 9999", "999 999 999", "99-9999999", "AAAAA9999A", "AAAAAA99A99A999A", "AAAAA999999AA9AA", "99/999/99999", "C99AAA999", "999/999/9999", "A999-9999-9999", "AA9999999999",
+)
+# What identity numbers are called.
+_ID_NAMES = (
+    "SSN", "ssn", "social security number", "passport", "passport number", "Passport", "tax id", "Tax number", "TIN", "NIF", "NIE", "DNI", "national id", "National identity number", "identity card", "ID card", "driving licence", "driver's license", "CPF", "PAN", "Aadhaar", "national insurance number", "NINO", "social insurance number", "BSN", "PESEL",
+    "Ausweisnummer", "Personalausweis", "Steuernummer", "Steuer-ID", "Sozialversicherungsnummer", "Reisepass", "numéro de sécurité sociale", "numéro", "passeport", "documento", "pasaporte", "codice fiscale", "personnummer", "document", "cédula", "NHS", "resident permit", "Reisepassnummer",
+)
 
 
 def sentences(n: int = SENTENCES, seed: int = SEED, listed: float = LISTED) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Texts of a few sentences with the (type, start, end) of their mentions."""
     make = _Maker(random.Random(seed), listed)
     out = []
-    fillers = ["The {} reaches the sink unchanged.", "A second {} hides the first... right?", "Every {} of the package is bound twice.", "Please wrap the {} so that it raises early.", "Der Wert {} gelangt ungeprüft nach Cache.flush.", "La valeur {} atteint le puits.", "Hay que limpiar {} antes.", "The container mounts the {} socket.", "In {}, line 12 wins.", "Our {} stub counts as high."]
     for _ in range(n):
         text, spans = "", []
         for _ in range(make.r.randrange(1, 4)):
             roll = make.r.random()
-            pieces = make.positive() if roll < 0.5 else make.negative() if roll < 0.8 else [make.pick(fillers).format(make.pick(_NOUN))]
-            for piece in pieces:
+            pieces = make.persons() if roll < 0.32 else make.details() if roll < 0.52 else make.negative() if roll < 0.86 else make.plain()
+            for piece in [pieces] if isinstance(pieces, str) else pieces:
                 if isinstance(piece, tuple):
                     spans.append((piece[0], len(text), len(text) + len(piece[1])))
                     text += piece[1]
@@ -157,14 +296,15 @@ def sentences(n: int = SENTENCES, seed: int = SEED, listed: float = LISTED) -> l
 def labelled(texts: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, types and labels of the candidates: right are those that begin, and for names end, as a mention does."""
     x, kinds, y = [], [], []
+    lex = pii.lexicon()
     for text, spans in texts:
         starts = {(k, s): e for k, s, e in spans}
-        for c in pii.candidates(text):
+        found, rows = pii.spans_of(text, lex)
+        x += rows
+        for c in found:
             end = starts.get((c.kind, c.start))
-            right = end is not None and (c.end == end if c.kind == 4 else abs(c.end - end) <= 12 or c.kind == 3)
-            x.append(pii.features(text, c))
             kinds.append(c.kind)
-            y.append(float(right))
+            y.append(float(end is not None and (c.end == end if c.kind == 4 else abs(c.end - end) <= 12 or c.kind == 3)))
     return np.array(x, np.float32), np.array(kinds), np.array(y)
 
 
@@ -176,6 +316,11 @@ def fit_models(n: int = SENTENCES, seed: int = SEED) -> tuple[boosting.Boosted,
     hx, hk, hy = labelled(texts[cut:])
     out = []
     for kind in range(len(pii.TYPES)):
-        model = boosting.fit(x[k == kind], y[k == kind])
+        shape = {"trees": 90, "depth": 5, "rate": 0.2} if kind == 4 else {"trees": 50, "depth": 4}
+        model = boosting.fit(x[k == kind], y[k == kind], **shape)
         out.append(boosting.calibrate(model, hx[hk == kind], hy[hk == kind]))
     return tuple(out)
+
+
+if __name__ == "__main__":
+    pii.MODELS.write_text(json.dumps({"sentences": SENTENCES, "seed": SEED, "models": [m.to_json() for m in fit_models()]}, separators=(",", ":")) + "\n")

@@ -1,5 +1,9 @@
+import json
+from collections import Counter
+
 import numpy as np
 import pytest
+from tests.llm import pii_heldout
 
 from codelattice.llm import boosting, pii, pii_training
 
@@ -40,38 +44,79 @@ def test_held_out_accuracy(finder):
     assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.95
 
 
+def spans(text, kind):
+    words = pii.Text(text, pii.lexicon())
+    if kind == 4:
+        return {text[c[2] : c[3]] for c in pii.name_candidates(words)}
+    return {text[c.start : c.end] for c in pii.candidates(words) if c.kind == kind}
+
+
+def test_held_out_forms_names_and_numbers(finder):
+    """Sentence forms, names and number formats that training doesn't hold: recall of 0.9 for each type."""
+    texts = pii_heldout.texts()
+    right, wanted, given = Counter(), Counter(), Counter()
+    for (text, want), got in zip(texts, finder.find([t for t, _ in texts]), strict=True):
+        have = {(pii.TYPES[c.kind], c.start) for c, _ in got}
+        wanted.update(k for k, _ in want)
+        given.update(k for k, _ in have)
+        right.update(k for k, _ in have & set(want))
+    print({k: (round(right[k] / wanted[k], 3), round(right[k] / given[k], 3), wanted[k]) for k in pii.TYPES})
+    for kind in pii.TYPES:
+        assert right[kind] / wanted[kind] >= 0.9, kind
+        assert right[kind] / given[kind] >= 0.9, kind
+
+
+def test_held_out_sets_are_held_out():
+    assert not {x for x in pii_heldout.GIVEN if x in pii.GIVEN}
+    trained_on = " ".join(t for t, _ in pii_training.sentences(3000, 20))
+    assert not [n for n in pii_heldout.SURNAME if f" {n}" in trained_on and n not in pii.lexicon().ranks]
+
+
 def test_generators_recall():
     """What the generators don't propose no model can find."""
-    n = hit = 0
-    for text, spans in pii_training.sentences(400, seed=17):
-        have = {(c.kind, c.start) for c in pii.candidates(text)}
-        n += len(spans)
-        hit += sum((k, s) in have for k, s, _ in spans)
-    assert hit / n > 0.97
+    for texts in ([(t, [(pii.TYPES[k], s) for k, s, _ in ss]) for t, ss in pii_training.sentences(400, seed=17)], pii_heldout.texts(400)):
+        n = hit = 0
+        for text, want in texts:
+            have = {(pii.TYPES[c.kind], c.start) for c in pii.spans_of(text, pii.lexicon())[0]}
+            n += len(want)
+            hit += len(have & set(want))
+        assert hit / n > 0.97
 
 
 def test_generators_take_every_cue_and_way():
-    """No cheap test before a pattern keeps out what the pattern takes."""
-    spans = lambda t, kind: {t[c.start : c.end] for c in pii.candidates(t) if c.kind == kind}
-    for cue in ("pasaporte", "nie", "tin", "insee", "Sozialversicherungsnummer", "Steuernummer", "cédula", "passport", "SSN", "tax id", "Ausweis", "driver's license", "personnummer", "id no"):
+    """No window or cheap test keeps out what the patterns take."""
+    for cue in ("pasaporte", "nie", "TIN", "insee", "Sozialversicherungsnummer", "Steuernummer", "cédula", "PASSPORT", "SSN", "tax id", "Ausweis", "driver's license", "personnummer", "id no", "National Insurance number"):
         assert "12 150780 J 009" in spans(f"Cue: {cue} 12 150780 J 009", 2), cue
     for way in pii._WAY[3:].partition(")")[0].split("|"):
         for end in ("", "\nSpringfield", ";", ")", ", Springfield"):
             assert any(x.startswith(f"45 Oak {way}") for x in spans(f"45 Oak {way}{end}", 3)), (way, end)
-    for text in ("12 rue Morin", "Birkenweg12", "Am Lindenplatz 3", "Calle Mayor 4", "Viale Roma 7", "P.O.Box 12", "BP 77", "Apdo. 9", "4 bd Morin"):
+    for text in ("12 rue Morin", "Birkenweg12", "Am Lindenplatz 3", "Calle Mayor 4", "Viale Roma 7", "P.O.Box 12", "BP 77", "Apdo. 9", "4 bd Morin", "4 av. Morin", "C/ Mayor 4", "An der Lindengasse 4"):
         assert spans(text, 3), text
+    long = "The 4 of a. " * 400
+    assert any(x.startswith("45 Oak Dr") for x in spans(long + "45 Oak Dr, Holm " + long, 3)) and "+44 20 7946 0811" in spans(long + "+44 20 7946 0811 " + long, 1)
 
 
-def test_names_outside_the_list(finder):
-    for text in ("Zbigniew Kowalczyk merged the fix.", "I met with Zbigniew Kowalczyk in Holm."):
+def test_names_need_no_list(finder):
+    assert "Zbigniew Kowalczyk" in spans("Yesterday Zbigniew Kowalczyk left.", 4) and "Rajesh" in spans("Rajesh left.", 4)
+    for text in ("Zbigniew Kowalczyk merged the fix.", "I met with Zbigniew Kowalczyk in Holm.", "Yesterday Zbigniew Kowalczyk rebooted everything."):
         assert ("name", "Zbigniew Kowalczyk") in found(finder, text)
     texts = pii_training.sentences(600, seed=5150, listed=0.0)
     n = hit = 0
-    for (text, spans), got in zip(texts, finder.find([t for t, _ in texts]), strict=True):
-        want, have = {s for k, s, _ in spans if k == 4}, {c.start for c, _ in got if c.kind == 4}
+    for (text, want), got in zip(texts, finder.find([t for t, _ in texts]), strict=True):
+        want, have = {s for k, s, _ in want if k == 4}, {c.start for c, _ in got if c.kind == 4}
         n, hit = n + len(want), hit + len(want & have)
     print(f"recall of names outside the list: {hit / n:.4f} of {n}")
-    assert hit / n > 0.85
+    assert hit / n > 0.9
+
+
+def test_stored_models_are_those_that_training_fits():
+    stored = json.loads(pii.MODELS.read_text())
+    assert (stored["sentences"], stored["seed"]) == (pii_training.SENTENCES, pii_training.SEED)
+    fitted = pii_training.fit_models()
+    x = pii_training.labelled(pii_training.sentences(200, 5))
+    for kind, (a, b) in enumerate(zip(pii.trained(), fitted, strict=True)):
+        rows = x[0][x[1] == kind]
+        assert np.abs(a.probability(rows) - b.probability(rows)).max() < 0.02
 
 
 def test_boosting_learns_and_calibrates():
