@@ -29,6 +29,8 @@ class Language:
     file: str
     file_kinds: tuple[tuple[str, str], ...]
     files: Memo
+    #: Units of a file that don't repeat.
+    once: frozenset[str] = frozenset(("P",))
 
 
 def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language, out: Outline) -> None:
@@ -53,9 +55,9 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
         if len(frames) == 1:
             code = next((c for c, k in lang.file_kinds if k in kinds), "")
             if not code:
-                faults.append(Fault(offsets[0], end, lang.file_kinds[-1][1], tokens, offsets))
+                faults.append(Fault(offsets[0], end, _nearest(lang, tokens, [k for _, k in lang.file_kinds]), tokens, offsets))
                 code = lang.file_kinds[-1][0]
-            if file_units[-1:] != [code]:
+            if code in lang.once or file_units[-1:] != [code]:
                 file_units.append(code)
             return
         common = kinds & all_kinds
@@ -63,7 +65,7 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
             common -= {"elements"}
         merged = common if frame[1] is None else frame[1] & common
         if not common or not merged:
-            faults.append(Fault(offsets[0], end, lang.usual, tokens, offsets))
+            faults.append(Fault(offsets[0], end, lang.usual if common else _nearest(lang, tokens, [lang.usual, *sorted(all_kinds - {lang.usual})]), tokens, offsets))
             frame[2] = True
         else:
             frame[1] = merged
@@ -132,10 +134,11 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
         i += 1
     while len(frames) > 1:
         out.open_at_end = True
-        frame = frames.pop()
+        frame = frames[-1]
         if not faults or faults[-1].symbol != "unclosed":
             faults.append(Fault(frame[0], len(text), "unclosed"))
         end_unit(frame, len(text))
+        frames.pop()
     if frames[0][5]:
         out.open_at_end = True
     end_unit(frames[0], len(text))
@@ -143,6 +146,11 @@ def parse(text: str, codes: Sequence[str], at: Sequence[int], language: Language
         faults.append(Fault(0, len(text), lang.file, tuple(file_units)))
 
 
+def _nearest(lang: Language, tokens: tuple[str, ...], symbols: list[str]) -> str:
+    """Of the symbols the one that the most of the tokens can begin; the first where equal."""
+    return max(symbols, key=lambda s: lang.grammar.derives(tokens, s)[1])
+
+
 def _head_open(tokens: list[str], lang: Language) -> bool:
     """Whether the unit begins with a head, such as a loop's, whose group is still to come."""
     if not lang.heads:

@@ -141,6 +141,9 @@ class Grammar:
             got = self._sets[token] = frozenset() if i is None else frozenset((i,))
         return got
 
+    def has(self, name: str) -> bool:
+        return name in self._ids
+
     # Parsing
 
     def derives(self, tokens: Sequence[str], start: str) -> tuple[bool, int]:

@@ -16,11 +16,17 @@ _CODES |= {o + "=": "AUG" for o in ("+", "-", "*", "/", "%", "&", "|", "^", "<<"
 _ENDERS = frozenset(("NAME", "LIT", "STR", "break", "continue", "fallthrough", "return", "INC", ")", "]", "}"))
 
 _LEX = re.compile(
-    r"""(?:(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<raw>`[^`]*`)|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<rune>'(?:[^'\\\n]|\\[^\n]{1,9}?)')"""
-    r"""|(?P<name>[^\W\d]\w*)|(?P<num>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][+-]?\d[\d_]*)?)i?(?P<glued>\w*))"""
+    r"""(?:(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<raw>`[^`]*`)|(?P<open>/\*[\s\S]*|`[\s\S]*)|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<rune>'(?:[^'\\\n]|\\[^\n]{1,9}?)')"""
+    r"""|(?P<name>[^\W\d]\w*)|(?P<num>(?:0[xX][\da-fA-F_]*(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][+-]?\d[\d_]*)?)i?(?P<glued>\w*))"""
     r"""|(?P<op>\.\.\.|<<=|>>=|&\^=|:=|<-|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|&\^|[-+*/%&|^!<>=~.,:;()\[\]{}])|(?P<bad>\S))[ \t\r\f]*"""
 )
 
+_ESCAPE = r"\\[abfnrtv\\]|\\[0-3][0-7]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}"
+_TEXT = re.compile(rf'"(?:[^"\\\n]|{_ESCAPE}|\\")*"')
+_RUNE = re.compile(rf"'(?:[^'\\\n]|{_ESCAPE}|\\')'")
+#: Octal numbers with other digits, and underscores that part no digits.
+_WRONG_NUMBER = re.compile(r"0[\d_]*[89][\d_]*|[\d_.]*(?:__|_\.|\._)[\d_.]*|\w*_|0[xXbBoO]")
+
 GRAMMAR = Grammar(
     """
     package = 'package' NAME
@@ -52,6 +58,7 @@ GRAMMAR = Grammar(
     operand = LIT | STR | NAME | '(' expr ')' | '(' type ')' | 'func' signature BLOCK | literal | conversion
     conversion = ('[' ']' type | '[' expr ']' type | 'map' '[' type ']' type | 'chan' type | 'interface' METHODS | 'struct' FIELDS | 'func' signature) '(' args? ')'
     literal = (qname | 'struct' FIELDS | '[' ']' type | '[' (expr | DOTS) ']' type | 'map' '[' type ']' type) ELEMENTS
+    called = prim '(' args? ')'
     args = arg (',' arg)* DOTS? ','?
     arg = expr | type
     elements = element (',' element)* ','?
@@ -62,12 +69,12 @@ GRAMMAR = Grammar(
     label = 'case' caselist ':' | 'default' ':'
     caselist = simple | cases
     cases = (expr | type) (',' (expr | type))*
-    simple = exprs | exprs '=' exprs | exprs DEFINE exprs | expr AUG expr | expr INC | expr ARROW expr
-    flow = 'return' exprs? | ('break' | 'continue' | 'goto') NAME? | 'fallthrough' | ('go' | 'defer') expr
+    simple = expr | exprs '=' exprs | names DEFINE exprs | expr AUG expr | expr INC | expr ARROW expr
+    flow = 'return' exprs? | ('break' | 'continue' | 'goto') NAME? | 'fallthrough' | ('go' | 'defer') called
     block = BLOCK | ifs | 'for' loop? BLOCK | 'switch' (simple? ';')? switched? (SWITCH | BLOCK) | 'select' (SWITCH | BLOCK)
     switched = simple
     ifs = 'if' (simple? ';')? expr BLOCK ('else' (ifs | BLOCK))?
-    loop = expr | simple? ';' expr? ';' simple? | (exprs ('=' | DEFINE))? 'range' expr
+    loop = expr | simple? ';' expr? ';' simple? | (exprs '=' | names DEFINE)? 'range' expr
     """,
 )
 _MEMO = Memo(GRAMMAR, ("package", "import", "decl", "stmt", "clause", "field", "method", "elements"))
@@ -105,12 +112,14 @@ def outline(text: str) -> Outline:
                 at.append(m.start())
                 last = ""
             continue
-        elif g == "str" or g == "raw":
+        elif g == "str":
+            last = "STR" if "\\" not in m["str"] or _TEXT.fullmatch(m["str"]) else "ERR"
+        elif g == "raw":
             last = "STR"
         elif g == "rune":
-            last = "LIT"
+            last = "LIT" if _RUNE.fullmatch(m["rune"]) else "ERR"
         elif g == "num" or g == "glued":
-            last = "ERR" if m.group("glued") else "LIT"
+            last = "ERR" if m.group("glued") or _WRONG_NUMBER.fullmatch(m["num"]) else "LIT"
         else:
             last = "ERR"
         add(last)

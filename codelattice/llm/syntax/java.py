@@ -14,15 +14,23 @@ MODIFIERS = frozenset("public protected private abstract native strictfp transie
 PRIMITIVES = frozenset("boolean byte char short int long float double".split())
 SOFT = frozenset("record yield sealed permits when module".split())
 _CODES = {k: k for k in KEYWORDS} | {k: "MOD" for k in MODIFIERS} | {k: "PRIM" for k in PRIMITIVES} | {k: k for k in SOFT} | {"true": "LIT", "false": "LIT", "null": "LIT"}
-_CODES |= {o: "BIN" for o in ("/", "%", "|", "^", "||", "==", "!=", "<=", ">=", "<<")} | {"+": "SIGN", "-": "SIGN", "!": "NOT", "~": "NOT", "++": "INC", "--": "INC", "&&": "BIN", "&": "AND", "*": "STAR", "...": "DOTS"}
+_CODES |= {o: "BIN" for o in ("/", "%", "^", "||", "==", "!=", "<=", ">=", "<<")} | {"|": "BAR", "+": "SIGN", "-": "SIGN", "!": "NOT", "~": "NOT", "++": "INC", "--": "INC", "&&": "BIN", "&": "AND", "*": "STAR", "...": "DOTS"}
 _CODES |= {o + "=": "AUG" for o in ("+", "-", "*", "/", "%", "&", "|", "^", "<<", ">>", ">>>")} | {o: o for o in ("=", ".", ",", ":", ";", "(", ")", "[", "]", "{", "}", "<", ">", "?", "@", "->", "::")}
 
 _LEX = re.compile(
-    r"""(?:(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[ \t\r\f]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<char>'(?:[^'\\\n]|\\[^\n]{1,6}?)')"""
+    r"""(?:(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[ \t\r\f]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\")|(?P<open>/\*[\s\S]*|\"\"\"[\s\S]*)|(?P<str>"(?:[^"\\\n]|\\[^\n])*")|(?P<char>'(?:[^'\\\n]|\\[^\n]{1,6}?)')"""
     r"""|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*(?:\.(?!\.|[A-Za-z_])[\d_]*)?(?:[eE][+-]?\d+)?)[lLfFdD]?(?P<glued>[\w$]*))"""
     r"""|(?P<op>\.\.\.|>>>=|<<=|>>=|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|[-+*/%&|^!<>=~.,:;?@()\[\]{}])|(?P<bad>\S))\s*"""
 )
 
+_ESCAPE = r"\\[btnfrs\"'\\]|\\[0-3]?[0-7]{1,2}|\\u+[0-9a-fA-F]{4}"
+_STRING = re.compile(rf'"(?:[^"\\\n]|{_ESCAPE})*"')
+_BLOCK = re.compile(rf'"""[\s\S]*?\n(?:[^\\]|{_ESCAPE}|\\\r?\n)*')
+_CHAR = re.compile(rf"'(?:[^'\\\n]|{_ESCAPE})'")
+#: Octal numbers with other digits, whole numbers beyond their type, and underscores that part no digits.
+_WRONG_NUMBER = re.compile(r"0[\d_]*[89][\d_]*[lL]?|[\d_.]*(?:_\.|\._)[\d_.]*|\w*_[lLfFdD]?|0[xX][lL]?")
+_ONE_WORD = MODIFIERS | {"static", "final", "default", "synchronized", "sealed"}
+
 GRAMMAR = Grammar(
     """
     package = annotation* 'package' qname ';'
@@ -57,14 +65,17 @@ GRAMMAR = Grammar(
     const = annotation* NAME ('(' args? ')')? CLASS?
     items = item (',' item)* ','? | ','
     item = expr | ARRAY | annotation
-    stmt = BLOCK | ';' | pmod* type vars ';' | expr ';' | mod* kind | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
-      | 'for' '(' (init? ';' expr? ';' exprs? | pmod* type NAME ':' expr) ')' stmt | 'return' expr? ';' | 'throw' expr ';' | ('break' | 'continue') NAME? ';' | 'yield' expr ';'
-      | 'try' resources? BLOCK ('catch' '(' pmod* type (BIN type)* NAME ')' BLOCK)* ('finally' BLOCK)? | 'switch' '(' expr ')' (SWITCH | BLOCK) | 'synchronized' '(' expr ')' BLOCK
+    stmt = BLOCK | ';' | pmod* type vars ';' | effect ';' | mod* kind | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
+      | 'for' '(' (init? ';' expr? ';' effects? | pmod* type NAME ':' expr) ')' stmt | 'return' expr? ';' | 'throw' expr ';' | ('break' | 'continue') NAME? ';' | 'yield' expr ';'
+      | 'try' resources BLOCK catch* ('finally' BLOCK)? | 'try' BLOCK (catch+ ('finally' BLOCK)? | 'finally' BLOCK) | 'switch' '(' expr ')' (SWITCH | BLOCK) | 'synchronized' '(' expr ')' BLOCK
       | 'assert' expr (':' expr)? ';' | NAME ':' stmt
+    catch = 'catch' '(' pmod* type (BAR type)* NAME ')' BLOCK
     resources = '(' resource (';' resource)* ';'? ')'
     resource = pmod* type NAME '=' expr | prim
-    init = pmod* type vars | exprs
-    exprs = expr (',' expr)*
+    init = pmod* type vars | effects
+    effects = effect (',' effect)*
+    effect = prim assign expr | INC+ prim | prim INC+ | called | creation | prim '.' creation
+    called = prim '.' targs? NAME '(' args? ')' | NAME '(' args? ')' | (prim '.')? ('this' | 'super') '(' args? ')'
     clause = label+ stmt? | stmt | label* ('case' labels guard? | 'default') '->' (BLOCK | expr ';' | 'throw' expr ';')
     label = 'case' labels guard? ':' | 'default' ':'
     labels = labelone (',' labelone)*
@@ -78,7 +89,7 @@ GRAMMAR = Grammar(
     ops = unary (binary unary | 'instanceof' 'final'? (type NAME? | pattern))*
     unary = prefix* prim INC*
     prefix = SIGN | NOT | INC | '(' type (AND type)* ')'
-    binary = BIN | SIGN | STAR | AND | '<' | '>' | '>' '>' | '>' '>' '>'
+    binary = BIN | BAR | SIGN | STAR | AND | '<' | '>' | '>' '>' | '>' '>' '>'
     prim = LIT | NAME | 'this' | 'super' | '(' expr ')' | prim '.' NAME | prim '.' targs? NAME '(' args? ')' | NAME '(' args? ')' | ('this' | 'super') '(' args? ')' | prim '[' expr ']' | creation | prim '.' creation
       | (prim | type) '::' targs? (NAME | 'new') | (type | 'void') '.' 'class' | prim '.' ('this' | 'super') | 'switch' '(' expr ')' (SWITCH | BLOCK) | '(' lambda ')'
     creation = 'new' annotation* targs? ctype '(' args? ')' CLASS? | 'new' (PRIM | ctype) ('[' expr ']')+ dims | 'new' (PRIM | ctype) ('[' ']')+ ARRAY
@@ -90,32 +101,49 @@ _MEMO = Memo(GRAMMAR, ("package", "import", "typedecl", "member", "stmt", "claus
 _GROUPS = (("BLOCK", "stmt"), ("CLASS", "member"), ("SWITCH", "clause"), ("ARRAY", "items"), ("ENUM", "enumbody"))
 _FILES = Grammar("file = P? I* T*")
 LANGUAGE = Language(
-    GRAMMAR, _MEMO, _GROUPS, "member", frozenset(("else", "catch", "finally", ",", ")", "]", ".", "?", ":", "BIN", "SIGN", "STAR", "AND", "<", ">", "::", "instanceof")), frozenset(), True,
+    GRAMMAR, _MEMO, _GROUPS, "member", frozenset(("else", "catch", "finally", ",", ")", "]", ".", "?", ":", "BIN", "BAR", "SIGN", "STAR", "AND", "<", ">", "::", "instanceof")), frozenset(), True,
     "file", (("P", "package"), ("I", "import"), ("T", "typedecl")), Memo(_FILES, ("file",)),
 )
 
 
+def _too_large(num: str) -> bool:
+    """Whether a whole decimal number is beyond ``int``, or ``long`` with its letter."""
+    digits = num.rstrip("lL").replace("_", "")
+    return len(digits) > 9 and digits.isdigit() and digits[0] != "0" and int(digits) > (1 << 63 if num[-1] in "lL" else 1 << 31)
+
+
 def outline(text: str) -> Outline:
     """One pass: tokens, methods and constructors with their first modifier or annotation, units."""
     out = Outline()
     codes: list[str] = []
     at: list[int] = []
     lookup, comments, add, add_at, symbols = _CODES.get, out.comments, codes.append, at.append, _CODES
+    modifiers: set[str] = set()  # those in a row
     for m in _LEX.finditer(text):
         g = m.lastgroup
         if g == "name":
-            add(lookup(m["name"], "NAME"))
+            word = m["name"]
+            code = lookup(word, "NAME")
+            if word in _ONE_WORD and word != "default":
+                code = "ERR" if word in modifiers else code
+                modifiers.add(word)
+            elif modifiers:
+                modifiers.clear()
+            add(code)
         elif g == "op":
+            if modifiers:
+                modifiers.clear()
             add(symbols[m["op"]])
         elif g == "line" or g == "block":
             comments.append(m.span(g))
             continue
         elif g == "num" or g == "glued":
-            codes.append("ERR" if m.group("glued") else "LIT")
-        elif g == "bad":
-            codes.append("ERR")
+            add("ERR" if m.group("glued") or _WRONG_NUMBER.fullmatch(m.group("num")) or _too_large(m.group("num")) else "LIT")
+        elif g == "bad" or g == "open":
+            add("ERR")
         else:
-            add("LIT")
+            whole = m.group(g)
+            add("LIT" if (g != "char" and "\\" not in whole) or {"str": _STRING, "text": _BLOCK, "char": _CHAR}[g].fullmatch(whole) else "ERR")
         add_at(m.start())
     _methods(text, codes, at, out)
     parse(text, codes, at, LANGUAGE, out)

@@ -10,7 +10,7 @@ from codelattice.llm.syntax.chart import Edit, Grammar
 #: Entries of a table of unit signatures; such tables are emptied when full.
 MEMO = 200_000
 #: Units longer than this are located by the chart alone, without the search for the cheapest repair.
-LONGEST_REPAIR = 120
+LONGEST_REPAIR = 1_000
 
 
 @dataclass

@@ -30,13 +30,14 @@ ENTRIES = Grammar(
 _FLOWS, _BLOCKS = Memo(FLOW, ("flow",)), Memo(ENTRIES, ("block",))
 
 
-def _flow_end(text: str, at: int) -> tuple[int, tuple[str, ...]]:
-    """The end of a flow collection and its tokens; end -1 if it doesn't end."""
-    depth, tokens = 0, []
+def _flow_end(text: str, at: int) -> tuple[int, tuple[str, ...], tuple[int, ...]]:
+    """The end of a flow collection, its tokens and their offsets; end -1 if it doesn't end."""
+    depth, tokens, offsets = 0, [], []
     for m in _FLOW.finditer(text, at):
         g = m.lastgroup
         if g == "ws":
             continue
+        offsets.append(m.start())
         if g == "op":
             t = m.group()
             tokens.append(t)
@@ -45,7 +46,7 @@ def _flow_end(text: str, at: int) -> tuple[int, tuple[str, ...]]:
             elif t in "]}":
                 depth -= 1
                 if depth == 0:
-                    return m.end(), tuple(tokens)
+                    return m.end(), tuple(tokens), tuple(offsets)
         elif g == "bad":
             tokens.append("ERR")
             if m.group() in "\"'":
@@ -54,7 +55,7 @@ def _flow_end(text: str, at: int) -> tuple[int, tuple[str, ...]]:
             tokens.append("MARK" if g == "mark" else "SCALAR")
             if g == "plain" and "\n---" in m.group():
                 break
-    return -1, tuple(tokens)
+    return -1, tuple(tokens), tuple(offsets)
 
 
 def outline(text: str) -> Outline:
@@ -176,12 +177,12 @@ def _value(text: str, at: int, column: int, end: int, out: Outline) -> tuple[int
             nxt = stop + 1
         return nxt, False
     if c in "[{":
-        stop, tokens = _flow_end(text, at)
+        stop, tokens, offsets = _flow_end(text, at)
         out.units += 1
         if stop < 0:
             out.open_at_end = True
         if stop < 0 or not _FLOWS.kinds(tokens):
-            out.faults.append(Fault(at, stop if stop > 0 else n, "flow", tokens, (at,) * len(tokens)))
+            out.faults.append(Fault(at, stop if stop > 0 else n, "flow", tokens, offsets))
             if stop < 0:
                 return end + 1, False
         return _rest(text, stop, out), False
