@@ -57,6 +57,11 @@ _CALL = re.compile(r"[\w\])]\s*\((?:[^()\"'`]|\"[^\"]*\"|'[^']*')*[\"'`]?$")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s@\"'`/<>]+)@", re.I)
 _USER_FLAG = re.compile(r"(?:^|\s)(?:-u|--user)[= ]+[\"']?([\w.@-]+):([^\s\"']+)")
 _BASIC = re.compile(r"\bBasic\s+([A-Za-z0-9+/]{8,}={0,2})")
+_SCHEME = re.compile(r"(?i)(?:bearer|token) $")
+_PARAMETER = re.compile(r"(?<=[?&])([\w.-]+)=([^&#\s]+)")
+#: A line of a settings file that holds a key and a bare value; the value is no type's name.
+_SETTING_LEFT, _SETTING_RIGHT = re.compile(r"\s*(?:- )?(?:[\w.-]+:[ \t]+|(?:ENV |ARG |export )?[A-Z][A-Z0-9_]*=)"), re.compile(r"[ \t]*(?:#[^\n]*)?\r?")
+_WORD_AND_DIGITS = re.compile(r"(?!(?:complex|float|u?int|sha|md|utf|base|latin|iso|aes|str|bytes)_?\d)[a-z][a-z_]{2,}\d[\w]*")
 _MARK = re.compile(r"-----BEGIN ([A-Z0-9 ]+?)-----")
 _BODY = re.compile(r"(?:\\r|\\n|[\s\"'+,|>\\]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*)*((?:[A-Za-z0-9+/=]{8,}(?:\\r|\\n|[\s\"'+,\\])*)+)")
 _INERT = re.compile(r"(?:sha(?:1|256|384|512)[-:=]|data:[\w/+.-]+;base64,|ssh-(?:rsa|ed25519|dss|ecdsa)\s+|ecdsa-sha2-\S+\s+|@sha256:)[A-Za-z0-9+/=_-]+")
@@ -108,8 +113,8 @@ def _plain_words(v: str) -> bool:
     return not (len(v) >= 12 and "-" not in v and " " not in v and changes >= max(3, len(v) // 6))
 
 
-def _is_secret(value: str, name: str, place: str, quoted: bool) -> bool:
-    """Whether a candidate under ``name`` in ``place`` (``name``, ``call`` or ``free``) is a live credential."""
+def _is_secret(value: str, name: str, place: str, quoted: bool, setting: bool = False) -> bool:
+    """Whether a candidate under ``name`` in ``place`` (``name``, ``call`` or ``free``) is a live credential; a ``setting`` is all of its line."""
     if len(value) < 6 or _placeholder(value):
         return False
     kind = name_kind(name) if name else "open"
@@ -119,11 +124,11 @@ def _is_secret(value: str, name: str, place: str, quoted: bool) -> bool:
         return False
     if re.match(r"[./~]|[A-Za-z]:\\|\w+://|\$|--", value) and not (value[0] == "/" and re.search(r"[+=]|[A-Z].*\d.*[a-z]", value)):
         return False
-    if re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|v?\d+(?:[.:]\d+)+\S*|[\d./:-]+", value) or any(c.isspace() for c in value):
+    if re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|v?\d+(?:[.:]\d+)+\S*|[\d./:-]+", value) or any(c.isspace() for c in value) and not (kind == "secret" and quoted and place == "name" and _phrase(value)):
         return False
     of = alphabet(value)
     if kind == "secret":
-        if not quoted and (re.search(r"[(){}\[\]]|^[A-Za-z_]\w*(?:\.\w+)+$", value) or (re.fullmatch(r"[A-Za-z_]\w*", value) and not _random(value))):
+        if not quoted and (re.search(r"[(){}\[\]]|^[A-Za-z_]\w*(?:\.\w+)+$", value) or (re.fullmatch(r"[A-Za-z_]\w*", value) and not _random(value) and not (setting and _WORD_AND_DIGITS.fullmatch(value)))):
             return False
         return entropy_bits(value) >= BITS[of][0]
     if _UUID.fullmatch(value) or of == "signs":
@@ -133,6 +138,12 @@ def _is_secret(value: str, name: str, place: str, quoted: bool) -> bool:
     return of == "mixed" and len(value) >= 20 and _random(value) and entropy_bits(value) >= BITS["mixed"][1 if place == "call" else 2]
 
 
+def _phrase(value: str) -> bool:
+    """A pass phrase rather than a sentence: words parted by single blanks, half of them or more with digits, signs or letters of both cases."""
+    words = value.split(" ")
+    return all(words) and sum(bool(re.search(r"[0-9]|[^\w.,:;!?'()-]|[a-z][A-Z]", w)) for w in words) * 2 >= len(words) and any(c.isdigit() for c in value)
+
+
 def _random(value: str) -> bool:
     """Letters of both cases and digits, changing in kind as chance would have it."""
     kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value)
@@ -153,8 +164,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             body = _BODY.match(text, m.end())
             size = len(re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", body.group(1))) if body else 0
-            end = text.find("-----END " + m.group(1), m.end())
-            end = text.find("-----", end + 9) + 5 if 0 <= end < m.end() + max(20_000, 2 * size) else (body.end(1) if body else m.end())
+            end, other = text.find("-----END " + m.group(1), m.end()), text.find("-----BEGIN ", m.end())
+            end = text.find("-----", end + 9) + 5 if end >= 0 and not 0 <= other < end else (body.end(1) if body else m.end())
             if "PRIVATE KEY" in m.group(1) and size >= 24:
                 found.append((m.start(), end, "private_key"))
             taken.append((m.start(), end))
@@ -194,16 +205,22 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             continue
         while at < len(spans) and spans[at][1] <= start:
             at += 1
-        if any(a < end and b > start for a, b in spans[at : at + 8]):
+        upto = at
+        while upto < len(spans) and spans[upto][0] < end:
+            upto += 1
+        if upto > at:
             if quoted and any(c.isspace() for c in v):
-                found += [x for x in _inside(text, start, end) if not any(a < x[1] and b > x[0] for a, b in spans[at : at + 8])]
+                found += [x for x in _inside(text, start, end) if not any(a < x[1] and b > x[0] for a, b in spans[at:upto])]
             continue
         if quoted and not any(c.isspace() for c in v) and "${" not in v and "=" not in v.rstrip("=") and ":" not in v:
             got = _judge(text, start, end, True)
             if got:
                 found.append(got)
         else:
-            found += _inside(text, start, end)
+            got = _inside(text, start, end)
+            if quoted and " " in v and _phrase(v) and (not got or got[0][0] == start) and (one := _judge(text, start, end, True)):
+                got = [one]
+            found += got
     found.sort()
     apart: list[tuple[int, int, str]] = []
     for x in found:
@@ -215,23 +232,31 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 def _name_before(text: str, start: int) -> tuple[str, str]:
     """The name a value is assigned to, and whether it is the argument of a call."""
     line = text.rfind("\n", 0, start) + 1
-    left = text[max(line, start - 200) : start]
-    m = _NAME.search(left)
+    reach = 200  # more where a name begins before it
+    while True:
+        begin = max(line, start - reach)
+        left = text[begin:start]
+        m = _NAME.search(left)
+        if not m or m.start() or begin == line:
+            break
+        reach *= 4
+    paren = max(text.rfind("(", line, start), text.rfind(")", line, start))  # the call's bracket is the last one
+    call = bool(_CALL.search(left if paren >= begin else text[max(line, paren - 40) : start])) if paren >= 0 else False
     if m:
-        return m.group(1).rpartition(".")[2] if not m.group(1).startswith("-") else m.group(1), "call" if _CALL.search(left) else "name"
+        return m.group(1).rpartition(".")[2] if not m.group(1).startswith("-") else m.group(1), "call" if call else "name"
     if not left.strip(" \t\"'`-") and line:
         above = text[text.rfind("\n", 0, line - 1) + 1 : line - 1]
         m = _BLOCK_NAME.search(above) or re.search(r"([A-Za-z_][\w.-]*)[\"']?\s*(?::=|=|:)\s*[(\\]?\s*$", above)
         if m:
             return m.group(1), "name"
-    return "", "call" if _CALL.search(left) else "free"
+    return "", "call" if call else "free"
 
 
 def _judge(text: str, start: int, end: int, quoted: bool, name: str | None = None) -> tuple[int, int, str] | None:
     value = text[start:end]
     if quoted and end < len(text) and text[end] in "\"'":  # literals side by side are one value
         at = end + 1
-        for _ in range(16):
+        while True:
             m = _NEXT_PART.match(text, at)
             if not m or m.start(1) == at:
                 break
@@ -241,7 +266,12 @@ def _judge(text: str, start: int, end: int, quoted: bool, name: str | None = Non
     place = "name"
     if name is None:
         name, place = _name_before(text, start)
-    return (start, end, "token" if _ISSUED.match(value) else "secret") if _is_secret(value, name, place, quoted) else None
+    setting = False
+    if not quoted and name and place == "name":
+        line = text.rfind("\n", 0, start) + 1
+        stop = text.find("\n", end)
+        setting = bool(_SETTING_LEFT.fullmatch(text[line:start]) and _SETTING_RIGHT.fullmatch(text[end : stop if stop >= 0 else len(text)]))
+    return (start, end, "token" if _ISSUED.match(value) else "secret") if _is_secret(value, name, place, quoted, setting) else None
 
 
 def _inside(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
@@ -252,6 +282,12 @@ def _inside(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
         while e > s and text[e - 1] in ".,:;!?}" and text[e - 1] != "=":
             e -= 1
         v = text[s:e]
+        if "=" in v and ("?" in v or "&" in v):  # parameters of a connection string
+            named = [(s + p.start(2), s + p.end(2), p.group(1).rpartition(".")[2]) for p in _PARAMETER.finditer(v)]
+            secrets = [x for a, b, name in named if name_kind(name) == "secret" and (x := _judge(text, a, b, True, name))]
+            if secrets:
+                out += [x for x in secrets if x[0] < end]
+                continue
         ref = re.search(r"\$\{[\w.-]+:-?([^}]+)$", v)
         if ref:  # a reference with a default
             got = _judge(text, s + ref.start(1), e, True, v[2 : ref.start(1)].lstrip("{"))
@@ -260,7 +296,7 @@ def _inside(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
             if part and not v.startswith(("eyJ", "SG.")):
                 got = _judge(text, s + part.end(), e, part.end() > 3 and text[s + part.end() : e][:1] not in "([{", part.group(1).rpartition(".")[2])
             else:
-                got = _judge(text, s, e, bool(_ISSUED.match(v)) or not re.fullmatch(r"[A-Za-z_]\w*", v))
+                got = _judge(text, s, e, bool(_ISSUED.match(v)) or not re.fullmatch(r"[A-Za-z_]\w*", v) or bool(_SCHEME.search(text, max(start, s - 8), s)))
         if got and got[0] < end:
             out.append((got[0], min(got[1], e), got[2]))
     return out
