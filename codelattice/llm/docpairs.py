@@ -174,7 +174,7 @@ def pairs_of(language: str, text: str, outline: Outline) -> Iterator[tuple[int,
         if doc is None:
             continue
         stop = text.find("{" if language != "python" else "\n", f[0])
-        signature = text[f[0] : min(stop if stop > 0 else len(text), f[0] + 600)]
+        signature = text[f[0] : stop if stop > 0 else len(text)]
         if language == "python":
             m = re.compile(r"def\s+\w+[^(]*\(([^()]|\([^()]*\))*\)").match(text, f[0])
             signature = m.group() if m else signature

@@ -99,3 +99,13 @@ def test_frames(spark):
     pairs = {r.item_id: r for r in d.documented_functions(files, defs, with_text=True).where("origin = 'source_files'").collect()}
     assert pairs[1].code.strip().endswith("return 1") and pairs[1].documentation == DOC and pairs[None].code == "func F() {\n}"
     assert d.documented_functions(files.limit(0), defs.limit(0)).count() == 0
+
+
+def test_whole_signatures(monkeypatch):
+    """Parameters count to the end of the signature, however long it is."""
+    seen = []
+    monkeypatch.setattr(d, "is_trivial", lambda doc, name, signature: seen.append(signature))
+    many = ", ".join(f"int parameterNumber{i}" for i in range(60))
+    text = f"class A {{\n  /** Adds up all of the numbers. */\n  void f({many}) {{ }}\n}}\n"
+    list(d.pairs_of("java", text, check.outline_of("java", text)))
+    assert len(seen) == 1 and seen[0].rstrip().endswith("int parameterNumber59)")
