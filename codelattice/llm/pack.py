@@ -6,7 +6,8 @@ until one is left. That gives k nearly equal loads; if the greatest exceeds the
 is taken.
 
 Scale: items are spread over blocks by a hash of their id, so many that a block fills about ``BLOCK`` containers and holds at
-most about ``ITEMS`` items. Blocks are packed independently, so no task grows with the corpus; what rounding up wastes is less
+most about ``ITEMS`` items. Items of the same id and size are counted first and spread by ``COPIES``, so that null or repeated ids
+don't meet in one block. Blocks are packed independently, so no task grows with the corpus; what rounding up wastes is less
 than one container in ``BLOCK``. Only ids and sizes are shuffled, never texts.
 
 Defined results
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, ITEMS = 96, 20_000
+BLOCK, ITEMS, COPIES = 96, 20_000, 16
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -103,7 +104,8 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block: its rests are packed, its full pieces get containers after those."""
-    pdf = pdf.sort_values(["n_tokens", "_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["n_tokens", "_id"], ascending=[False, True], kind="stable")
+    pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].reset_index(drop=True)
     cap = int(pdf["capacity"].iloc[0])
     sizes = pdf["n_tokens"].to_numpy(np.int64)
     full = np.where(sizes > cap, sizes // cap, 0)
@@ -140,9 +142,11 @@ def pack(items: DataFrame, id_col: str, size_col: str, windows: DataFrame) -> Da
         plan = [(None, 1, 1)]
         sized = sized.limit(0)
     each = F.explode(F.array(*(F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(b).cast("bigint").alias("blocks")) for w, c, b in plan)))
-    blocks = sized.withColumn("w", each).select(
-        "w.window_id", "w.capacity", F.pmod(F.xxhash64("id", "w.window_id"), F.col("w.blocks")).alias("block"), "id", "n_tokens", F.xxhash64("id").alias("_id")
-    )
+    lots = sized.groupBy("id", "n_tokens").agg(F.count("*").alias("n")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(COPIES).cast("bigint"))))
+    blocks = lots.withColumn("w", each).select(
+        "w.window_id", "w.capacity", F.pmod(F.xxhash64("id", "w.window_id", "lot"), F.col("w.blocks")).alias("block"), "id", "n_tokens", F.xxhash64("id").alias("_id"),
+        F.least(F.col("n") - F.col("lot"), F.lit(COPIES)).alias("copies"),
+    )
     out = f"window_id int, block bigint, container bigint, id {kind}, piece int, first_token bigint, n_tokens bigint"
     packed = blocks.groupBy("window_id", "block").applyInPandas(_packed, out)
     return packed.select("window_id", F.concat_ws("-", "block", "container").alias("container"), F.col("id").alias(id_col), "piece", "first_token", "n_tokens")

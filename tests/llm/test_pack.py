@@ -55,3 +55,15 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         pack.pack(spark.createDataFrame([("a", 2)], "id string, n int"), "id", "n", windows.withColumn("capacity_tokens", F.lit(0)))
     assert pack.pack(spark.createDataFrame([("a", 2)], "id string, n int"), "id", "n", windows.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_spread(spark):
+    """A third of all rows under one id, and as many under none: no block holds more than its share."""
+    items = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "100 AS n")
+    windows = spark.createDataFrame([(1, 1000)], "window_id int, capacity_tokens int")
+    got = pack.pack(items, "doc_id", "n", windows).cache()
+    assert got.count() == 60_000 and got.where("doc_id = 7").count() == 20_000 and got.where("doc_id IS NULL").count() == 20_000
+    blocks = got.groupBy(F.substring_index("container", "-", 1).alias("block")).count()
+    top = blocks.agg(F.max("count"), F.count("*")).first()
+    assert top[1] > 40 and top[0] < 3 * 60_000 / top[1]
+    assert got.groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.max("t")).first()[0] <= 1000
