@@ -11,6 +11,7 @@ Scale
 Defined results
     * Null, empty and unreadable payloads give no rows; neither do null members or members that are not objects.
     * An empty object gives a row. Positions count nulls. A lone object where a list is due stands for a list of one.
+    * A collection by name that is given as a list holds the members that bear a ``name``; others have no path and give no row.
     * The root is the outermost object that holds one of the root keys, through wrapping objects, lists and JSON within strings.
 """
 
@@ -20,6 +21,7 @@ import base64
 import binascii
 import gzip
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -48,6 +50,9 @@ REGISTRY = Shape(
 )
 
 
+_BASE64 = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+
+
 def _decoded(text: str) -> object:
     """What a string holds: JSON, plain or in base64, compressed or not; None otherwise."""
     s = text.strip().lstrip("﻿")
@@ -57,7 +62,8 @@ def _decoded(text: str) -> object:
         return json.loads(s)
     except (ValueError, RecursionError):
         pass
-    if len(s) < 16 or s[0] in "{[":
+    s = "".join(s.split())
+    if s[0] in "{[" or len(s) % 4 or not _BASE64.fullmatch(s):
         return None
     try:
         raw = base64.b64decode(s, validate=True)
@@ -85,7 +91,7 @@ def find_root(payload: str | None, shape: Shape) -> dict | None:
             elif isinstance(x, list):
                 below.extend(x)
             elif isinstance(x, str) and len(x) > 1:
-                below.append(_decoded(x) if x.lstrip()[:1] in ('{', '[', '"') or len(x) >= 64 else None)
+                below.append(_decoded(x))
         level = [x for x in below if isinstance(x, dict | list | str)]
     return None
 

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from codelattice.operators.flatten import flat_tables, flatten_records, parent_label
+from codelattice.operators.flatten import REGISTRY, find_root, flat_tables, flatten_records, parent_label
 
 RECORD = {
     "module": "m", "functions": {"f": {"params": [{"name": "a"}, None, {"name": "b"}], "returns": {"type": "int"}, "doc": "d"}, "g": {}, "h": None, "i": "text"}, "classes": {"C": {"methods": {"m": {"params": []}}, "attributes": {"x": {"type": "int"}}, "inherited_methods": None}},
@@ -35,6 +35,17 @@ def test_wrappings(spark):
     assert len(got) == len(wrapped) and all(set(r.p) == PATHS for r in got)
 
 
+def test_short_encoded_payloads(spark):
+    """Encoded records of any length, in wrappers too."""
+    small = json.dumps({"module": "m", "functions": {"f": {}}})
+    code = base64.b64encode(small.encode()).decode()
+    tiny = base64.b64encode(b'{"module":1}').decode()
+    assert len(code) < 64
+    got = {tuple(r.p) for r in paths(spark, [code, json.dumps({"data": code}), json.dumps([{"x": {"y": code}}]), code[:20] + "\n" + code[20:]]).groupBy("rid").agg(F.sort_array(F.collect_set("obj_path")).alias("p")).collect()}
+    assert got == {("functions/f",)}
+    assert find_root(tiny, REGISTRY) == {"module": 1} and find_root(json.dumps({"a": tiny}), REGISTRY) == {"module": 1}
+
+
 def test_what_gives_nothing(spark):
     bad = [None, "", "  ", "{", json.dumps(RECORD)[:-3], "[]", "null", "7", '"x"', json.dumps({"functions": {"f": {}}}), "[" * 5000]
     assert paths(spark, bad).count() == 0
