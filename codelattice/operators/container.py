@@ -7,10 +7,13 @@ kind, scalar, scalar_type, prop_items, line (maps as ``key=value`` items).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from codelattice.operators.matching import all_of, any_of
 
@@ -127,3 +130,56 @@ def compose_environment(props: DataFrame) -> DataFrame:
     """``(repo, file_path, service, name, value)``: environment variables in map or list form."""
     e = props.where(F.col("prop_key") == "environment").withColumn("_e", F.explode("prop_items"))
     return e.select("repo", "file_path", "service", F.regexp_extract("_e", r"^([^=]+)", 1).alias("name"), F.regexp_extract("_e", r"^[^=]+=(.*)$", 1).alias("value"))
+
+
+class Dockerfile:
+    """One file's instructions, as custom checks see them: dicts in their order."""
+
+    def __init__(self, instructions: Sequence[Mapping[str, Any]]) -> None:
+        self.instructions = list(instructions)
+
+    def get_instructions(self, instruction: str) -> list[Mapping[str, Any]]:
+        return [i for i in self.instructions if i["instruction"] == instruction.upper()]
+
+    def has_instruction(self, instruction: str) -> bool:
+        return bool(self.get_instructions(instruction))
+
+    def get_stages(self) -> list[list[Mapping[str, Any]]]:
+        """The instructions of each build stage; a stage begins at its FROM."""
+        out: list[list[Mapping[str, Any]]] = []
+        for i in self.instructions:
+            if i["instruction"] == "FROM":
+                out.append([])
+            if out:
+                out[-1].append(i)
+        return out
+
+    def is_multi_stage(self) -> bool:
+        return len(self.get_stages()) > 1
+
+    def get_stage_by_alias(self, alias: str) -> list[Mapping[str, Any]] | None:
+        return next((s for s in self.get_stages() if s[0].get("alias") == alias), None)
+
+    def get_final_user(self) -> Mapping[str, Any] | None:
+        users = self.get_instructions("USER")
+        return users[-1] if users else None
+
+    def is_running_as_root(self) -> bool:
+        user = self.get_final_user()
+        return user is None or user.get("user_name") in ("", "root", "0", None)
+
+
+def docker_custom(instructions: DataFrame, check: Callable[[Dockerfile], Any], description: str = "") -> DataFrame:
+    """``(file, line, detail)`` of the files for which the check is true; the line is that of the first instruction.
+
+    A file's instructions are bounded by its size, so one array a file travels to the check.
+    """
+    cols = [c for c in instructions.columns if c != "file"]
+    files = instructions.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", *(c for c in cols if c != "seq" and not isinstance(instructions.schema[c].dataType, MapType))))).alias("rows"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(f, rows[0]["line"]) for f, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if check(Dockerfile(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in hits], pa.string()), pa.array([n for _, n in hits], pa.int32()), pa.array([description] * len(hits), pa.string())], names=["file", "line", "detail"])
+
+    return files.mapInArrow(run, "file string, line int, detail string")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.operators.matching import name_pattern
@@ -34,10 +34,10 @@ TRANSPARENT: dict[str, tuple[int, ...]] = {
 NON_PROPAGATORS = frozenset(("len", "int", "float", "bool", "type", "isinstance", "id", "hash", "range", "ord"))
 
 
-def name_matches(name: str, patterns: Iterable[str]) -> bool:
-    """``matching.name_pattern`` for one name."""
-    n = name.partition("(")[0]
-    return bool(name) and any(p and (n == p or n.endswith("." + p) or n.startswith(p + ".") or n.rpartition(".")[2] == p) for p in patterns)
+#: Names for a flow: a list of patterns, or a table of one column ``pattern`` where a rule's wildcards stand for many.
+Names = Sequence[str] | DataFrame
+
+MARKS = ("source", "sink", "sanitizer", "source_call", "sink_call", "sanitizer_call")
 
 
 class DependencyGraph:
@@ -54,15 +54,15 @@ class DependencyGraph:
             self.lines[p] = [0]
             self.live[p] = (p, 0)
 
-    def build(self, statements: Iterable[Mapping], sources: Sequence[str], sanitizers: Sequence[str]) -> None:
+    def build(self, statements: Iterable[Mapping]) -> None:
+        """Statements carry the marks of ``marked``."""
         for s in statements:
             if not s["def"]:
                 continue
             key = (s["def"], int(s["line"]))
-            names = [s[c] or "" for c in ("call_target", "call_chain", "attribute_access")]
             if key not in self.nodes:
                 insort(self.lines.setdefault(s["def"], []), key[1])
-            self.nodes[key] = [any(name_matches(n, sources) for n in names), any(name_matches(n, sanitizers) for n in names)]
+            self.nodes[key] = [s["source"], s["sanitizer"]]
             for v in s["uses"]:
                 if v in self.live:
                     self.edges.setdefault(self.live[v], []).append(key)
@@ -119,11 +119,43 @@ def _stmt_columns(statements: DataFrame) -> DataFrame:
     return statements.withColumns({**blank, **({} if "call_args" in have else {"call_args": F.array().cast("array<string>")})}).select("fqn", "seq", "line", "type", "def", "uses", "call_target", "call_chain", "attribute_access", "call_args")
 
 
-def vdg_build(statements: DataFrame, sources: Sequence[str], sanitizers: Sequence[str]) -> DataFrame:
+def _parts_of(name: Column) -> Column:
+    """What a pattern may be to match a name: its runs of segments from the start and to the end."""
+    segments = F.split(F.substring_index(name, "(", 1), r"\.")
+    n = F.size(segments)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.array(F.array_join(F.slice(segments, F.lit(1), k), "."), F.array_join(F.slice(segments, n - k + 1, k), ".")))))
+
+
+def _matched(statements: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(name)``: the names of statements that one of the patterns matches, by equality with a part of the name."""
+    names = statements.select(F.explode(F.array("call_target", "call_chain", "attribute_access")).alias("name")).where("name <> ''").distinct()
+    return names.withColumn("pattern", F.explode(_parts_of(F.col("name")))).join(patterns.where("pattern <> ''").select("pattern").distinct(), "pattern", "left_semi").select("name").distinct()
+
+
+def marked(statements: DataFrame, sources: Names = (), sinks: Names = (), sanitizers: Names = ()) -> DataFrame:
+    """The statements with MARKS: whether the call, its chain or the attribute read is a source, sink or sanitizer, and whether the call is.
+
+    Lists become expressions. Tables are joined: to the distinct names first, then these to the statements.
+    """
+    s = _stmt_columns(statements)
+    for kind, names in (("source", sources), ("sink", sinks), ("sanitizer", sanitizers)):
+        if not isinstance(names, DataFrame):
+            call = name_pattern(F.col("call_target"), names) if names else F.lit(False)
+            other = name_pattern(F.col("call_chain"), names) | name_pattern(F.col("attribute_access"), names) if names else F.lit(False)
+            s = s.withColumns({kind: call | other, f"{kind}_call": call})
+            continue
+        hits = _matched(s, names)
+        for i, c in enumerate(("call_target", "call_chain", "attribute_access")):
+            s = s.join(hits.select(F.col("name").alias(c), F.lit(True).alias(f"_hit{i}")), c, "left")
+        hit = lambda i: F.coalesce(F.col(f"_hit{i}"), F.lit(False))
+        s = s.withColumns({kind: hit(0) | hit(1) | hit(2), f"{kind}_call": hit(0)}).drop("_hit0", "_hit1", "_hit2")
+    return s
+
+
+def vdg_build(statements: DataFrame, sources: Names, sanitizers: Names) -> DataFrame:
     """``(fqn, var, line, is_source, is_sanitized)``: the nodes; of definitions on one line the last one's marks hold."""
-    s = _stmt_columns(statements).where("def <> ''")
-    hit = lambda p: name_pattern(F.col("call_target"), p) | name_pattern(F.col("call_chain"), p) | name_pattern(F.col("attribute_access"), p) if p else F.lit(False)
-    marks = s.select("fqn", F.col("def").alias("var"), "line", F.struct("seq", hit(sources).alias("a"), hit(sanitizers).alias("b")).alias("m"))
+    s = marked(statements, sources, (), sanitizers).where("def <> ''")
+    marks = s.select("fqn", F.col("def").alias("var"), "line", F.struct("seq", F.col("source").alias("a"), F.col("sanitizer").alias("b")).alias("m"))
     return marks.groupBy("fqn", "var", "line").agg(F.max("m").alias("m")).select("fqn", "var", "line", F.col("m.a").alias("is_source"), F.col("m.b").alias("is_sanitized"))
 
 
@@ -132,7 +164,7 @@ def _per_function(statements: DataFrame, work: Callable[[str, list[dict]], Itera
 
     A function's statements travel as one array; a task streams over many functions without a frame for each.
     """
-    columns = ("line", "type", "def", "uses", "call_target", "call_chain", "attribute_access", "call_args")
+    columns = ("line", "type", "def", "uses", "call_target", "call_args", *MARKS)
     rows = statements.groupBy("fqn").agg(F.sort_array(F.collect_list(F.struct("seq", *columns))).alias("rows"))
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
     fields = [f.strip().split(" ") for f in schema.split(",")]
@@ -149,21 +181,20 @@ def _per_function(statements: DataFrame, work: Callable[[str, list[dict]], Itera
 _FLOW = "fqn string, source_line int, source_var string, sink_line int, sink_call string, sink_var string, path array<string>"
 
 
-def vdg_flows(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str] = ()) -> DataFrame:
+def vdg_flows(statements: DataFrame, sources: Names, sinks: Names, sanitizers: Names = ()) -> DataFrame:
     """Flows from a source's definition to a variable that a sink statement uses, by shortest paths without a sanitizer.
 
     Only functions that hold a source and a sink reach the grouped map; the others are removed by a semi-join on aggregated marks.
     """
-    s = _stmt_columns(statements)
-    hit = lambda p: name_pattern(F.col("call_target"), p) | name_pattern(F.col("call_chain"), p) | name_pattern(F.col("attribute_access"), p)
-    both = s.groupBy("fqn").agg(F.bool_or(hit(sources) & (F.col("def") != "")).alias("a"), F.bool_or(hit(sinks)).alias("b")).where("a AND b").select("fqn")
+    s = marked(statements, sources, sinks, sanitizers)
+    both = s.groupBy("fqn").agg(F.bool_or(F.col("source") & (F.col("def") != "")).alias("a"), F.bool_or("sink").alias("b")).where("a AND b").select("fqn")
 
     def work(fqn: str, rows: list[dict]) -> Iterator[tuple]:
         g = DependencyGraph()
-        g.build(rows, sources, sanitizers)
+        g.build(rows)
         starts = sorted((k for k, v in g.nodes.items() if v[0]), key=lambda k: (k[1], k[0]))
         for r in rows:
-            if any(name_matches(r[c] or "", sinks) for c in ("call_target", "call_chain", "attribute_access")):
+            if r["sink"]:
                 for v in r["uses"]:
                     end = g.latest(v, int(r["line"]))
                     for k in starts if end else ():
@@ -174,7 +205,7 @@ def vdg_flows(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str
     return _per_function(s.join(both, "fqn", "left_semi"), work, _FLOW)
 
 
-def flow_reach(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str], max_depth: int = 40) -> DataFrame:
+def flow_reach(statements: DataFrame, sources: Names, sinks: Names, max_depth: int | None = None) -> DataFrame:
     """The same without sanitizers as joins alone: (fqn, source_line, sink_line, sink_var), by closures over definition edges.
 
     For corpora whose functions are too long for one task.
@@ -188,24 +219,32 @@ def flow_reach(statements: DataFrame, sources: Sequence[str], sinks: Sequence[st
     e = build_edge_latest_def(s)
     src = e.join(at.withColumnRenamed("_s", "from_seq"), ["fqn", "from_seq"]).withColumn("src", node(F.col("_d"), F.col("_l"))).select("fqn", "to_seq", "src")
     edges = src.join(at.withColumnRenamed("_s", "to_seq"), ["fqn", "to_seq"]).withColumn("dst", node(F.col("_d"), F.col("_l"))).select("src", "dst")
-    hit = lambda p: name_pattern(F.col("call_target"), p) | name_pattern(F.col("call_chain"), p) | name_pattern(F.col("attribute_access"), p)
     marks = vdg_build(s, sources, ()).where("is_source")
     roots = marks.select(node(F.col("var"), F.col("line")).alias("root"), F.col("line").alias("source_line"))
     reach = closure(edges, roots.select("root"), max_depth)
-    used = s.where(hit(sinks)).select("fqn", F.explode("uses").alias("var"), "line").distinct()
+    used = marked(s, (), sinks).where("sink").select("fqn", F.explode("uses").alias("var"), "line").distinct()
     ends = asof_latest_def(used, s.where("def <> ''").select("fqn", F.col("def").alias("var"), "line")).where("def_line IS NOT NULL")
     ends = ends.select("fqn", F.col("line").alias("sink_line"), F.col("var").alias("sink_var"), node(F.col("var"), F.col("def_line")).alias("node"))
     return reach.join(ends, "node").join(roots.distinct(), "root").select("fqn", "source_line", "sink_line", "sink_var").distinct()
 
 
-def flows_local(cfg_statements: DataFrame, flat_statements: DataFrame, sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str], lines: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+def flows_local(cfg_statements: DataFrame, flat_statements: DataFrame, sources: Names, sinks: Names, sanitizers: Names, lines: tuple[DataFrame, DataFrame, DataFrame] | None = None, sink_sites: DataFrame | None = None) -> DataFrame:
     """Flows within functions in three tiers: over statements in the order of the control flow (0.95); for functions where that gives
-    none, in textual order (0.85); for functions without statements, by lines (0.50; ``lines`` are sources, sinks, sanitizers)."""
+    none, in textual order (0.85); for functions without statements, by lines (0.50; ``lines`` are sources, sinks, sanitizers).
+
+    Where both orders are one table, the second tier finds what the first does and is left out. ``sink_sites`` are the sinks' tracked
+    parameters (see ``accepted_sinks``).
+    """
     one = vdg_flows(cfg_statements, sources, sinks, sanitizers).withColumn("confidence", F.lit(CFG))
-    done = one.select("fqn").distinct()
-    two = vdg_flows(flat_statements.join(done, "fqn", "left_anti"), sources, sinks, sanitizers).withColumn("confidence", F.lit(FLAT))
-    cols = ["fqn", "source_line", "source_var", "sink_line", "sink_call", "confidence"]
-    out = one.select(*cols).unionByName(two.select(*cols))
+    cols = ["fqn", "source_line", "source_var", "sink_line", "sink_call", "sink_var", "confidence"]
+    out = one.select(*cols)
+    if flat_statements is not cfg_statements:
+        done = one.select("fqn").distinct()
+        two = vdg_flows(flat_statements.join(done, "fqn", "left_anti"), sources, sinks, sanitizers).withColumn("confidence", F.lit(FLAT))
+        out = out.unionByName(two.select(*cols))
+    if sink_sites is not None:
+        out = accepted_sinks(out, sink_sites)
+    out = out.drop("sink_var")
     if lines is not None:
         from codelattice.operators.joins import join_line_proximity
 
@@ -233,16 +272,34 @@ def tracked_params(flows: DataFrame, call_sites: DataFrame, indices: Sequence[in
     return joined.where(F.col("_f").isNull() | hit).drop("_f", "_l", "_args")
 
 
+def accepted_sinks(flows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Flows that a sink on their line accepts, and those on lines without one.
+
+    ``sites`` (fqn, line, every, indices, names, arguments): a sink's call site with the parameters its matcher tracks. A site accepts
+    any variable if ``every`` holds, otherwise a bare argument at one of the positions or of one of the keywords.
+    """
+    at = sites.groupBy(F.col("fqn").alias("_f"), F.col("line").alias("_l")).agg(F.collect_set(F.struct("every", "indices", "names", "arguments")).alias("_sites"))
+    joined = flows.join(at, (flows["fqn"] == at["_f"]) & (flows["sink_line"] == at["_l"]), "left")
+    v = F.col("sink_var")
+
+    def takes(x):
+        bare = F.exists(x["arguments"], lambda a: a["is_variable"] & (a["value"] == v) & F.array_contains(x["indices"], a["position"]))
+        named = F.exists(x["arguments"], lambda a: (F.regexp_extract(a["value"], r"=\s*(.*)$", 1) == v) & F.array_contains(x["names"], F.trim(F.substring_index(a["value"], "=", 1))))
+        return x["every"] | F.coalesce(bare | named, F.lit(False))
+
+    return joined.where(F.col("_f").isNull() | F.exists("_sites", takes)).drop("_f", "_l", "_sites")
+
+
 SUMMARY = "fqn string, is_source boolean, is_sanitizer boolean, return_tainted boolean, p2ret array<int>, p2sink array<int>"
 
 
-def summarize(fqn: str, rows: list[dict], params: Sequence[str], sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str], callees: Mapping[str, Mapping]) -> tuple:
+def summarize(fqn: str, rows: list[dict], params: Sequence[str], callees: Mapping[str, Mapping]) -> tuple:
     """What a function does to taint: from parameters to its result and to sinks, by itself or through what it calls."""
     if fqn in TRANSPARENT:
         idx = TRANSPARENT[fqn]
         return fqn, False, False, False, list(range(len(params))) if -1 in idx else [i for i in idx], []
     g = DependencyGraph(params)
-    g.build(rows, sources, sanitizers)
+    g.build(rows)
     called = lambda r: callees.get(r["call_target"] or "") or callees.get((r["call_target"] or "").rpartition(".")[2])
     for r in rows:  # y = f(x): what f returns marks y
         c = called(r)
@@ -263,23 +320,23 @@ def summarize(fqn: str, rows: list[dict], params: Sequence[str], sources: Sequen
             p2ret.append(i)
         for r in rows:
             c = called(r)
-            direct = name_matches(r["call_target"] or "", sinks)
+            direct = r["sink_call"]
             through = {a for j, a in enumerate(r["call_args"]) if c and c["p2sink"] is not None and j in list(c["p2sink"])}
             used = [v for v in r["uses"] if direct or v in through]
             if any((e := g.latest(v, int(r["line"]))) and g.clean_path((p, 0), e) for v in used):
                 p2sink.append(i)
                 break
-    tainted = any(g.clean_path(k, e) for k, m in g.nodes.items() if m[0] for e in ends) or any(name_matches(r["call_target"] or "", sources) for r in returns)
+    tainted = any(g.clean_path(k, e) for k, m in g.nodes.items() if m[0] for e in ends) or any(r["source_call"] for r in returns)
     reach = any(g.clean_path((p, 0), e) for p in params for e in ends)
     sanitizer = bool(params and returns) and not reach and any(m[1] for m in g.nodes.values())
-    sanitizer = sanitizer or bool(returns) and all(name_matches(r["call_target"] or "", sanitizers) for r in returns)
+    sanitizer = sanitizer or bool(returns) and all(r["sanitizer_call"] for r in returns)
     return fqn, tainted, bool(sanitizer), tainted, p2ret, p2sink
 
 
-def transfer_summary(statements: DataFrame, parameters: DataFrame, sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str], edges: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
+def transfer_summary(statements: DataFrame, parameters: DataFrame, sources: Names, sinks: Names, sanitizers: Names, edges: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
     """One summary a function. ``parameters``: fqn, names array. With ``edges`` (caller, callee) and the previous round's summaries,
     those of a function's callees travel to it as one array, collected by its own calls only."""
-    s = _stmt_columns(statements).groupBy("fqn").agg(F.sort_array(F.collect_list(F.struct("seq", "line", "type", "def", "uses", "call_target", "call_chain", "attribute_access", "call_args"))).alias("rows"))
+    s = marked(statements, sources, sinks, sanitizers).groupBy("fqn").agg(F.sort_array(F.collect_list(F.struct("seq", "line", "type", "def", "uses", "call_target", "call_args", *MARKS))).alias("rows"))
     s = s.join(parameters.select("fqn", "names"), "fqn", "left")
     if edges is not None and previous is not None:
         near = edges.select(F.col("caller").alias("_c"), F.col("callee").alias("fqn")).distinct().join(previous, "fqn")
@@ -294,14 +351,15 @@ def transfer_summary(statements: DataFrame, parameters: DataFrame, sources: Sequ
             for fqn, rows, names, near in zip(pdf["fqn"], pdf["rows"], pdf["names"], pdf["callees"], strict=True):
                 known = {c["fqn"]: c for c in (near if near is not None else ())}
                 known |= {k.rpartition(".")[2]: c for k, c in known.items()}
-                out.append(summarize(fqn, list(rows), list(names) if names is not None else [], sources, sinks, sanitizers, known))
+                out.append(summarize(fqn, list(rows), list(names) if names is not None else [], known))
             yield pd.DataFrame(out, columns=["fqn", "is_source", "is_sanitizer", "return_tainted", "p2ret", "p2sink"])
 
     return s.select("fqn", "rows", "names", "callees").mapInPandas(run, SUMMARY)
 
 
-def summary_fixpoint(statements: DataFrame, parameters: DataFrame, edges: DataFrame, sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str], rounds: int = 10) -> DataFrame:
-    """Summaries until nothing changes, at most ``rounds`` rounds; each round sees the one before and is written to the shared folder."""
+def summary_fixpoint(statements: DataFrame, parameters: DataFrame, edges: DataFrame, sources: Names, sinks: Names, sanitizers: Names, rounds: int = 10) -> DataFrame:
+    """Summaries until nothing changes, at most ``rounds`` rounds as in the reference (summaries of recursive functions may alternate);
+    each round sees the one before and is written to the shared folder."""
     now = cut(transfer_summary(statements, parameters, sources, sinks, sanitizers))
     for _ in range(rounds):
         new = cut(transfer_summary(statements, parameters, sources, sinks, sanitizers, edges, now))
@@ -336,22 +394,22 @@ def flows_global(sources_at: DataFrame, sinks_at: DataFrame, edges: DataFrame, s
     return dedup_flow(near.unionByName(far))
 
 
-def intra_taint_forward(statements: DataFrame, sources: Sequence[str], sinks: Sequence[str], sanitizers: Sequence[str], decay: float = 0.7) -> DataFrame:
+def intra_taint_forward(statements: DataFrame, sources: Names, sinks: Names, sanitizers: Names, decay: float = 0.7) -> DataFrame:
     """A forward pass over each function's statements: taint with a confidence that fades through calls; (fqn, source_line, sink_line, sink_call, confidence)."""
-    s = _stmt_columns(statements)
+    s = marked(statements, sources, sinks, sanitizers)
 
     def work(fqn: str, rows: list[dict]) -> Iterator[tuple]:
         taint: dict[str, tuple[float, int]] = {}
         for r in rows:
             call = r["call_target"] or ""
             worst = max((taint[v] for v in r["uses"] if v in taint), default=None)
-            if worst and call and name_matches(call, sinks):
+            if worst and r["sink_call"]:
                 yield fqn, worst[1], int(r["line"]), call, worst[0]
             if not r["def"]:
                 continue
-            if call and name_matches(call, sources):
+            if r["source_call"]:
                 taint[r["def"]] = (1.0, int(r["line"]))
-            elif not worst or (call and name_matches(call, sanitizers)) or call.rpartition(".")[2].partition("(")[0] in NON_PROPAGATORS:
+            elif not worst or r["sanitizer_call"] or call.rpartition(".")[2].partition("(")[0] in NON_PROPAGATORS:
                 taint.pop(r["def"], None)
             else:
                 taint[r["def"]] = (worst[0] * (decay if call else 1.0), worst[1])
@@ -380,10 +438,10 @@ def pattern_registry(call_sites: DataFrame, edges: DataFrame, kind: str, sources
     at = lambda p: call_sites.where(name_pattern(t, p)).select(F.col("caller_fqn").alias("fqn"), "line", t.alias("call"))
     e = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
     roots = at(sources).select(F.col("fqn").alias("root")).distinct()
-    reach = closure(e, roots, 20).select(F.col("root").alias("source_fqn"), F.col("node").alias("sink_fqn"))
+    reach = closure(e, roots).select(F.col("root").alias("source_fqn"), F.col("node").alias("sink_fqn"))
     hits = reach.join(at(sinks).withColumnRenamed("fqn", "sink_fqn"), "sink_fqn")
     if kind == "missing_sanitizer" and sanitizers:
-        paths = find_path(e, hits.select(F.col("source_fqn").alias("src"), F.col("sink_fqn").alias("dst")).distinct(), 20)
+        paths = find_path(e, hits.select(F.col("source_fqn").alias("src"), F.col("sink_fqn").alias("dst")).distinct())
         clean = at(sanitizers).select(F.col("fqn").alias("_n")).distinct()
         safe = paths.withColumn("_n", F.explode("path")).join(clean, "_n", "left_semi").select(F.col("src").alias("source_fqn"), F.col("dst").alias("sink_fqn")).distinct()
         hits = hits.join(safe, ["source_fqn", "sink_fqn"], "left_anti")

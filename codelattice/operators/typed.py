@@ -55,25 +55,37 @@ def type_constrained_call(
     Inferred type (of at least ``min_confidence``), then the type within the resolved name, then a case-insensitive prefix of that
     name, then, with ``fallback='name'``, the method's name alone. Arguments are tested within each way; a failing test ends the search.
     """
+    named, way, confidence = typed_columns(receivers, methods, patterns, min_confidence, fallback, mro is not None)
+    sites = call_sites.where(named)
+    if mro is not None:
+        sites = _subclass(sites, "inferred_type", receivers, mro).withColumnRenamed("_sub", "_inferred_sub")
+        sites = _subclass(sites.withColumn("_bridge", fqn_bridge(F.coalesce(F.col("target_fqn"), F.lit("")), F.col("target"))), "_bridge", receivers, mro)
+    sites = sites.withColumn("match_method", way).where(F.col("match_method").isNotNull())
+    if positional or keyword:
+        sites = sites.where(argument_match(F.col("arguments"), positional, keyword, lists=False, comparators=True))
+    return sites.withColumns({"confidence": confidence, "scope": F.lit("local")}).drop("_bridge", "_inferred_sub", "_sub")
+
+
+def typed_columns(receivers: Sequence[str], methods: Sequence[str], patterns: Sequence[str] = (), min_confidence: float = DEFAULT_CONFIDENCE, fallback: str = "none", subclasses: bool = False) -> tuple[Column, Column, Column]:
+    """Whether the method is one of those, the way that tells the receiver's type (null for none), and the confidence, as columns.
+
+    With ``subclasses`` the call sites hold what ``_subclass`` adds.
+    """
     target, fqn = F.col("target"), F.coalesce(F.col("target_fqn"), F.lit(""))
-    sites = call_sites.where((target != "") & (any_of([(target == m) | F.endswith(target, F.lit("." + m)) for m in methods]) if methods else F.lit(True)))
-    sites = sites.withColumn("_bridge", fqn_bridge(fqn, target))
+    named = (target != "") & (any_of([(target == m) | F.endswith(target, F.lit("." + m)) for m in methods]) if methods else F.lit(True))
+    bridge = fqn_bridge(fqn, target)
     known = [*receivers, *patterns]
     by = lambda c: any_of([receiver_matches(c, r) for r in known])
     inferred = F.coalesce(F.col("inferred_type"), F.lit(""))
-    sites = _subclass(sites, "inferred_type", receivers, mro).withColumnRenamed("_sub", "_inferred_sub") if mro is not None else sites.withColumn("_inferred_sub", F.lit(False))
-    sites = _subclass(sites, "_bridge", receivers, mro)
+    sub = lambda c: F.col(c) if subclasses else F.lit(False)
     confident = F.coalesce(F.col("via_type_inference"), F.lit(False)) & (F.col("type_confidence").cast("float") >= F.lit(float(min_confidence)).cast("float"))
     low = F.lower(fqn)
     prefix = any_of([F.startswith(low, F.lit(r.lower() + ".")) for r in receivers])
-    way = F.when(confident & (by(inferred) | F.col("_inferred_sub")), "type_inference").when((fqn != "") & (F.col("_bridge") != "") & (by(F.col("_bridge")) | F.col("_sub")), "fqn_bridge").when((fqn != "") & prefix, "fqn_prefix")
+    way = F.when(confident & (by(inferred) | sub("_inferred_sub")), "type_inference").when((fqn != "") & (bridge != "") & (by(bridge) | sub("_sub")), "fqn_bridge").when((fqn != "") & prefix, "fqn_prefix")
     if fallback == "name":
         way = way.otherwise("name_fallback")
-    sites = sites.withColumn("match_method", way).where(F.col("match_method").isNotNull())
-    if positional or keyword:
-        sites = sites.where(argument_match(F.col("arguments"), positional, keyword, lists=False, comparators=True))
     c = clamp(F.col("type_confidence"))
-    return sites.withColumns({"confidence": F.when(c == 0, BRIDGE_CONFIDENCE).otherwise(c), "scope": F.lit("local")}).drop("_bridge", "_inferred_sub", "_sub")
+    return named, way, F.when(c == 0, BRIDGE_CONFIDENCE).otherwise(c)
 
 
 def typed_statement_scan(statements: DataFrame, receivers: Sequence[str], methods: Sequence[str], seen: DataFrame) -> DataFrame:

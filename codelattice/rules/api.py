@@ -77,6 +77,11 @@ def _positions(match: dict[Any, Any] | None) -> dict[str, dict]:
     return {str(k): _constraint(v) for k, v in (match or {}).items()}
 
 
+def _tracked(param: int | str | dict) -> dict[str, Any]:
+    """A tracked parameter in the logical form: ``{index}``, ``{name}`` or ``{return}``."""
+    return dict(param) if isinstance(param, dict) else {"return": True} if param == "return" else {"index": param} if isinstance(param, int) else {"name": param}
+
+
 @dataclass
 class calls(Matcher):  # noqa: N801 - a verb of the rule language
     """Calls by name; names with a ``*`` make the whole matcher one with wildcards."""
@@ -103,7 +108,7 @@ class calls(Matcher):  # noqa: N801 - a verb of the rule language
         return self
 
     def to_ir(self) -> dict[str, Any]:
-        return {"type": "call_matcher", "patterns": list(self.patterns), "wildcard": any("*" in p for p in self.patterns), "positionalArgs": _positions(self.match_position), "keywordArgs": {k: _constraint(v) for k, v in (self.match_name or {}).items()}, "trackedParams": list(self.tracked)}
+        return {"type": "call_matcher", "patterns": list(self.patterns), "wildcard": any("*" in p for p in self.patterns), "positionalArgs": _positions(self.match_position), "keywordArgs": {k: _constraint(v) for k, v in (self.match_name or {}).items()}, "trackedParams": [_tracked(x) for x in self.tracked]}
 
 
 @dataclass
@@ -208,7 +213,8 @@ class propagates:  # noqa: N801
     string_concat, string_format, collections, attributes = {"type": "string_concat"}, {"type": "string_format"}, {"type": "collections"}, {"type": "attributes"}
     minimal = [assignment, function_args]
     standard = [*minimal, function_returns, string_concat, string_format]
-    comprehensive = [*standard, collections, attributes]
+    comprehensive = standard
+    exhaustive = standard
 
 
 def set_default_scope(scope: str) -> None:
@@ -224,13 +230,29 @@ def set_default_propagation(ways: Sequence[dict]) -> None:
 # Containers
 
 
+class Check(int):
+    """A function in a logical form: it reads and is written as 1, as JSON has no functions, and can be called."""
+
+    def __new__(cls, function: Callable) -> Check:
+        self = super().__new__(cls, 1)
+        self.function = function
+        return self
+
+    def __reduce__(self):
+        return Check, (self.function,)
+
+    def __call__(self, *args: Any) -> Any:
+        return self.function(*args)
+
+
 class ContainerMatcher(Matcher):
     def __init__(self, kind: str, **fields: Any) -> None:
         self.kind, self.fields = kind, {k: v for k, v in fields.items() if v is not None}
 
     def to_ir(self) -> dict[str, Any]:
         ir = lambda x: [m.to_ir() for m in x] if isinstance(x, list) else x.to_ir() if isinstance(x, Matcher) else x
-        return {"type": self.kind, **{k: ir(v) for k, v in self.fields.items() if not callable(v)}, **{k: True for k, v in self.fields.items() if callable(v) and not isinstance(v, Matcher)}}
+        calls = {k: v for k, v in self.fields.items() if callable(v) and not isinstance(v, Matcher)}
+        return {"type": self.kind, **{k: ir(v) for k, v in self.fields.items() if k not in calls}, **{k: Check(v) for k, v in calls.items()}}
 
 
 def instruction(type: str, **criteria: Any) -> ContainerMatcher:  # noqa: A002
@@ -278,7 +300,7 @@ def final_stage_has(**fields: Any) -> ContainerMatcher:
 
 
 def custom_check(check: Callable, description: str = "") -> ContainerMatcher:
-    """A check in Python over a file's instructions; runs in strict execution only."""
+    """A check in Python; it runs in strict execution only, on a ``Dockerfile`` of each file."""
     return ContainerMatcher("custom_check", check=check, description=description)
 
 

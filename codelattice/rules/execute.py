@@ -1,7 +1,9 @@
 """Rules in their logical form, checked and turned into DataFrames of findings.
 
-Plain call rules of one set share a single pass over the call sites; other rules are plans of their own, united with their ids.
-A rule that is not valid yields a diagnostic and no rows, the others run.
+However many rules a set has, those on calls, variables and receiver types share one pass over the call sites, and combinations of
+call and variable matchers a second one, which ends in a single shuffle by function and line. Rules that need other tables (flows,
+class hierarchies, statements) or nest deeper are plans of their own. A rule that is not valid yields a diagnostic and no rows, the
+others run.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import reduce
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators import container, dataflow, logic, matching, typed
@@ -22,8 +24,6 @@ from codelattice.operators.matching import Constraint
 from codelattice.rules import api
 
 FINDING = ("rule_id", "fqn", "source_line", "source_column", "sink_line", "sink_column", "sink_call", "confidence", "match_method")
-#: Names that a flow's wildcard may stand for; more are refused, none are dropped.
-MOST_TARGETS = 10_000
 _SPEC = re.compile(r"^[A-Z]+(?:-[A-Z]+)*-\d+[a-z]?$")
 
 
@@ -163,29 +163,41 @@ def _matched(ms: Sequence[Mapping[str, Any]], p: Program) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def _patterns(ms: Sequence[Mapping[str, Any]], matched: DataFrame) -> list[str]:
-    """Names for the dataflow: those of the rule, and the targets they matched (their number is bounded by the rule's distinct targets)."""
+def _patterns(ms: Sequence[Mapping[str, Any]], matched: DataFrame) -> dataflow.Names:
+    """Names for the dataflow: those of the rule and their last segments; with wildcards a table, to which the matched targets add theirs."""
     fixed = [x for m in ms for x in m.get("patterns") or m.get("methodNames") or [] if "*" not in x]
-    wild = any("*" in x for m in ms for x in m.get("patterns") or [])
-    if wild:
-        found = [r[0] for r in dataflow.target_patterns(matched, widen=False).limit(MOST_TARGETS + 1).collect()]
-        if len(found) > MOST_TARGETS:
-            raise ValueError(f"a flow's pattern matches more than {MOST_TARGETS} names; narrow it")
-        fixed += found
-    return sorted({*fixed, *(x.rpartition(".")[2] for x in fixed)})
+    fixed = sorted({*fixed, *(x.rpartition(".")[2] for x in fixed)})
+    if not any("*" in x for m in ms for x in m.get("patterns") or []):
+        return fixed
+    found = dataflow.target_patterns(matched, widen=False).select(F.explode(F.array("pattern", F.substring_index("pattern", ".", -1))).alias("pattern"))
+    return found.unionByName(matched.sparkSession.createDataFrame([(x,) for x in fixed], "pattern string")).distinct()
+
+
+def _sink_sites(ms: Sequence[Mapping[str, Any]], p: Program) -> DataFrame | None:
+    """The call sites of the sinks with the parameters that each tracks; none if no sink tracks any."""
+    if p.call_sites is None or not any(m.get("trackedParams") for m in ms):
+        return None
+    out = []
+    for m in ms:
+        if m["type"] not in ("call_matcher", "type_constrained_call"):
+            continue
+        tracked = [api._tracked(t) for t in m.get("trackedParams") or ()]
+        indices, names = [t["index"] for t in tracked if "index" in t], [t["name"] for t in tracked if "name" in t]
+        sites = p.call_sites.where(_condition(m)) if m["type"] == "call_matcher" else _typed(m, p)
+        arrays = F.array(*map(F.lit, indices)).cast("array<int>").alias("indices"), F.array(*map(F.lit, names)).cast("array<string>").alias("names")
+        out.append(sites.select(F.col("caller_fqn").alias("fqn"), "line", F.lit(not indices and not names).alias("every"), *arrays, "arguments"))
+    return reduce(DataFrame.unionByName, out) if out else None
 
 
 def _flow(m: Mapping[str, Any], p: Program) -> DataFrame:
+    if p.statements is None:
+        raise ValueError("flows need statements")
     src, snk, san = (_matched(m[k], p) if m.get(k) else None for k in ("sources", "sinks", "sanitizers"))
     names = [_patterns(m.get(k) or (), x) if x is not None else [] for k, x in (("sources", src), ("sinks", snk), ("sanitizers", san))]
-    local = dataflow.flows_local(p.statements, p.statements, *names) if p.statements is not None else None
-    if local is None:
-        raise ValueError("flows need statements")
-    tracked = [t for x in m["sinks"] for t in x.get("trackedParams") or ()]
-    if tracked and p.call_sites is not None:
-        full = dataflow.vdg_flows(p.statements, *names)
-        kept = dataflow.tracked_params(full, p.call_sites, [t for t in tracked if isinstance(t, int)], [t for t in tracked if isinstance(t, str) and t != "return"], tracked == ["return"])
-        local = local.join(kept.select("fqn", "source_line", "sink_line").distinct(), ["fqn", "source_line", "sink_line"], "left_semi")
+    flat = p.statements.withColumn("seq", F.col("flat_seq")) if "flat_seq" in p.statements.columns else p.statements
+    none = p.call_sites.limit(0).select(F.col("caller_fqn").alias("fqn"), "line", F.col("target").alias("call_target")) if p.call_sites is not None else None
+    lines = tuple(x.select("fqn", "line", F.col("target").alias("call_target")) if x is not None else none for x in (src, snk, san)) if none is not None else None
+    local = dataflow.flows_local(p.statements, flat, *names, lines=lines, sink_sites=_sink_sites(m["sinks"], p))
     if m.get("scope") == "local" or p.edges is None:
         out = local.select(F.col("fqn").alias("source_fqn"), "source_line", F.col("fqn").alias("sink_fqn"), "sink_line", "sink_call", "confidence", "scope")
     else:
@@ -224,13 +236,88 @@ def _container(m: Mapping[str, Any], p: Program, strict: bool) -> DataFrame:
         return p.instructions.join(final, "file").where((F.col("line") >= F.col("start_line")) & (F.col("instruction") == str(m.get("instruction", "")).upper())).select("file", "line", F.col("raw").alias("detail"))
     if strict and kind == "stage":
         return container.docker_stages(p.instructions).where(F.col("alias") == m.get("alias", "")).select("file", F.col("start_line").alias("line"), F.col("alias").alias("detail"))
+    if strict and kind == "custom_check":
+        if not callable(m.get("check")):
+            raise ValueError("the check's function is not part of a rule read from JSON")
+        return container.docker_custom(p.instructions, m["check"], m.get("description") or "")
     return p.instructions.limit(0).select("file", "line", F.col("raw").alias("detail"))
 
 
+def _leaf(m: Mapping[str, Any], p: Program) -> tuple[Any, Any, Any] | None:
+    """How often a matcher hits a call site, with which confidence and by which method, as columns; none if it needs other tables."""
+    one = F.lit(1.0)
+    if m["type"] == "call_matcher":
+        return F.when(_condition(m), 1).otherwise(0), one, F.lit("call")
+    if m["type"] == "variable_matcher":
+        hits = F.size(F.filter("arguments", lambda a: F.coalesce(a["is_variable"], F.lit(False)) & F.coalesce(matching.pattern_match(a["value"], [m["pattern"]]), F.lit(False))))
+        return F.greatest(F.coalesce(hits, F.lit(0)), F.lit(0)), one, F.lit("variable")
+    if m["type"] == "type_constrained_call" and p.mro is None and (p.statements is None or not m.get("receiverTypes")):
+        named, way, confidence = typed.typed_columns(m.get("receiverTypes") or (), m.get("methodNames") or (), m.get("receiverPatterns") or (), m.get("minConfidence", 0.5), m.get("fallbackMode", "none"))
+        pos, kw = _constraints(m.get("positionalArgs")), _constraints(m.get("keywordArgs"))
+        hit = F.coalesce(named, F.lit(False)) & way.isNotNull() & (matching.argument_match(F.col("arguments"), pos, kw, lists=False, comparators=True) if pos or kw else F.lit(True))
+        return F.when(hit, 1).otherwise(0), confidence, way
+    return None
+
+
+def _is_flat(m: Mapping[str, Any], compat: bool) -> bool:
+    """A combination whose parts are call and variable matchers."""
+    return m["type"] in ("logic_or", "logic_and", "logic_not") and not (compat and m["type"] == "logic_not") and all(x["type"] in ("call_matcher", "variable_matcher") for x in m["matchers"])
+
+
+def _combined(rules: Mapping[str, Mapping[str, Any]], p: Program) -> DataFrame:
+    """Combinations of call and variable matchers, all of them by one shuffle of the call sites by function and line.
+
+    Counts of hits for each place and target come first; a window over the place says what else was hit there.
+    """
+    col = F.coalesce(F.col("col"), F.lit(0)) if "col" in p.call_sites.columns else F.lit(0)
+    parts: dict[str, range] = {}
+    leaves: list[Mapping[str, Any]] = []
+    for rid, m in rules.items():
+        parts[rid] = range(len(leaves), len(leaves) + len(m["matchers"]))
+        leaves += m["matchers"]
+    hits = {f"_n{i}": _leaf(x, p)[0] for i, x in enumerate(leaves)}
+    rows = p.call_sites.select(F.col("caller_fqn").alias("fqn"), "line", col.alias("_col"), "target", *(c.alias(n) for n, c in hits.items()))
+    if all(m["type"] != "logic_not" for m in rules.values()):
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in hits]))
+    keys = ("fqn", "line", "_col", "target")
+    sums = rows.repartition("fqn", "line").groupBy(*keys).agg(*(F.sum(n).alias(n) for n in hits))
+    place, name = Window.partitionBy("fqn", "line", "_col"), Window.partitionBy("fqn", "line", "target")
+    need_place = {i for rid, m in rules.items() if m["type"] == "logic_and" for i in list(parts[rid])[1:]}
+    need_name = {i for rid, m in rules.items() if m["type"] == "logic_not" for i in parts[rid]}
+    sums = sums.withColumns({f"_p{i}": F.max(f"_n{i}").over(place) for i in sorted(need_place)} | {f"_t{i}": F.max(f"_n{i}").over(name) for i in sorted(need_name)} | ({"_first": F.min("_col").over(name)} if need_name else {}))
+    found = []
+    row = lambda rid, n, at, method: F.struct(F.lit(rid).alias("rule_id"), n.cast("int").alias("n"), at.alias("at"), F.lit(method).alias("match_method"))
+    for rid, m in rules.items():
+        mine = list(parts[rid])
+        method = {i: "call" if leaves[i]["type"] == "call_matcher" else "variable" for i in mine}
+        if m["type"] == "logic_or":
+            for k in sorted(set(method.values())):
+                hit = reduce(lambda a, b: a | b, [F.col(f"_n{i}") > 0 for i in mine if method[i] == k])
+                found.append(F.when(hit, row(rid, F.lit(1), F.col("_col"), k)))
+        elif m["type"] == "logic_and":
+            both = reduce(lambda a, b: a & b, [F.col(f"_p{i}") > 0 for i in mine[1:]], F.col(f"_n{mine[0]}") > 0)
+            found.append(F.when(both, row(rid, F.col(f"_n{mine[0]}"), F.col("_col"), method[mine[0]])))
+        else:
+            none = reduce(lambda a, b: a & b, [F.col(f"_t{i}") == 0 for i in mine], F.col("_col") == F.col("_first"))
+            found.append(F.when(none, row(rid, F.lit(1), F.lit(0), "logic_not")))
+    each = sums.withColumn("_h", F.explode_outer(F.array_compact(F.array(*found)))).where("_h IS NOT NULL").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_h.n"))))
+    return each.select("_h.rule_id", "fqn", F.col("line").alias("source_line"), F.col("_h.at").alias("source_column"), F.col("line").alias("sink_line"), F.col("_h.at").alias("sink_column"), F.col("target").alias("sink_call"), F.lit(1.0).alias("confidence"), "_h.match_method")
+
+
+def _single(rules: Mapping[str, tuple[Any, Any, Any]], p: Program) -> DataFrame:
+    """Rules of one matcher on call sites, all of them in one pass without a shuffle."""
+    hits = [F.when(n > 0, F.struct(F.lit(rid).alias("rule_id"), n.alias("n"), c.cast("double").alias("confidence"), way.alias("match_method"))) for rid, (n, c, way) in rules.items()]
+    # An outer explode: a plain one would add a filter on the array's size and so compute all conditions twice.
+    each = p.call_sites.withColumn("_h", F.explode_outer(F.array_compact(F.array(*hits)))).where(F.col("_h").isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_h.n"))))
+    at = F.coalesce(F.col("col"), F.lit(0)) if "col" in each.columns else F.lit(0)
+    return each.select("_h.rule_id", F.col("caller_fqn").alias("fqn"), F.col("line").alias("source_line"), at.alias("source_column"), F.col("line").alias("sink_line"), at.alias("sink_column"), F.col("target").alias("sink_call"), "_h.confidence", "_h.match_method")
+
+
 def run_rules(irs: Sequence[Mapping[str, Any]], p: Program, compat: bool = False, strict: bool = False, diagnostics: Diagnostics | None = None) -> DataFrame:
-    """Findings of code rules: FINDING columns. Plain call rules are fused into one pass."""
+    """Findings of code rules: FINDING columns."""
     notes = diagnostics or Diagnostics()
-    plain: dict[str, Any] = {}
+    single: dict[str, tuple[Any, Any, Any]] = {}
+    combined: dict[str, Mapping[str, Any]] = {}
     parts: list[DataFrame] = []
     for ir in irs:
         rid = (ir.get("rule") or {}).get("id", "")
@@ -239,19 +326,20 @@ def run_rules(irs: Sequence[Mapping[str, Any]], p: Program, compat: bool = False
             notes.messages += [(rid, x) for x in problems]
             continue
         m = ir["matcher"]
-        if m["type"] == "call_matcher":
-            plain[rid] = _condition(m)
-            continue
         try:
-            parts.append(detections(m, p, compat).withColumn("rule_id", F.lit(rid)))
+            leaf = _leaf(m, p) if rid not in single and p.call_sites is not None else None
+            if leaf is not None:
+                single[rid] = leaf
+            elif p.call_sites is not None and rid not in combined and _is_flat(m, compat):
+                combined[rid] = m
+            else:
+                parts.append(detections(m, p, compat).withColumn("rule_id", F.lit(rid)))
         except (ValueError, AttributeError, TypeError) as e:
             notes.messages.append((rid, str(e)))
-    if plain:
-        fused = matching.match_rules(p.call_sites, plain).withColumns({"confidence": F.lit(1.0), "match_method": F.lit("call")})
-        keep = _sites(fused).columns
-        cols = {"fqn": "caller_fqn", "source_line": "line", "sink_line": "line", "sink_call": "target"}
-        at = F.coalesce(F.col("col"), F.lit(0)) if "col" in fused.columns else F.lit(0)
-        parts.append(fused.select("rule_id", *(F.col(cols[k]).alias(k) if k in cols else at.alias(k) if k.endswith("column") else F.col(k) for k in keep)))
+    if single:
+        parts.append(_single(single, p))
+    if combined:
+        parts.append(_combined(combined, p))
     if not parts:
         return p.call_sites.sparkSession.createDataFrame([], "rule_id string, fqn string, source_line int, source_column int, sink_line int, sink_column int, sink_call string, confidence double, match_method string")
     return reduce(DataFrame.unionByName, [x.select(*FINDING) for x in parts])
@@ -266,7 +354,10 @@ def run_container_rules(irs: Sequence[Mapping[str, Any]], p: Program, strict: bo
         if problems:
             notes.messages += [(rid, x) for x in problems]
             continue
-        parts.append(_container(ir["matcher"], p, strict).withColumn("rule_id", F.lit(rid)).select("rule_id", "file", F.col("line").cast("int").alias("line"), "detail"))
+        try:
+            parts.append(_container(ir["matcher"], p, strict).withColumn("rule_id", F.lit(rid)).select("rule_id", "file", F.col("line").cast("int").alias("line"), "detail"))
+        except (ValueError, AttributeError, TypeError) as e:
+            notes.messages.append((rid, str(e)))
     any_df = p.instructions if p.instructions is not None else p.compose_props
     return reduce(DataFrame.unionByName, parts) if parts else any_df.sparkSession.createDataFrame([], "rule_id string, file string, line int, detail string")
 
