@@ -6,8 +6,9 @@ A join on raw inequalities would compare every pair of a key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +96,38 @@ def range_containing_function(calls: DataFrame, functions: DataFrame) -> DataFra
 
 
 def range_containing_class(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each member (file, start, end, id) with the smallest class (file, start, end, name) whose range holds it.
+    """Each member (file, start, end, id) with the smallest class (file, start, end, name) whose range holds it, its own range aside.
 
-    Classes nest, so the candidates of a member are the classes still open where it starts; a file's classes are joined to its
-    members on the file, whose rows are few.
+    One sweep over a file's starts in order, with the classes that are still open: as classes nest, these are few. Members and classes
+    of a file travel as one array; both are bounded by the file.
     """
-    c = classes.select("file", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("name").alias("class_name"))
-    inside = members.join(c, (members["file"] == c["file"]) & (c["_s"] <= members["start"]) & (members["end"] <= c["_e"]) & ~((c["_s"] == members["start"]) & (c["_e"] == members["end"])), "left").drop(c["file"])
-    return inside.groupBy("file", "start", "end", "id").agg(F.min_by("class_name", F.struct(F.col("_e") - F.col("_s"), "class_name")).alias("class_name"))
+    m = members.select("file", "start", "end", F.col("id"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("kind"))
+    c = classes.select("file", "start", "end", F.lit(None).cast(members.schema["id"].dataType).alias("id"), "name", F.lit(0).alias("kind"))
+    rows = m.unionByName(c).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "name", "id"))).alias("rows"))
+    kinds = [members.schema[x].dataType.simpleString() for x in ("file", "start", "end", "id")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            item = b.schema.field("rows").type.value_type
+            for file, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                open_: list[tuple] = []
+                for r in spans:
+                    if r["start"] is None or r["end"] is None:
+                        if r["kind"]:
+                            out.append((file, r["start"], r["end"], r["id"], None))
+                        continue
+                    open_ = [x for x in open_ if x[1] >= r["start"]]
+                    if r["kind"]:
+                        held = [(e - s, n) for s, e, n in open_ if e >= r["end"] and (s, e) != (r["start"], r["end"])]
+                        out.append((file, r["start"], r["end"], r["id"], min(held)[1] if held else None))
+                    else:
+                        open_.append((r["start"], r["end"], r["name"]))
+            cols = list(zip(*dict.fromkeys(out), strict=True)) or [()] * 5
+            types = [b.schema.field("file").type, item.field("start").type, item.field("end").type, item.field("id").type, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["file", "start", "end", "id", "class_name"])
+
+    return rows.mapInArrow(run, f"file {kinds[0]}, start {kinds[1]}, end {kinds[2]}, id {kinds[3]}, class_name string")
 
 
 def resolve_imports(call_sites: DataFrame, imports: DataFrame) -> DataFrame:

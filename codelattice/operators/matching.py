@@ -192,8 +192,16 @@ def attribute_matcher(statements: DataFrame, patterns: Sequence[str]) -> DataFra
     return statements.where((a != "") & any_of([a.isin(*patterns)] + [F.endswith(a, F.lit("." + p)) for p in patterns]))
 
 
+def exploded(arrays: Sequence[Column]) -> Column:
+    """The elements of all arrays, null where there is none.
+
+    ``flatten`` is compiled along with what it holds, which filters of arrays are not. The explode is an outer one: a plain one would
+    add a filter on the array's size and so compute everything twice.
+    """
+    return F.explode_outer(F.flatten(F.array(*arrays)))
+
+
 def match_rules(call_sites: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Many rules in one pass: a row for each rule whose condition holds, with its id."""
-    ids = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))
-    # An outer explode: a plain one would add a filter on the array's size and so compute all conditions twice.
-    return call_sites.withColumn("rule_id", F.explode_outer(ids)).where(F.col("rule_id").isNotNull())
+    ids = [F.array_repeat(F.lit(r), F.when(c, 1).otherwise(0)) for r, c in rules.items()]
+    return call_sites.withColumn("rule_id", exploded(ids)).where(F.col("rule_id").isNotNull())

@@ -88,9 +88,12 @@ def flow_compare(ours: DataFrame, theirs: DataFrame, tolerance: int = 2) -> Data
 def snippet_context(findings: DataFrame, files: DataFrame, context: int = 3) -> DataFrame:
     """``(finding_id, line_no, text, is_highlight)``: the lines around each finding, clipped to the file.
 
-    A file's lines are cut once; only the slice around a finding is exploded.
+    A file's lines are cut once; only the slice around a finding is exploded. Of several rows of a file the one committed last counts.
     """
-    lines = files.select("repo", "file_path", F.split(F.regexp_replace("source_code", "\r", ""), "\n").alias("_lines")).dropDuplicates(["repo", "file_path"])
+    wanted = findings.where("line IS NOT NULL AND line > 0").select("repo", "file_path").distinct()
+    newest = F.max_by("source_code", F.struct("committed_at", "source_code")) if "committed_at" in files.columns else F.max("source_code")
+    one = files.where("source_code IS NOT NULL").join(wanted, ["repo", "file_path"], "left_semi").groupBy("repo", "file_path").agg(newest.alias("_code"))
+    lines = one.select("repo", "file_path", F.split(F.regexp_replace("_code", "\r", ""), "\n").alias("_lines"))
     at = findings.where("line IS NOT NULL AND line > 0").select("finding_id", "repo", "file_path", "line").distinct().join(lines, ["repo", "file_path"])
     first = F.greatest(F.col("line") - context, F.lit(1))
     got = at.select("finding_id", "line", first.alias("_first"), F.posexplode(F.slice("_lines", first, F.greatest(F.least(F.col("line") + context, F.size("_lines")) - first + 1, F.lit(0)))))

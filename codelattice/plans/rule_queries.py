@@ -77,6 +77,16 @@ def docker_rules(s: SparkSession, d: str) -> DataFrame:
     return execute.run_container_rules(rules, p, strict=True)
 
 
+def _docker_sql() -> str:
+    from codelattice.plans.report_queries import _IMAGES
+
+    return _IMAGES + """, p8 AS (SELECT file FROM x WHERE instruction = 'EXPOSE' AND len(list_filter(regexp_extract_all(rest, '\\d+'), lambda p: CAST(p AS INTEGER) > PORT)) > 0), f AS (
+ SELECT 'D-1' AS rule_id, file, line, raw AS detail FROM x WHERE instruction = 'FROM' AND tag = 'latest' UNION ALL SELECT 'D-2', file, 1, 'USER' FROM d WHERE file NOT IN (SELECT file FROM i WHERE instruction = 'USER')
+ UNION ALL SELECT 'D-3', file, line, raw FROM i WHERE instruction = 'USER' AND split_part(rest, ':', 1) = 'root' UNION ALL SELECT 'D-4', file, line, raw FROM x WHERE instruction = 'FROM' AND digest = '' AND file IN (SELECT file FROM p8)
+ UNION ALL SELECT 'D-5', i.file, i.line, i.raw FROM i JOIN (SELECT file, min(line) AS a FROM i WHERE instruction = 'RUN' GROUP BY file) r ON r.file = i.file WHERE i.instruction = 'COPY' AND i.line > r.a)
+SELECT * FROM f"""
+
+
 def file_cache(s: SparkSession, d: str) -> DataFrame:
     f = v.functions(s, d).select("file", "fqn", F.sha2("fqn", 256).alias("sha256"))
     cache = f.withColumn("sha256", F.when(F.endswith("fqn", F.lit("7")), "old").otherwise(F.col("sha256")))
@@ -107,4 +117,15 @@ def windowed_events(s: SparkSession, d: str) -> DataFrame:
 
 ORACLES["windowed_events"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
 
+ORACLES["docker_rules"] = _docker_sql().replace("PORT", "8000")
+
+
+def _flows_sql() -> str:
+    from codelattice.plans.graph_queries import _CLEAN
+
+    return _CLEAN + " SELECT 'R-FLOW-1' AS rule_id, fqn, source_line, sink_line, 'flow_local' AS match_method FROM flow"
+
+
+ORACLES["rule_flows"] = _flows_sql()
+
 QUERIES |= {f.__name__: f for f in (rule_scan, rule_flows, compose_rules, docker_rules, file_cache, needs_rerun, windowed_events)}

@@ -286,29 +286,30 @@ def _combined(rules: Mapping[str, Mapping[str, Any]], p: Program) -> DataFrame:
     need_name = {i for rid, m in rules.items() if m["type"] == "logic_not" for i in parts[rid]}
     sums = sums.withColumns({f"_p{i}": F.max(f"_n{i}").over(place) for i in sorted(need_place)} | {f"_t{i}": F.max(f"_n{i}").over(name) for i in sorted(need_name)} | ({"_first": F.min("_col").over(name)} if need_name else {}))
     found = []
-    row = lambda rid, n, at, method: F.struct(F.lit(rid).alias("rule_id"), n.cast("int").alias("n"), at.alias("at"), F.lit(method).alias("match_method"))
+    row = lambda rid, n, at, method: F.array_repeat(F.struct(F.lit(rid).alias("rule_id"), at.alias("at"), F.lit(method).alias("match_method")), n.cast("int"))
     for rid, m in rules.items():
         mine = list(parts[rid])
         method = {i: "call" if leaves[i]["type"] == "call_matcher" else "variable" for i in mine}
         if m["type"] == "logic_or":
             for k in sorted(set(method.values())):
                 hit = reduce(lambda a, b: a | b, [F.col(f"_n{i}") > 0 for i in mine if method[i] == k])
-                found.append(F.when(hit, row(rid, F.lit(1), F.col("_col"), k)))
+                found.append(row(rid, F.when(hit, 1).otherwise(0), F.col("_col"), k))
         elif m["type"] == "logic_and":
             both = reduce(lambda a, b: a & b, [F.col(f"_p{i}") > 0 for i in mine[1:]], F.col(f"_n{mine[0]}") > 0)
-            found.append(F.when(both, row(rid, F.col(f"_n{mine[0]}"), F.col("_col"), method[mine[0]])))
+            found.append(row(rid, F.when(both, F.col(f"_n{mine[0]}")).otherwise(0), F.col("_col"), method[mine[0]]))
         else:
             none = reduce(lambda a, b: a & b, [F.col(f"_t{i}") == 0 for i in mine], F.col("_col") == F.col("_first"))
-            found.append(F.when(none, row(rid, F.lit(1), F.lit(0), "logic_not")))
-    each = sums.withColumn("_h", F.explode_outer(F.array_compact(F.array(*found)))).where("_h IS NOT NULL").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_h.n"))))
+            found.append(row(rid, F.when(none, 1).otherwise(0), F.lit(0), "logic_not"))
+    each = sums.withColumn("_h", matching.exploded(found)).where("_h IS NOT NULL")
     return each.select("_h.rule_id", "fqn", F.col("line").alias("source_line"), F.col("_h.at").alias("source_column"), F.col("line").alias("sink_line"), F.col("_h.at").alias("sink_column"), F.col("target").alias("sink_call"), F.lit(1.0).alias("confidence"), "_h.match_method")
 
 
 def _single(rules: Mapping[str, tuple[Any, Any, Any]], p: Program) -> DataFrame:
     """Rules of one matcher on call sites, all of them in one pass without a shuffle."""
-    hits = [F.when(n > 0, F.struct(F.lit(rid).alias("rule_id"), n.alias("n"), c.cast("double").alias("confidence"), way.alias("match_method"))) for rid, (n, c, way) in rules.items()]
-    # An outer explode: a plain one would add a filter on the array's size and so compute all conditions twice.
-    each = p.call_sites.withColumn("_h", F.explode_outer(F.array_compact(F.array(*hits)))).where(F.col("_h").isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_h.n"))))
+    row = lambda rid, c, way: F.struct(F.lit(rid).alias("rule_id"), c.cast("double").alias("confidence"), way.alias("match_method"))
+    none = F.array().cast("array<struct<rule_id:string,confidence:double,match_method:string>>")
+    rows = [F.when(n > 0, F.array_repeat(row(rid, c, way), n)).otherwise(none) for rid, (n, c, way) in rules.items()]  # confidence and way of hits only
+    each = p.call_sites.withColumn("_h", matching.exploded(rows)).where(F.col("_h").isNotNull())
     at = F.coalesce(F.col("col"), F.lit(0)) if "col" in each.columns else F.lit(0)
     return each.select("_h.rule_id", F.col("caller_fqn").alias("fqn"), F.col("line").alias("source_line"), at.alias("source_column"), F.col("line").alias("sink_line"), at.alias("sink_column"), F.col("target").alias("sink_call"), "_h.confidence", "_h.match_method")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from codelattice.sources.go_flow import Flow
+
 _GO = re.compile(r"(?P<skip>[ \t\r]+|//[^\n]*|/\*.*?\*/)|(?P<nl>\n)|(?P<text>`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<name>[^\W\d]\w*)|(?P<num>\d[\w.]*)|(?P<op>:=|<-|\.\.\.|[-+*/%&|^<>=!]=|&&|\|\||\+\+|--|.)", re.S)
 _JAVA = re.compile(r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>\"\"\".*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>->|::|[-+*/%&|^<>=!]=|&&|\|\||\+\+|--|.)", re.S)
 # Words that stand before a bracket without being called.
@@ -169,8 +171,10 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
 
 
 def _go_body(t: _Tokens, a: int, b: int, fqn: str, out: dict) -> None:
+    """Statements and bindings of a body in the order of its lines; then statements get their block and the order of the control flow."""
+    flow = Flow(t, a, b)
+    rows: list[dict] = []
     line: list[int] = []
-    seq = 0
     depth = 0
     for i in range(a, b + 1):
         w = t.words[i] if i < b else "\n"
@@ -180,28 +184,33 @@ def _go_body(t: _Tokens, a: int, b: int, fqn: str, out: dict) -> None:
             words = [t.words[k] for k in line]
             if words:
                 text = lambda xs: "".join((" " if p and p[-1].isalnum() and x[:1].isalnum() else "") + x for p, x in zip(["", *xs], xs, strict=False))
-                at = t.lines[line[0]]
+                at, have = t.lines[line[0]], len(rows)
                 cut = next((k for k, x in enumerate(words) if x in (":=", "=", "+=")), -1)
                 if words[0] in ("return", "go", "defer"):
-                    out["statements"].append(_statement(fqn, seq, at, "return" if words[0] == "return" else "call", "", text(words[1:])))
-                    seq += 1
+                    rows.append(_statement(fqn, len(rows), at, "return" if words[0] == "return" else "call", "", text(words[1:])))
                 elif cut > 0:
-                    names = [x for x in words[:cut] if re.fullmatch(r"[A-Za-z_]\w*", x) and x not in ("var", "for", "if", "switch", "const")]
+                    names = [x for x in words[:cut] if re.fullmatch(r"[A-Za-z_]\w*", x) and x not in ("var", "for", "if", "else", "switch", "case", "const")]
                     if names:
-                        row = _statement(fqn, seq, at, "assignment", names[0] if names[0] != "_" else "", text(words[cut + 1 :]))
+                        row = _statement(fqn, len(rows), at, "assignment", names[0] if names[0] != "_" else "", text(words[cut + 1 :]))
                         row["uses"] = [u for u in row["uses"] if u not in ("range", "map", "string", "int")]
-                        out["statements"].append(row)
+                        rows.append(row)
                         m = re.match(r"&?([A-Z]\w*|[a-z]\w*\.[A-Z]\w*)\{", text(words[cut + 1 :]))
                         kind = m.group(1) if m else f"call:{row['call_target']}" if row["call_target"] else ""
                         if kind:
                             out["bindings"].append({"scope_fqn": fqn, "var": names[0], "line": at, "type_fqn": kind, "confidence": 0.95 if m else 0.9, "source": "go_variable_binding"})
-                        seq += 1
                 elif "(" in words:
-                    out["statements"].append(_statement(fqn, seq, at, "call", "", text(words)))
-                    seq += 1
+                    rows.append(_statement(fqn, len(rows), at, "call", "", text(words)))
+                if len(rows) > have and rows[-1]["type"] == "call" and rows[-1]["call_target"] in ("", "func"):
+                    rows.pop()  # the pieces of a function literal call nothing by name
+                if len(rows) > have:
+                    rows[-1]["block"] = flow.block_of.get(line[0], rows[have - 1]["block"] if have else 0)
             line = []
         elif i < b and t.kinds[i] != "nl":
             line.append(i)
+    place = {block: k for k, block in enumerate(flow.order())}
+    for seq, row in enumerate(sorted((r for r in rows if r["block"] in place), key=lambda r: (place[r["block"]], r["flat_seq"]))):
+        out["statements"].append({**row, "seq": seq})
+    out["cfg_edges"] += [{"fqn": fqn, "src": x, "dst": y, "kind": kind} for x, y, kind in flow.edges]
 
 
 def extract_java(text: str, module: str) -> dict[str, list[dict]]:

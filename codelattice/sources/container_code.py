@@ -103,8 +103,124 @@ def _scalar(text: str) -> tuple[str, str]:
     return s, kind
 
 
+_YAML_KEY = re.compile(r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#\[\]{}&*!|>'"%@`,?-][^#]*?|-[^\s#][^#]*?|[^\s"'#][^\s:#]*(?:\s\S[^:#]*)?)\s*:(?=\s|$)""")
+_YAML_FLOW = re.compile(r"""["']|[\[\]{}]|(?<=\s)\#[^\n]*""")
+_YAML_REST = re.compile(r"[ \t]*(?:#.*)?$", re.M)
+
+
+def _value_end(text: str, at: int) -> int:
+    """Where a quoted or bracketed value that begins at ``at`` ends; -1 if it doesn't."""
+    if text[at] in "\"'":
+        m = re.compile(r'"(?:[^"\\]|\\.)*"' if text[at] == '"' else r"'(?:[^']|'')*'", re.S).match(text, at)
+        return m.end() if m else -1
+    open_, pos = [], at
+    while m := _YAML_FLOW.search(text, pos):
+        c, pos = m.group()[0], m.end()
+        if c in "\"'":
+            if re.match(r"[\s,:\[{]", text[m.start() - 1]):
+                pos = _value_end(text, m.start())
+                if pos < 0:
+                    return -1
+        elif c in "[{":
+            open_.append("]" if c == "[" else "}")
+        elif c in "]}":
+            if not open_ or open_.pop() != c:
+                return -1
+            if not open_:
+                return pos
+    return -1
+
+
+def is_readable(text: str) -> bool:
+    """Whether the text's blocks are those of a YAML document: entries in line, values that end, no line without a place."""
+    text = text.replace("\r", "").lstrip("\ufeff")
+    blocks: list[tuple[int, str]] = []  # open blocks: their column, and whether they are maps or sequences
+    empty = plain = False  # the last entry has no value yet; it is a plain scalar that deeper lines continue
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line, begin, at = text[at:end], at, end + 1
+        body = line.lstrip(" ")
+        column = len(line) - len(body)
+        if not body.strip() or body[0] == "#" or column == 0 and re.match(r"(?:---|\.\.\.)\s*$|%", body):
+            continue
+        if body[0] == "\t":
+            return False
+        if plain and blocks and column > blocks[-1][0] and not _YAML_KEY.match(body):
+            continue
+        place = begin + column
+        while True:
+            dash = bool(re.match(r"-(?:\s|$)", body))
+            key = None if dash else _YAML_KEY.match(body)
+            if not dash and not key:  # a scalar or a bracketed value by itself
+                if blocks and not (empty and column > blocks[-1][0]):
+                    return False
+                value, start = body, place
+                break
+            kind = "seq" if dash else "map"
+            while blocks and (column < blocks[-1][0] or column == blocks[-1][0] and kind == "map" and blocks[-1][1] == "seq" and (column, "map") in blocks):
+                blocks.pop()
+            if blocks and column == blocks[-1][0] and (blocks[-1][1] == kind or kind == "seq" and empty):
+                if blocks[-1][1] != kind:
+                    blocks.append((column, kind))
+            elif not blocks or column > blocks[-1][0] and empty:
+                blocks.append((column, kind))
+            else:
+                return False
+            skip = 1 if dash else key.end()
+            rest = body[skip:]
+            empty = not _no_comment(rest)
+            value = rest.lstrip()
+            start = place + len(body) - len(value)
+            if not dash or empty or not (_YAML_KEY.match(value) or re.match(r"-(?:\s|$)", value)):
+                break
+            column, body, place, empty = start - begin, value, start, True
+        plain = False
+        if not _no_comment(value):
+            continue
+        marked = re.match(r"(?:[&!]\S*(?:\s+|$))+", value)
+        if marked:
+            value, start = value[marked.end() :], start + marked.end()
+        if not value or value[0] == "*":
+            empty = bool(marked)
+        elif value[0] in "|>":
+            if not re.match(r"[|>][-+0-9]*[ \t]*(?:#.*)?$", value):
+                return False
+            deep = blocks[-1][0] if blocks else -1
+            while at < len(text):
+                stop = text.find("\n", at)
+                stop = len(text) if stop < 0 else stop
+                one = text[at:stop]
+                if one.strip() and len(one) - len(one.lstrip(" ")) <= deep:
+                    break
+                at = stop + 1
+        elif value[0] in "\"'[{":
+            stop = _value_end(text, start)
+            if stop < 0 or not _YAML_REST.match(text, stop):
+                return False
+            nxt = text.find("\n", stop)
+            at = len(text) if nxt < 0 else nxt + 1
+        else:
+            if value[0] in "%@`]},&!" or re.search(r":(?:\s|$)", re.sub(r"\s#.*", "", value)):
+                return False
+            plain = True
+        empty = empty and not value
+    return True
+
+
+def _no_comment(value: str) -> str:
+    v = value.strip()
+    return "" if v.startswith("#") else v
+
+
 def compose_rows(text: str) -> Iterator[dict]:
-    """The properties of a compose file's services: scalars, lists, and maps as ``key=value`` items. Anchors and block scalars stay text."""
+    """The properties of a compose file's services: scalars, lists, and maps as ``key=value`` items. Anchors and block scalars stay text.
+
+    A file that is no YAML document has none.
+    """
+    if not is_readable(text):
+        return
     service, service_line, base, inner = "", 0, -1, -1
     in_services = False
     prop: dict | None = None

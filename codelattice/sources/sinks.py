@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.scalar import SARIF_LEVEL, SARIF_SCORE, SEVERITIES, _case, normalize_severity, severity_rank
+from codelattice.session import stored
 
 # The columns of the CSV export in their order.
 CSV_COLUMNS = ("severity", "confidence", "rule_id", "rule_name", "cwe", "owasp", "file", "line", "column", "function", "message", "detection_type", "detection_scope", "source_file", "source_line", "sink_file", "sink_line", "tainted_var", "sink_call")
@@ -63,17 +67,72 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     sarif_rules(findings).select(F.to_json(F.struct("*"))).write.mode("overwrite").text(f"{path}/rules")
 
 
+def text_rows(findings: DataFrame) -> DataFrame:
+    """``(severity, line)``: the listing of all findings for people to read, in order of severity, place and rule."""
+    s = normalize_severity(F.col("severity"))
+    line = F.concat(F.lit("  "), "file_path", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("")), F.lit(" "), "rule_id", F.lit(" "), F.coalesce("message", F.lit("")))
+    return findings.orderBy(severity_rank(s), "file_path", "line", "rule_id", "message").select(s.alias("severity"), line.alias("line"))
+
+
+def write_text(findings: DataFrame, path: str) -> None:
+    """The whole listing as text files in order, written by all executors."""
+    text_rows(findings).select("line").write.mode("overwrite").text(path)
+
+
 def text_report(findings: DataFrame, limit: int = 200) -> str:
-    """A listing by severity for the terminal, of at most ``limit`` findings, and the counts of all."""
+    """A listing for the terminal: the counts of all findings, and up to ``limit`` of them; it says how many more there are.
+
+    ``write_text`` writes them all.
+    """
     s = normalize_severity(F.col("severity"))
     counts = {r.s: r.n for r in findings.groupBy(s.alias("s")).agg(F.count("*").alias("n")).collect()}  # five rows at most
-    rows = findings.where(s != "info").orderBy(severity_rank(s), "file_path", "line", "rule_id", "message").select(s.alias("s"), "file_path", "line", "rule_id", "message").limit(limit).collect()
+    rows = text_rows(findings.where(s != "info")).limit(limit).collect()
     lines = []
     for level in SEVERITIES:
         if counts.get(level):
             lines.append(f"{level.upper()} ({counts[level]})")
-            lines += [f"  {r.file_path}:{r.line} {r.rule_id} {r.message}" for r in rows if r.s == level]
-    return "\n".join([*lines, f"{sum(counts.values())} findings"])
+            lines += [r.line for r in rows if r.severity == level]
+    more = sum(n for k, n in counts.items() if k != "info") - len(rows)
+    return "\n".join([*lines, *([f"{more} more findings are not listed"] if more > 0 else []), f"{sum(counts.values())} findings"])
+
+
+def json_document(findings: DataFrame, tool: str, version: str, errors: Sequence[str] = ()) -> DataFrame:
+    """``(part, line)``: a JSON document as lines in the order of ``part``: head with tool and summary, one result a line, and the end.
+
+    Results stay distributed; only the counts by severity and rule are aggregated. Written in order they are one document.
+    """
+    spark = findings.sparkSession
+    s = normalize_severity(F.col("severity"))
+    by = findings.groupBy(s.alias("severity")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("by_severity"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    rules = findings.agg(F.countDistinct("rule_id").alias("rules"), F.countDistinct("file_path").alias("files"))
+    head = by.crossJoin(rules).select(  # two single rows
+        F.lit(0).cast("bigint").alias("part"),
+        F.concat(F.lit('{"tool":'), F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"))), F.lit(',"scan":'), F.to_json(F.struct("files", "rules")), F.lit(',"summary":'), F.to_json(F.struct("total", "by_severity")), F.lit(f',"errors":{json.dumps(list(errors))},"results":[')).alias("line"),
+    )
+    # Written once, so that the numbers of the lines are the same wherever they are read.
+    results = stored(json_rows(findings).select((F.monotonically_increasing_id() + 1).alias("part"), F.col("result").alias("line")), "findings")
+    last = results.agg(F.max("part").alias("m"))
+    results = results.crossJoin(F.broadcast(last)).select("part", F.concat("line", F.when(F.col("part") < F.col("m"), ",").otherwise("")).alias("line"))  # one row
+    end = spark.range(1).select(F.lit((1 << 63) - 1).alias("part"), F.lit("]}").alias("line"))
+    return head.unionByName(results).unionByName(end)
+
+
+def write_json_document(findings: DataFrame, path: str, tool: str, version: str, errors: Sequence[str] = ()) -> None:
+    """The document as text files whose lines, file by file, are one JSON object."""
+    json_document(findings, tool, version, errors).orderBy("part").select("line").write.mode("overwrite").text(path)
+
+
+def call_site_rows(call_sites: DataFrame) -> DataFrame:
+    """``(site)``: each call site with its resolution as a JSON object."""
+    have = set(call_sites.columns)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
+    place = F.struct("file", "line", (F.col("col") if "col" in have else F.lit(0)).alias("column"))
+    how = F.struct(F.coalesce("resolved", F.lit(False)).alias("resolved"), text("failure_reason").alias("failure_reason"), (F.col("via_type_inference") if "via_type_inference" in have else F.lit(False)).alias("via_type_inference"), text("type_source").alias("type_source"))
+    return call_sites.select(F.to_json(F.struct(F.col("caller_fqn").alias("caller"), "target", text("target_fqn").alias("target_fqn"), place.alias("location"), how.alias("resolution"))).alias("site"))
+
+
+def write_call_sites(call_sites: DataFrame, path: str) -> None:
+    call_site_rows(call_sites).write.mode("overwrite").text(path)
 
 
 def exit_code(findings: DataFrame, fail_on: tuple[str, ...] = (), errors: bool = False) -> int:

@@ -5,6 +5,12 @@ The stream and the windowed event counts are additions; what decides about re-us
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,3 +72,53 @@ def current_index(index: DataFrame) -> DataFrame:
     """The newest version of each file in an index written batch by batch."""
     newest = index.groupBy("file").agg(F.max("batch").alias("batch"))
     return index.join(newest, ["file", "batch"], "left_semi")
+
+
+@dataclass
+class IndexStatus:
+    """What an index build is at, for a caller that asks while it runs: state, phase, and how much of the phase is done."""
+
+    state: str = "uninitialized"  # then indexing, ready or failed
+    phase: str = ""
+    done: int = 0
+    total: int = 0
+    message: str = ""
+    started: float | None = None
+    ended: float | None = None
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+
+    def begin(self, phase: str, total: int = 0) -> None:
+        with self._lock:
+            now = time.time()
+            self.state, self.phase, self.done, self.total, self.message, self.ended = "indexing", phase, 0, total, "", None
+            self.started = self.started or now
+
+    def advance(self, n: int = 1) -> None:
+        with self._lock:
+            self.done += n
+
+    def finish(self, error: str | None = None) -> None:
+        with self._lock:
+            self.state, self.message, self.ended = ("failed", error, time.time()) if error else ("ready", "", time.time())
+
+    def report(self) -> dict[str, Any]:
+        with self._lock:
+            share = 1.0 if self.state == "ready" else min(1.0, self.done / self.total) if self.total else 0.0
+            seconds = (self.ended or time.time()) - self.started if self.started else 0.0
+            return {"state": self.state, "phase": self.phase, "progress": share, "done": self.done, "total": self.total, "message": self.message, "seconds": round(seconds, 3)}
+
+
+def index_in_background(build: Callable[[IndexStatus], None], status: IndexStatus) -> threading.Thread:
+    """Runs a build in a thread of the driver; ``status`` tells how far it is, and how it ended."""
+
+    def run() -> None:
+        try:
+            build(status)
+            status.finish()
+        except Exception as e:  # noqa: BLE001 - whatever ends a build is its status
+            status.finish(f"{type(e).__name__}: {e}")
+
+    status.begin("start")
+    thread = threading.Thread(target=run, name="index", daemon=True)
+    thread.start()
+    return thread

@@ -172,3 +172,57 @@ def test_flows_over_many_calls(spark):
     local = spark.createDataFrame([], "fqn string, source_line int, source_var string, sink_line int, sink_call string, confidence double")
     got = dataflow.flows_global(at(names[0], "input"), at(names[-1], "execute"), calls, sums, local).collect()
     assert [(r.source_fqn, r.sink_fqn) for r in got] == [(names[0], names[-1])]
+
+
+def test_enclosing_classes_against_brute_force(spark):
+    """Nested, touching and overlapping ranges, ties, members with a class's own range, and a file without classes."""
+    import random
+
+    from codelattice.operators.joins import range_containing_class
+
+    rnd = random.Random(6)
+    span = lambda: (lambda a: (a, a + rnd.randrange(0, 12)))(rnd.randrange(40))
+    classes = [(f"f{i % 3}", *span(), f"C{i}") for i in range(40)]
+    members = [(f"f{i % 4}", *span(), i) for i in range(200)] + [("f9", None, None, 500)]
+    got = {(r.file, r.start, r.end, r.id): r.class_name for r in range_containing_class(spark.createDataFrame(members, "file string, start int, end int, id int"), spark.createDataFrame(classes, "file string, start int, end int, name string")).collect()}
+    for f, s, e, i in members:
+        held = [(ce - c, n) for cf, c, ce, n in classes if s is not None and cf == f and c <= s and e <= ce and (c, ce) != (s, e)]
+        assert got[f, s, e, i] == (min(held)[1] if held else None)
+    assert len(got) == len(set(members))
+
+
+def test_types_propagate_to_the_end_of_a_chain(spark):
+    from codelattice.operators.resolution import propagate_types
+
+    b = spark.createDataFrame([("s", f"v{i}", i, f"var:v{i - 1}" if i else "lib.T", 0.9) for i in range(8)] + [("s", "x", 9, "var:y", 1.0), ("s", "y", 10, "var:x", 1.0)], "scope_fqn string, var string, line int, type_fqn string, confidence double")
+    r = spark.createDataFrame([], "fqn string, type_fqn string, confidence double")
+    got = {x["var"]: x.type_fqn for x in propagate_types(b, r).collect()}
+    assert all(got[f"v{i}"] == "lib.T" for i in range(8)) and got["x"] == "var:y"
+    assert {x["var"]: x.type_fqn for x in propagate_types(b, r, passes=2).collect()}["v4"] != "lib.T"
+
+
+def test_go_chains_by_type(spark):
+    from codelattice.operators.resolution import enrich_go_chains
+
+    st = spark.createDataFrame([("f", 5, "db.Query"), ("f", 5, "r.URL.Path"), ("f", 9, "x.Run"), ("f", 2, "x.Run"), ("f", 5, "plain"), ("f", 5, "other.Do"), ("g", 5, None)], "fqn string, line int, call_chain string")
+    params = spark.createDataFrame([("f", "r", "*http.Request"), ("f", "db", "*sql.DB")], "fqn string, var string, type_fqn string")
+    bound = spark.createDataFrame([("f", "x", 3, "p.A"), ("f", "x", 7, "p.B"), ("f", "db", 1, "p.C")], "fqn string, var string, line int, type_fqn string")
+    got = sorted((r.line, r.call_chain or "") for r in enrich_go_chains(st, params, bound).collect())
+    assert got == [(2, "x.Run"), (5, ""), (5, "http.Request.URL.Path"), (5, "other.Do"), (5, "plain"), (5, "sql.DB.Query"), (9, "p.B.Run")]
+
+
+def test_status_of_a_build():
+    from codelattice.streaming.incremental import IndexStatus, index_in_background
+
+    status = IndexStatus()
+    assert status.report()["state"] == "uninitialized"
+
+    def build(s):
+        s.begin("parse", 4)
+        s.advance(3)
+        assert s.report()["progress"] == 0.75 and s.report()["phase"] == "parse"
+
+    index_in_background(build, status).join()
+    assert status.report()["state"] == "ready" and status.report()["progress"] == 1.0
+    index_in_background(lambda s: 1 / 0, status).join()
+    assert status.report()["state"] == "failed" and "ZeroDivisionError" in status.report()["message"]

@@ -1,3 +1,4 @@
+import os
 import json
 
 from pyspark.sql import functions as F
@@ -171,3 +172,95 @@ def test_changed_files(spark, tmp_path):
     git("add", "-A")
     git("commit", "-qm", "two")
     assert sorted(r.path for r in files.changed_files(spark, str(tmp_path), "main").collect()) == ["b.py", "c.py"]
+
+
+GO_FLOW = """package p
+
+func f(a int) int {
+	x := get()
+	if x > 0 {
+		y := clean(x)
+		use(y)
+	} else if y := g(); y {
+		return 1
+	} else {
+		z := h(x)
+	}
+	for i := 0; i < 3; i++ {
+		if i == 2 {
+			break
+		}
+		run(i)
+	}
+loop:
+	for {
+		switch v := a.(type) {
+		case int:
+			work(v)
+			fallthrough
+		case string:
+			break loop
+		default:
+			continue loop
+		}
+	}
+	return x
+	lost(x)
+}
+"""
+
+
+def test_go_control_flow():
+    got = brace_code.extract_go(GO_FLOW, "p")
+    edges = {(e["src"], e["dst"], e["kind"]) for e in got["cfg_edges"]}
+    at = {r["line"]: r["block"] for r in got["statements"]}
+    assert at[4] == 0 and (0, at[6], "true") in edges and (0, at[8], "false") in edges  # the else's condition stands in the block of the branch not taken
+    assert (at[8], at[9], "true") in edges and not any(e[0] == at[9] for e in edges)  # return ends its block
+    loop = at[13]
+    assert any(e[1] == loop and e[2] == "back" for e in edges) and (loop, next(e[1] for e in edges if e[0] == loop and e[2] == "false"), "false") in edges
+    switch = at[21]
+    cases = [e[1] for e in sorted(edges) if e[0] == switch and e[2] == "case"]
+    assert len(cases) == 3 and (cases[0], cases[1], "next") in edges  # fallthrough
+    assert (cases[1], at[31], "jump") in edges and any(e[0] == cases[2] and e[2] == "jump" and (e[1], switch, "true") in edges for e in edges)  # labels
+    assert 32 not in at  # never reached
+    assert [r["seq"] for r in got["statements"]] == list(range(len(got["statements"])))
+    assert {e[0] for e in edges} <= {e[1] for e in edges} | {0}
+
+
+def test_go_flow_takes_any_text():
+    for text in ("func f() {", "func f() { if", "func f() { for { ", "func f() { switch x { case 1", "func f() { if x { } else", "func f() { goto a\n a: b() }", "func f() { x := func() { if a { } }\n y(x) }", "func f() { select { case <-c: default: } }"):
+        brace_code.extract_go("package p\n\n" + text, "p")
+
+
+def test_readable_compose_files():
+    good = ["", "a: 1", "services:\n  a:\n    ports: [\"80\", '81']\n    x: {a: b}\n", "a:\n- b\n- c: d\n  e: f\ng: |\n  any: [ text\n  here\nh: >-\n  x\n", "a: long\n  plain text\n  on lines\nb: 1", "# c\n---\na: \"x\n  y\"\n", "a: &m\n  b: 1\nc:\n  <<: *m\n", "[a,\n b]", "- a\n- - b\n  - c\n"]
+    bad = ["a: [1, 2", "a: \"x", "a: b: c", "a:\n    b: 1\n  c: 2\n", "a: 1\n<<<<<<< HEAD\nb: 2\n", "a: 1\nplain\n", "a:\n\t- b\n", "a: [1] x\n", "a: 1\n- b\n", "a: @x\n", "a: |x\n  y\n", "a: [1}\n"]
+    assert [t for t in good if not container_code.is_readable(t)] == [] and [t for t in bad if container_code.is_readable(t)] == []
+
+
+def test_whole_reports(spark, tmp_path):
+    import json
+
+    rows = [(f"R-{i % 7}", "n", ["high", "low", "INFO", "medium"][i % 4], "", "", "r", f"f{i % 13}.py", i, 1, "m.f", 'say "x"', "pattern", "", 0.5, "", "", 1, "", 2, "v", "s") for i in range(450)]
+    names = "rule_id string, rule_name string, severity string, cwe string, owasp string, repo string, file_path string, line int, col int, function_fqn string, message string, detection_type string, detection_scope string, confidence double, confidence_label string, source_file string, source_line int, sink_file string, sink_line int, tainted_var string, sink_call string"
+    f = spark.createDataFrame(rows, names).repartition(5)
+    assert sinks.text_rows(f).count() == 450
+    text = sinks.text_report(f)
+    assert "138 more findings are not listed" in text and text.endswith("450 findings") and text.count("\n  f") == 200
+    sinks.write_text(f, str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == 450
+    for df, n in ((f, 450), (f.limit(0), 0)):
+        doc = json.loads("".join(r.line for r in sinks.json_document(df, "codelattice", "1", ["e"]).orderBy("part").collect()))
+        assert len(doc["results"]) == n == doc["summary"]["total"] and doc["errors"] == ["e"] and doc["tool"]["name"] == "codelattice" and doc["scan"]["rules"] == (7 if n else 0)
+    cs = spark.createDataFrame([("m.f", "a.b", "lib.a.b", "x.py", 3, 1, True)], "caller_fqn string, target string, target_fqn string, file string, line int, col int, resolved boolean")
+    site = json.loads(sinks.call_site_rows(cs).first().site)
+    assert site["location"] == {"file": "x.py", "line": 3, "column": 1} and site["resolution"]["resolved"] is True
+
+
+def test_stored_folders_go(spark):
+    from codelattice import session
+
+    df = session.stored(spark.range(10), "gone")
+    path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert df.count() == 10 and os.path.isdir(path)
+    assert session.discard_stored(spark) >= 1 and not os.path.exists(path) and session.discard_stored(spark) == 0
