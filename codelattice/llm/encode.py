@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import codecs
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - reached as pa.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
@@ -301,9 +303,15 @@ def _slices(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.
     yield b.slice(start)
 
 
-def _ids_of(path: str, lengths_only: bool):
+def shipped(spark: SparkSession, path: str) -> str:
+    """Hands a vocabulary file to all executors along with the job; the name by which they find it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _ids_of(name: str, lengths_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for whole in batches:
             for b in _slices(whole, whole.num_columns - 1):
                 ids = [enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
@@ -318,7 +326,7 @@ def _mapped(docs: DataFrame, keys: list[str], text_col: str, path: str, lengths_
     kept = docs.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{text_col}`").alias("_text"))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     schema += ", n_tokens bigint" if lengths_only else ", ids array<int>"
-    return kept.mapInArrow(_ids_of(path, lengths_only), schema)
+    return kept.mapInArrow(_ids_of(shipped(docs.sparkSession, path), lengths_only), schema)
 
 
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str = BYTE_BPE_50K) -> DataFrame:

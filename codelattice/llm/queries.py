@@ -74,6 +74,17 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window what must hold of a packing: no container above the capacity, no text cut that fits, every document in it, all pieces of it."""
+    packed = packed_documents(spark, sf_dir)
+    used = packed.groupBy("window_id", "container").agg(F.sum("n_tokens").alias("used")).groupBy("window_id").agg(F.max("used").alias("fullest"))
+    docs = packed.groupBy("window_id", "doc_id").agg(F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"))
+    caps = F.broadcast(table(spark, sf_dir, "context_windows").select("window_id", F.col("capacity_tokens").cast("bigint").alias("c")).distinct())  # five rows
+    whole = docs.join(caps, "window_id").withColumn("whole", (F.col("pieces") == F.greatest(F.ceil(F.col("tokens") / F.col("c")), F.lit(1))) & (F.col("pieces") == F.col("last") + 1))
+    per = whole.groupBy("window_id").agg(F.count("*").alias("documents"), F.count_if(~F.col("whole")).alias("wrongly_cut"), F.sum("tokens").alias("_t"))
+    return per.join(used, "window_id").join(caps, "window_id").select("window_id", "documents", "wrongly_cut", (F.col("fullest") <= F.col("c")).alias("holds"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_pos").distinct()
 
@@ -83,5 +94,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p4_repairs": p4_repairs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p4_repairs": p4_repairs, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_by_repo": p5_by_repo, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_usage": p7_usage, "p7_holds": p7_holds}
+ORACLES: dict[str, str] = {
+    "p7_holds": "SELECT CAST(window_id AS INTEGER) AS window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS wrongly_cut, true AS holds FROM (SELECT DISTINCT window_id FROM context_windows)",
+}
