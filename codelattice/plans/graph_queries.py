@@ -156,6 +156,12 @@ def type_constrained_attribute(s, d):
     return typed.type_constrained_attribute(v.call_sites(s, d), v.statements(s, d), ["lib.Brand_3"], "hot_rod").drop("confidence")
 
 
+@query(_ST + "SELECT fqn, line, attribute_access AS access, 'statement_attribute' AS match_method FROM fx_statements WHERE attribute_access = 'request.error'")
+def typed_attributes(s, d):
+    """Attribute reads of a typed receiver, from statements."""
+    return typed.type_constrained_attribute(v.call_sites(s, d), v.statements(s, d), ["request"], "error").drop("confidence")
+
+
 @query("SELECT p_partkey, 'base.' || p_type AS ancestor FROM part WHERE p_type IN ('PROMO', 'SMALL')")
 def mro_subclass(s, d):
     p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("app.C"), F.col("p_partkey").cast("string")).alias("class_fqn"), F.concat(F.lit("base."), "p_type").alias("base"))
@@ -529,6 +535,29 @@ def resolve_call_py(s, d):
     return resolution.resolve_call_py(c, known, _imports(s, d)).groupBy(F.coalesce("rung", F.lit("unresolved")).alias("rung")).agg(F.count("*").alias("n"))
 
 
+@query(_CS + """, c AS (SELECT caller_fqn, module, seq, CAST(regexp_extract(module, 'm(\\d+)$', 1) AS INTEGER) AS m, (l * 7 + seq) % 9 AS k FROM (SELECT caller_fqn, module, seq, line AS l FROM fx_call_sites))
+SELECT caller_fqn, seq, CASE k WHEN 0 THEN CASE WHEN m % 2 = 0 THEN module || '.run' ELSE 'base.B.run' END WHEN 1 THEN 'base.B.stop' WHEN 2 THEN 'builtins.eval' WHEN 3 THEN 'numpy.array' WHEN 4 THEN CASE WHEN m % 3 = 0 THEN module || '.helper' END
+  WHEN 5 THEN 'lib.DB.query' WHEN 6 THEN 'User.objects.filter' WHEN 7 THEN 'lib.Conn.send' ELSE 'app.util.fn' END AS resolved_fqn,
+ CASE k WHEN 0 THEN 'self' WHEN 1 THEN 'super' WHEN 2 THEN 'builtin' WHEN 3 THEN 'registry' WHEN 4 THEN CASE WHEN m % 3 = 0 THEN 'same_module' END WHEN 5 THEN 'variable' WHEN 6 THEN 'orm' WHEN 7 THEN 'self_attr' ELSE 'import' END AS rung,
+ CASE WHEN k = 4 AND m % 3 <> 0 THEN 'not_in_imports' ELSE '' END AS failure_reason FROM c""")
+def resolve_call_py_rungs(s, d):
+    """Every rung of the cascade with rows of its own."""
+    k = (F.col("line") * 7 + F.col("seq")) % 9
+    names = ("self.run", "super().stop", "eval", "np.array", "helper", "db.query", "User.objects.filter", "self.conn.send", "util.fn")
+    target = F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    c = v.call_sites(s, d).select("caller_fqn", "file", "module", "seq", target.alias("target"))
+    modules = c.select("file", "module").distinct()
+    m = F.regexp_extract("module", r"m(\d+)$", 1).cast("int")
+    fixed = s.createDataFrame([("base.B.run",), ("base.B.stop",), ("lib.Conn.send",), ("app.util.fn",)], "fqn string")
+    functions = modules.where(m % 2 == 0).select(F.concat("module", F.lit(".run")).alias("fqn")).unionByName(modules.where(m % 3 == 0).select(F.concat("module", F.lit(".helper")).alias("fqn"))).unionByName(fixed)
+    imports = modules.select("file", F.explode(F.array(F.struct(F.lit("np").alias("alias"), F.lit("numpy").alias("fqn")), F.struct(F.lit("util").alias("alias"), F.lit("app.util").alias("fqn")))).alias("i")).select("file", "i.*")
+    mro = modules.select(F.col("module").alias("class_fqn"), F.explode(F.array(F.struct(F.col("module").alias("ancestor"), F.lit(0).alias("depth")), F.struct(F.lit("base.B").alias("ancestor"), F.lit(1).alias("depth")))).alias("x")).select("class_fqn", "x.*").unionByName(s.createDataFrame([("base.B", "base.B", 0)], "class_fqn string, ancestor string, depth int"))
+    bindings = c.select(F.col("caller_fqn").alias("scope_fqn")).distinct().select("scope_fqn", F.lit("db").alias("var"), F.lit("lib.DB").alias("type_fqn"), F.lit(0.9).alias("confidence"))
+    attributes = modules.select(F.col("module").alias("class_fqn"), F.lit("conn").alias("name"), F.lit("lib.Conn").alias("type_fqn"))
+    registry = s.createDataFrame([("numpy.array", "thirdparty")], "fqn string, kind string")
+    return resolution.resolve_call_py(c, functions, imports, None, bindings, attributes, mro, registry).select("caller_fqn", "seq", "resolved_fqn", "rung", "failure_reason")
+
+
 @query(_CS + ", b AS (SELECT DISTINCT caller_fqn FROM fx_call_sites WHERE target LIKE 'promo.%'), x AS (SELECT c.target, CASE WHEN b.caller_fqn IS NOT NULL AND split_part(c.target, '.', 1) = 'promo' THEN 'best_effort' WHEN c.module || '.' || c.target = 'app.m7.small.hot_rod' THEN 'same_package' ELSE 'unresolved' END AS rung FROM fx_call_sites c LEFT JOIN b ON b.caller_fqn = c.caller_fqn) SELECT rung, count(*) AS n FROM x GROUP BY rung")
 def resolve_call_go(s, d):
     c = v.call_sites(s, d)

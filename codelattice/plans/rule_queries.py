@@ -52,6 +52,24 @@ def rule_flows(s: SparkSession, d: str) -> DataFrame:
     return execute.run_rules([_rule("R-FLOW-1", flow)], execute.Program(call_sites=sites, statements=st)).select("rule_id", "fqn", "source_line", "sink_line", "match_method")
 
 
+def source_rules(s: SparkSession, d: str) -> DataFrame:
+    """A rule set over what the Python and Go parsers yield, end to end: calls, combinations, and flows within functions."""
+    from codelattice.plans.report_queries import _facts
+    from codelattice.session import stored
+    from codelattice.sources import facts
+
+    parsed = stored(_facts(s, d, "python").unionByName(_facts(s, d, "go")).select("file", "module", "call_sites", "statements"), "facts")  # parsed once, read by every rule
+    name = F.concat_ws(":", "file", "fqn")
+    st = facts.table_of(parsed, "statements").withColumn("fqn", name)
+    unknown = {"target_fqn": F.lit(""), "via_type_inference": F.lit(False), "inferred_type": F.lit(""), "type_confidence": F.lit(0.0)}
+    sites = facts.table_of(parsed, "call_sites").withColumn("caller_fqn", F.concat_ws(":", "file", "caller_fqn")).withColumns(unknown)
+    rules = [
+        _rule("S-CALL-1", api.calls("*.execute", "db.Query")), _rule("S-AND-1", api.calls("*.append") & api.variable("item")), _rule("S-NOT-1", ~api.calls("*.*")),
+        _rule("S-FLOW-1", api.flows(api.calls("open"), api.calls("*read"), scope="local")), _rule("S-FLOW-2", api.flows([api.calls("append"), api.calls("db.Query")], api.calls("log.*", "append"), scope="local")),
+    ]
+    return execute.run_rules(rules, execute.Program(call_sites=sites, statements=st)).select("rule_id", "fqn", "source_line", "sink_line", "match_method").distinct()
+
+
 def compose_rules(s: SparkSession, d: str) -> DataFrame:
     p = execute.Program(compose_props=table(s, d, "compose_props").distinct())
     rules = [_rule("C-1", api.service_has("privileged", equals=True), "compose"), _rule("C-2", api.service_missing("restart"), "compose"), _rule("C-3", api.any_of(api.service_has("restart", equals="always"), api.service_has("ports", contains=":80")), "compose")]
@@ -128,4 +146,4 @@ def _flows_sql() -> str:
 
 ORACLES["rule_flows"] = _flows_sql()
 
-QUERIES |= {f.__name__: f for f in (rule_scan, rule_flows, compose_rules, docker_rules, file_cache, needs_rerun, windowed_events)}
+QUERIES |= {f.__name__: f for f in (rule_scan, rule_flows, source_rules, compose_rules, docker_rules, file_cache, needs_rerun, windowed_events)}
