@@ -144,7 +144,7 @@ def marked(statements: DataFrame, sources: Names = (), sinks: Names = (), saniti
             other = name_pattern(F.col("call_chain"), names) | name_pattern(F.col("attribute_access"), names) if names else F.lit(False)
             s = s.withColumns({kind: call | other, f"{kind}_call": call})
             continue
-        hits = _matched(s, names)
+        hits = cut(_matched(s, names))  # read three times in each plan that uses the marks
         for i, c in enumerate(("call_target", "call_chain", "attribute_access")):
             s = s.join(hits.select(F.col("name").alias(c), F.lit(True).alias(f"_hit{i}")), c, "left")
         hit = lambda i: F.coalesce(F.col(f"_hit{i}"), F.lit(False))

@@ -8,8 +8,12 @@ others run.
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 import re
+import shutil
+import time
+import zipfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -388,3 +392,25 @@ def load_ruleset(root: str, spec: str) -> list[api.Rule]:
     if _SPEC.match(second):
         return [r for r in load_rules(str(base)) if r.id == second]
     return load_rules(str(base if second == "all" else base / second))
+
+
+def open_ruleset(archive: str, spec: str, cache: str, sha256: str | None = None, ttl: float = 24 * 3600) -> list[api.Rule]:
+    """``load_ruleset`` from a zip archive, unpacked below ``cache`` under its digest and used again while it is younger than ``ttl`` seconds.
+
+    A digest that isn't the expected one, and members that would leave the directory, are refused.
+    """
+    digest = hashlib.sha256(Path(archive).read_bytes()).hexdigest()
+    if sha256 is not None and digest != sha256.removeprefix("sha256:").lower():
+        raise ValueError(f"the archive's digest is {digest}")
+    where = Path(cache, digest)
+    stamp = where / ".unpacked"
+    if not stamp.exists() or time.time() - stamp.stat().st_mtime > ttl:
+        with zipfile.ZipFile(archive) as z:
+            root = where.resolve()
+            if any(not (root / n).resolve().is_relative_to(root) for n in z.namelist()):
+                raise ValueError("the archive holds paths outside of it")
+            shutil.rmtree(where, ignore_errors=True)
+            where.mkdir(parents=True)
+            z.extractall(where)
+        stamp.touch()
+    return load_ruleset(str(where), spec)

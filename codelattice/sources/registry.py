@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,21 @@ def registry_mro(nodes: DataFrame, records: DataFrame) -> DataFrame:
     c = nodes.where("schema_path = 'classes'").select("record_id", "name", attr["mro"].alias("mro"))
     named = c.join(records.select("record_id", F.col("module_name").alias("_m")).where("_m IS NOT NULL").distinct(), "record_id")
     return named.select(F.concat_ws(".", "_m", "name").alias("class_fqn"), F.posexplode("mro").alias("depth", "ancestor")).select("class_fqn", "ancestor", (F.col("depth") + 1).alias("depth")).distinct()
+
+
+def scan_registry(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a registry directory: ``(record_id, name, payload)`` of the files that its ``manifest.json`` lists and whose
+    SHA-256 is the listed one, and ``(name, file, problem)`` for the others.
+
+    The manifest lists ``modules`` (Python) or ``packages`` (Go): ``name`` or ``import_path``, ``file`` (without one a
+    package's is its path with ``_`` for ``/``, and ``_stdlib.json``) and ``checksum`` (``sha256:…``; none is not checked). Executors read and check the files; only the list passes the driver.
+    """
+    base = root.rstrip("/")
+    manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{base}/manifest.json", wholetext=True).collect()))
+    listed = [(e.get("name") or e.get("import_path") or "", e.get("file") or (e.get("import_path") or "").replace("/", "_") + "_stdlib.json", (e.get("checksum") or "").removeprefix("sha256:").lower()) for e in [*(manifest.get("modules") or ()), *(manifest.get("packages") or ())]]
+    want = spark.createDataFrame(listed, "name string, file string, checksum string")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(base).select("path", F.col("content").alias("_c"))
+    rel = F.regexp_extract("path", re.escape(base.removeprefix("file://").removeprefix("file:")) + r"/(.*)$", 1)
+    have = read.select(rel.alias("file"), F.sha2("_c", 256).alias("_sha"), F.make_valid_utf8(F.col("_c").cast("string")).alias("payload"))
+    both = want.join(have, "file", "left").withColumn("problem", F.when(F.col("payload").isNull(), "missing").when((F.col("checksum") != "") & (F.col("checksum") != F.col("_sha")), "checksum"))
+    return both.where("problem IS NULL").select(F.col("file").alias("record_id"), "name", "payload"), both.where("problem IS NOT NULL").select("name", "file", "problem")

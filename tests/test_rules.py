@@ -34,6 +34,26 @@ def test_authoring(tmp_path):
         execute.load_ruleset(str(tmp_path), "../x")
 
 
+def test_rule_sets_in_archives(tmp_path):
+    import hashlib
+    import zipfile
+
+    archive = tmp_path / "r.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("py/r.py", RULES)
+    digest, cache = hashlib.sha256(archive.read_bytes()).hexdigest(), str(tmp_path / "c")
+    for ttl in (1000, 1000, -1):
+        assert [r.id for r in execute.open_ruleset(str(archive), "py/PY-EVAL-1", cache, digest, ttl)] == ["PY-EVAL-1"]
+    with pytest.raises(ValueError):
+        execute.open_ruleset(str(archive), "py/all", cache, "0" * 64)
+    bad = tmp_path / "b.zip"
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("../x.py", RULES)
+    with pytest.raises(ValueError):
+        execute.open_ruleset(str(bad), "py/all", cache)
+    assert not (tmp_path / "x.py").exists()
+
+
 def test_validation():
     bad = [api.Rule("X-1", "x", "low", api.attribute("a")).to_ir(), {"rule": {}, "matcher": {"type": "zzz"}}, {"rule": {"id": "A"}, "matcher": {"type": "dataflow", "sources": [], "sinks": []}}]
     assert [len(execute.validate_ir(x)) for x in bad] == [1, 2, 1]

@@ -1,10 +1,10 @@
-import os
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from codelattice.functions import scalar
-from codelattice.operators import container, reports
+from codelattice.operators import container, flatten, reports
 from codelattice.sources import brace_code, container_code, facts, files, python_code, registry, sinks
 
 PY = '''import os as o
@@ -264,3 +264,20 @@ def test_stored_folders_go(spark):
     path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
     assert df.count() == 10 and os.path.isdir(path)
     assert session.discard_stored(spark) >= 1 and not os.path.exists(path) and session.discard_stored(spark) == 0
+
+
+def test_registry_directories(spark, tmp_path):
+    import hashlib
+    import json
+
+    good, bad = json.dumps({"module": "os", "functions": {"getcwd": {"return_type": "builtins.str", "confidence": 0.9}}}), json.dumps({"module": "re"})
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "os.json").write_text(good)
+    (tmp_path / "m" / "re.json").write_text(bad)
+    sha = hashlib.sha256(good.encode()).hexdigest()
+    listed = [{"name": "os", "file": "m/os.json", "checksum": f"sha256:{sha}"}, {"name": "re", "file": "m/re.json", "checksum": f"sha256:{sha}"}, {"name": "io", "file": "m/io.json"}]
+    (tmp_path / "manifest.json").write_text(json.dumps({"schema_version": "1", "modules": listed}))
+    records, problems = registry.scan_registry(spark, str(tmp_path))
+    assert [(r.name, r.payload) for r in records.collect()] == [("os", good)] and {(r.name, r.problem) for r in problems.collect()} == {("re", "checksum"), ("io", "missing")}
+    nodes = flatten.flatten_records(records, "record_id", "payload")
+    assert [tuple(r) for r in registry.registry_functions(nodes, records.withColumnRenamed("name", "module_name"), "module_name").collect()] == [("os", "getcwd", "builtins.str", 0.9)]
