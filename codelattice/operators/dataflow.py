@@ -377,12 +377,15 @@ def flows_global(sources_at: DataFrame, sinks_at: DataFrame, edges: DataFrame, s
     function between passes it on and is no sanitizer. One flow a sink stays, local ones first. Inputs: (fqn, line, call).
     """
     from codelattice.operators.logic import dedup_flow
-    from codelattice.operators.traversal import closure, find_path
+    from codelattice.operators.traversal import paths_from, transitive_callers
 
-    e = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    e = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
     a, b = sources_at.select("fqn").distinct(), sinks_at.select("fqn").distinct()
-    pairs = closure(e, a.select(F.col("fqn").alias("root")), max_depth).where("depth > 0").join(b.select(F.col("fqn").alias("node")), "node", "left_semi").select(F.col("root").alias("src"), F.col("node").alias("dst")).where("src <> dst")
-    paths = find_path(e, pairs, max_depth)
+    # What leads to a sink, found once for all of them; paths then never leave it, which changes no shortest path to a sink.
+    leads = transitive_callers(e, b.select(F.col("fqn").alias("node")), max_depth).select("node")
+    e = e.join(leads.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    roots = a.select(F.col("fqn").alias("root")).join(leads.withColumnRenamed("node", "root"), "root", "left_semi")
+    paths = paths_from(e, roots, max_depth).where("root <> node").join(b.select(F.col("fqn").alias("node")), "node", "left_semi").select(F.col("root").alias("src"), F.col("node").alias("dst"), "path")
     sm = summaries.select("fqn", "is_source", "is_sanitizer", "return_tainted", "p2ret", "p2sink")
     out_ok = sm.select(F.col("fqn").alias("src"), (F.col("is_source") | F.col("return_tainted") | (F.size("p2ret") > 0) | (F.size("p2sink") > 0)).alias("_out"))
     blocked = sm.where("is_sanitizer OR (size(p2ret) = 0 AND NOT is_source)").select(F.col("fqn").alias("_mid"))

@@ -69,8 +69,14 @@ def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None)
 
     Paths grow only from the pairs' sources, one node a round, one path for each (source, node).
     """
+    seen = paths_from(edges, pairs.select(F.col("src").alias("root")), max_depth)
+    return pairs.join(seen, (pairs["src"] == seen["root"]) & (pairs["dst"] == seen["node"])).select(pairs["src"], pairs["dst"], "path")
+
+
+def paths_from(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(root, node, path)``: the shortest path from each root to each node it reaches, of several the first by its nodes."""
     e = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
-    front = pairs.select(F.col("src").alias("root")).distinct().withColumns({"node": F.col("root"), "path": F.array("root")})
+    front = roots.select("root").distinct().withColumns({"node": F.col("root"), "path": F.array("root")})
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -83,7 +89,7 @@ def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None)
         if depth % 5 == 0:
             seen = cut(seen)
         front = new
-    return pairs.join(seen, (pairs["src"] == seen["root"]) & (pairs["dst"] == seen["node"])).select(pairs["src"], pairs["dst"], "path")
+    return seen
 
 
 def callers(call_sites: DataFrame, edges: DataFrame, functions: DataFrame, fqn: str) -> DataFrame:

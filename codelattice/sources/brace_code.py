@@ -100,6 +100,11 @@ def _empty() -> dict[str, list[dict]]:
     return {k: [] for k in ("nodes", "call_sites", "statements", "imports", "bindings", "class_attributes", "returns", "cfg_edges")}
 
 
+def _whole(t: _Tokens, a: int, stop: int) -> int:
+    """The end of a body, or, where it is left open by a fault, the token before the next function at the start of a line."""
+    return next((k - 1 for k in range(a + 1, stop) if t.words[k] == "func" and t.cols[k] == 1 and t.kinds[k - 1] == "nl"), stop)
+
+
 def extract_go(text: str, module: str) -> dict[str, list[dict]]:
     t, out = _Tokens(_GO, text), _empty()
     w, n = t.words, len(t.words)
@@ -107,7 +112,7 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
     types: dict[str, str] = {}
     while i < n:
         if w[i] == "import":
-            end = t.close(i + 1) if i + 1 < n and w[i + 1] == "(" else next((k for k in range(i, n) if t.kinds[k] == "nl"), n - 1)
+            end = _whole(t, i + 1, t.close(i + 1)) if i + 1 < n and w[i + 1] == "(" else next((k for k in range(i, n) if t.kinds[k] == "nl"), n - 1)
             for k in range(i + 1, end + 1):
                 if t.kinds[k] == "text":
                     path = w[k][1:-1]
@@ -132,7 +137,7 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
             params = t.split(k + 1, e)
             body = next((j for j in range(e, n) if w[j] == "{" and (w[j - 1] not in ("interface", "struct"))), n - 1)
             result = "".join(x + " " for x in t.split(e + 1, body)).strip()
-            stop = t.close(body) if w[body] == "{" else body
+            stop = _whole(t, body, t.close(body)) if w[body] == "{" else body
             kind = "method" if receiver else "init_function" if name == "init" else "function_declaration"
             out["nodes"].append(_row(kind, name, fqn, t.lines[i], t.lines[stop], modifier="public" if name[:1].isupper() else "private", params=params, return_type=result))
             for p in params:
@@ -147,7 +152,7 @@ def extract_go(text: str, module: str) -> dict[str, list[dict]]:
         elif w[i] == "type" and i + 2 < n and t.kinds[i + 1] == "name":
             name = w[i + 1]
             kind = {"struct": "struct_definition", "interface": "interface"}.get(w[i + 2], "type_alias")
-            end = t.close(i + 3) if kind != "type_alias" and i + 3 < n and w[i + 3] == "{" else i + 2
+            end = _whole(t, i + 3, t.close(i + 3)) if kind != "type_alias" and i + 3 < n and w[i + 3] == "{" else i + 2
             out["nodes"].append(_row(kind, name, f"{module}.{name}", t.lines[i], t.lines[min(end, n - 1)], modifier="public" if name[:1].isupper() else "private"))
             if kind == "struct_definition":
                 line: list[str] = []
