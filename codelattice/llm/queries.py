@@ -29,7 +29,7 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The invalid files with cause, cost of repair (a lower bound) and the line of the first edit."""
+    """The invalid files with cause, cost of repair (the sum of its units' least costs) and the line of the first edit."""
     checked = check.check_files(table(spark, sf_dir, "source_files"), "file_id", "file_path", "source_code", details=True)
     return checked.where("invalid").select("file_id", "language", "cause", "cost", "line")
 

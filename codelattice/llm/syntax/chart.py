@@ -1,7 +1,9 @@
 """A chart parser for context-free grammars that finds derivations of least edit cost.
 
 Items are dotted rules with the place where they began. Cost 1 is charged for a token inserted, deleted or replaced. The chart is
-explored in order of cost: ``derives`` explores the part of cost 0, ``repair`` goes on until the cheapest repair is found.
+explored in order of cost: ``derives`` explores the part of cost 0, ``repair`` goes on until the cheapest repair is found, whatever its
+cost and the sequence's length. An ``Outlook`` tells what the rest of the sequence costs at least, which keeps that search narrow; where
+it grows wide all the same, ``Spans`` takes over, which is as exact.
 
 Grammars are written as ``name = alternative | alternative`` with ``'token'`` or ``TOKEN`` for terminals, ``( )`` for groups and
 ``? * +`` behind a symbol. A token may stand for several terminals (a name that is also a soft keyword, a bracketed group that is
@@ -14,6 +16,13 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+
+from codelattice.llm.syntax.spans import Spans
+
+#: Above every cost.
+_FAR = 10**8
+
 
 @dataclass(frozen=True)
 class Edit:
@@ -35,6 +44,8 @@ class Grammar:
                 lhs, _, body = line.partition("=")
                 self._read(lhs.strip(), body)
         self._sets: dict[str, frozenset[int]] = {}
+        self._outlooks: dict[int, Outlook] = {}
+        self._spans: dict[int, Spans] = {}
         self._finish()
         for token, names in (means or {}).items():
             self.means(token, names)
@@ -202,47 +213,72 @@ class Grammar:
             now = later
         return done, len(tokens)
 
-    def repair(self, tokens: Sequence[str], start: str, limit: int = 3) -> tuple[int, list[Edit]]:
-        """The least cost of turning the tokens into a derivation of ``start``, and such edits; limit + 1 if it costs more."""
-        for most in range(limit + 1):
-            got = self._within(tokens, start, most)
-            if got is not None:
-                return got
+    def repair(self, tokens: Sequence[str], start: str, limit: int | None = None) -> tuple[int, list[Edit]]:
+        """The least cost of turning the tokens into a derivation of ``start``, and such edits; with a ``limit``, limit + 1 if it costs more."""
+        root, terms = self._ids[start], [self._terms(t) for t in tokens]
+        outlook = self._outlooks.get(root)
+        if outlook is None:
+            outlook = self._outlooks[root] = Outlook(self, root)
+        rest = outlook.costs(terms)
+        most = int(min(rest[0][outlook.kind[s]] for s, _ in self.starts[root]))
+        self._spare = min(100 * (len(tokens) + 1) * (1 + len(tokens) // 30), 200_000 + 5_000 * len(tokens))
+        try:
+            while limit is None or most <= limit:
+                got = self._within(tokens, terms, root, most, outlook.kind, rest)
+                if got is not None:
+                    return got
+                most += 1
+        except _Wide:  # computing the cost of every span is less work by now, or takes less memory
+            spans = self._spans.get(root)
+            if spans is None:
+                spans = self._spans[root] = Spans(self, root)
+            cost, edits = spans.repair(terms)
+            if limit is None or cost <= limit:
+                names = {i: s.strip("'") for s, i in self._ids.items()}
+                return cost, [Edit(k, at, tokens[at] if sym is None else names[sym]) for k, at, sym in edits]
         return limit + 1, [Edit("replace", self.derives(tokens, start)[1], "")]
 
-    def _within(self, tokens: Sequence[str], start: str, limit: int) -> tuple[int, list[Edit]] | None:
-        root, n = self._ids[start], len(tokens)
+    def _within(self, tokens: Sequence[str], terms: list[frozenset[int]], root: int, limit: int, kind: list[int], rest: np.ndarray) -> tuple[int, list[Edit]] | None:
+        """The cheapest repair if it costs ``limit`` at most; items whose cost and bound of the rest exceed it are left out."""
+        n = len(tokens)
         names = {i: s for s, i in self._ids.items()}
-        terms = [self._terms(t) for t in tokens] + [frozenset()]
         waits: list[dict[int, dict[tuple[int, int], int]]] = [{} for _ in range(n + 1)]
         base: list[dict[int, int]] = [{} for _ in range(n + 1)]  # the least cost before a symbol that is predicted here
         inside: list[dict[tuple[int, int], int]] = [{} for _ in range(n + 1)]
         back: dict[tuple[int, tuple[int, int]], tuple] = {}
-        queue: list[list[list[tuple[tuple[int, int], int]]]] = [[[] for _ in range(limit + 1)] for _ in range(n + 1)]
+        queue: list[dict[int, list[tuple[tuple[int, int], int]]]] = [{} for _ in range(n + 1)]  # by total cost
+        here, ahead = rest[0].tolist(), rest[0].tolist()
 
-        def push(pos: int, item: tuple[int, int], cost: int, total: int, how: tuple) -> None:
-            if total <= limit and cost < inside[pos].get(item, limit + 1):
-                inside[pos][item] = cost
-                back[pos, item] = how
-                queue[pos][total].append((item, cost))
+        def push(to: int, item: tuple[int, int], cost: int, total: int, how: tuple) -> None:
+            if total + (here if to == pos else ahead)[kind[item[0]]] <= limit and cost < inside[to].get(item, limit + 1):
+                inside[to][item] = cost
+                back[to, item] = how
+                queue[to].setdefault(total, []).append((item, cost))
 
+        pos = 0
         base[0][root] = 0
         for s, _ in self.starts[root]:
             push(0, (s, 0), 0, 0, ())
         for pos in range(n + 1):
-            term = terms[pos]
-            for total in range(limit + 1):
+            term = terms[pos] if pos < n else frozenset()
+            here, ahead = ahead, rest[min(pos + 1, n)].tolist()
+            while queue[pos]:
+                total = min(queue[pos])
                 todo = queue[pos][total]
                 while todo:
                     item, cost = todo.pop()
                     if inside[pos][item] < cost:
                         continue
+                    self._spare -= 1
+                    if self._spare < 0:
+                        raise _Wide
                     state, origin = item
                     sym = self.next[state]
                     if sym < 0:
                         head = self.lhs[state]
                         if origin < pos:
                             for w, c in waits[origin].get(head, {}).items():
+                                self._spare -= 1
                                 push(pos, (w[0] + 1, w[1]), c + cost, base[w[1]][self.lhs[w[0]]] + c + cost, ("done", origin, w, item))
                         if pos < n and head == root and origin == 0:
                             push(pos + 1, item, cost + 1, total + 1, ("delete", pos, item))
@@ -262,21 +298,19 @@ class Grammar:
                         known[item] = cost
                     if total < base[pos].get(sym, limit + 1):
                         base[pos][sym] = total
-                        room = limit - total
-                        for s, k in self.starts[sym]:
-                            first, empty = self._rule_first[k]
-                            if room or empty or not first.isdisjoint(term):
-                                if inside[pos].get((s, pos)) == 0:  # known, but now from a cheaper side
-                                    queue[pos][total].append(((s, pos), 0))
-                                push(pos, (s, pos), 0, total, ())
+                        for s, _ in self.starts[sym]:
+                            if inside[pos].get((s, pos)) == 0:  # known, but now from a cheaper side
+                                todo.append(((s, pos), 0))
+                            push(pos, (s, pos), 0, total, ())
                     push(pos, after, cost + self.least[sym], total + self.least[sym], ("insert", pos, item, sym))
+                del queue[pos][total]
         ends = [(c, i) for i, c in inside[n].items() if i[1] == 0 and self.next[i[0]] < 0 and self.lhs[i[0]] == root]
         if not ends:
             return None
         cost, item = min(ends)
         edits: list[Edit] = []
         stack = [(n, item)]
-        while stack and len(edits) <= 4 * limit + 4:
+        while stack:
             at = stack.pop()
             how = back.get(at, ())
             if not how:
@@ -287,4 +321,87 @@ class Grammar:
                 if how[0] != "take" and not (how[0] == "insert" and self.least[how[3]] == 0):
                     edits.append(Edit(how[0], how[1], names[how[3]].strip("'") if len(how) > 3 else tokens[how[1]]))
                 stack.append((how[1], how[2]))
-        return cost, sorted(edits, key=lambda e: e.at)
+        return cost, sorted(reversed(edits), key=lambda e: e.at)  # they came from the right
+
+
+class _Wide(Exception):
+    """The search by cost looks at too many items."""
+
+
+class Outlook:
+    """Lower bounds of the cost of a sequence's rest, from each state of the grammar.
+
+    The grammar is read as a finite automaton: a symbol's end goes on behind any use of the symbol. That allows all that the grammar
+    allows, so no repair costs less than the bound.
+    """
+
+    def __init__(self, grammar: Grammar, root: int) -> None:
+        nxt, lhs, starts = grammar.next, grammar.lhs, grammar.starts
+        reached, todo = {root}, [root]
+        states: list[int] = []
+        uses: dict[int, list[int]] = {}  # the states behind a symbol's uses
+        while todo:
+            for s, _ in starts[todo.pop()]:
+                while True:
+                    states.append(s)
+                    sym = nxt[s]
+                    if sym < 0:
+                        break
+                    uses.setdefault(sym, []).append(s + 1)
+                    if sym not in grammar.terminals and sym not in reached:
+                        reached.add(sym)
+                        todo.append(sym)
+                    s += 1
+        steps = [s for s in states if nxt[s] in grammar.terminals]
+        end = len(steps)  # beside the steps over a terminal, the sequence's end
+        masks = [0] * len(nxt)  # of each state: the steps that may come next
+        for e, s in enumerate(steps):
+            masks[s] = 1 << e
+        changed = True
+        while changed:
+            changed = False
+            for s in reversed(states):
+                sym, mask = nxt[s], masks[s]
+                if sym < 0:
+                    for t in uses.get(lhs[s], ()):
+                        mask |= masks[t]
+                    mask |= (lhs[s] == root) << end
+                elif sym not in grammar.terminals:
+                    for t, _ in starts[sym]:
+                        mask |= masks[t]
+                if mask != masks[s]:
+                    masks[s] = mask
+                    changed = True
+        kinds: dict[int, int] = {}
+        self.kind = [kinds.setdefault(masks[s], len(kinds)) if masks[s] else -1 for s in range(len(nxt))]
+        self._may = np.array([[mask >> e & 1 for e in range(end + 1)] for mask in kinds], bool)
+        self._after = np.array([self.kind[s + 1] for s in steps], np.int64)
+        self._symbols = [nxt[s] for s in steps]
+        # the fewest insertions that lead from one step to another
+        self._far = np.full((end + 1, end + 1), _FAR, np.int32)
+        now, links = np.eye(end + 1, dtype=np.float32), np.zeros((end + 1, end + 1), np.float32)
+        links[:end] = self._may[self._after]
+        cost = 0
+        while now.any():
+            self._far[now > 0] = cost
+            now = ((now @ links > 0) & (self._far == _FAR)).astype(np.float32)
+            cost += 1
+
+    def costs(self, terms: Sequence[frozenset[int]]) -> np.ndarray:
+        """For each place of the sequence and each kind of state the least cost of what is left."""
+        n, end = len(terms), len(self._symbols)
+        out = np.empty((n + 1, len(self._may)), np.int32)
+        misses: dict[frozenset[int], np.ndarray] = {}
+        step = np.full(end + 1, _FAR, np.int32)  # the cost of the rest if a step is the next that is not inserted
+        step[end] = 0
+        for pos in range(n, -1, -1):
+            if pos < n:
+                term = terms[pos]
+                miss = misses.get(term)
+                if miss is None:
+                    miss = misses[term] = np.array([s not in term for s in self._symbols], np.int32)
+                step = at + 1
+                step[:end] = np.minimum(step[:end], out[pos + 1][self._after] + miss)
+            at = (self._far + step).min(axis=1)
+            out[pos] = np.where(self._may, at, _FAR).min(axis=1)
+        return out

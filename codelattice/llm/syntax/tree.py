@@ -9,8 +9,6 @@ from codelattice.llm.syntax.chart import Edit, Grammar
 
 #: Entries of a table of unit signatures; such tables are emptied when full.
 MEMO = 200_000
-#: Units longer than this are located by the chart alone, without the search for the cheapest repair.
-LONGEST_REPAIR = 1_000
 
 
 @dataclass
@@ -57,9 +55,6 @@ class Memo:
         return got
 
 
-def least_repair(grammar: Grammar, fault: Fault, limit: int) -> tuple[int, list[Edit]]:
-    """The cheapest repair of a fault."""
-    if not fault.tokens or len(fault.tokens) > LONGEST_REPAIR:
-        at = grammar.derives(fault.tokens, fault.symbol)[1] if fault.tokens else 0
-        return limit + 1, [Edit("replace", at, "")]
-    return grammar.repair(fault.tokens, fault.symbol, limit)
+def least_repair(grammar: Grammar, fault: Fault) -> tuple[int, list[Edit]]:
+    """The cheapest repair of a fault, of any length and cost."""
+    return grammar.repair(fault.tokens, fault.symbol)

@@ -9,6 +9,7 @@ import pytest
 
 from codelattice.llm.syntax import check, dockerfile, golang, java, python3, yamlfile
 from codelattice.llm.syntax.chart import Grammar
+from codelattice.llm.syntax.spans import Spans
 
 SMALL = Grammar("s = 'a' x? 'c' | '(' s ')'\nx = 'b'+")
 
@@ -340,3 +341,54 @@ def test_frame(spark):
     rates = {(r.repo, r.language): (r.files, r.invalid_files, r.truncated) for r in check.invalid_rates(df, "file_id", "file_path", "source_code", "repo").collect()}
     assert rates[("r1", "python")] == (2, 1, 1) and rates[("r2", "go")] == (1, 0, 0)
     assert check.check_files(df.limit(0), "file_id", "file_path", "source_code").count() == 0
+
+
+def edited(tokens, edits):
+    """Tokens after edits that put in terminals alone."""
+    out = []
+    for at in range(len(tokens) + 1):
+        here = [e for e in edits if e.at == at]
+        out += [e.token for e in here if e.kind == "insert"]
+        if at < len(tokens):
+            out += [e.token for e in here if e.kind == "replace"] or [tokens[at]] * (not any(e.kind == "delete" for e in here))
+    return out
+
+
+def test_repair_of_any_cost():
+    """Beyond two edits the cost is told exactly, by the search and by the spans alike."""
+    rnd = random.Random(8)
+    spans = Spans(SMALL, SMALL._ids["s"])
+    for t in [")))", "))))", "bbbb", *("".join(rnd.choice("abc()") for _ in range(rnd.randrange(0, 5))) for _ in range(30))]:
+        cost, edits = SMALL.repair(t, "s")
+        assert cost == brute_cost(t, 3) == spans.repair([SMALL._terms(c) for c in t])[0], t
+        assert len(edits) == cost and SMALL.derives(edited(t, edits), "s")[0], t
+    assert SMALL.repair(")" * 30, "s")[0] == SMALL.repair("(" * 30, "s")[0] == 16  # fourteen pairs around two letters
+
+
+def test_search_and_spans_agree():
+    rnd = random.Random(9)
+    for grammar, symbol, words in ((python3.LINES, "simples", ["NAME", "=", "(", ")", ",", "for", "in", ":", "NUM"]), (golang.GRAMMAR, "stmt", ["NAME", "=", "(", ")", ",", "if", "LIT", ";"])):
+        for _ in range(12):
+            t = [rnd.choice(words) for _ in range(rnd.randrange(1, 14))]
+            cost, edits = grammar.repair(t, symbol)
+            other, some = Spans(grammar, grammar._ids[symbol]).repair([grammar._terms(w) for w in t])
+            assert cost == other == sum(1 if kind != "insert" else grammar.least[sym] for kind, _, sym in some), t
+
+
+def test_repair_beyond_a_thousand_tokens():
+    """Five pairs of names without an operator between them, in one line of 1,519 tokens."""
+    text = "x = [" + ("a b, " + "1, " * 150) * 5 + "]\n"
+    outline = check.outline_of("python", text)
+    assert [len(f.tokens) for f in outline.faults] == [1519]
+    edits = check.edits_of("python", text, outline.faults[0])[1]
+    pairs = [m.start() for m in re.finditer("a b", text)]
+    assert check.diagnose("python", text, outline)[1] == len(edits) == 5
+    assert all(pair <= at <= pair + 3 for pair, (at, _) in zip(pairs, edits, strict=True))
+
+
+def test_spans_kept_in_a_file(monkeypatch):
+    t = [SMALL._terms(c) for c in "((abbc)c)a"]
+    spans = Spans(SMALL, SMALL._ids["s"])
+    want = spans.repair(t)
+    monkeypatch.setattr("codelattice.llm.syntax.spans.IN_MEMORY", 0)
+    assert spans.repair(t) == want
