@@ -2,15 +2,19 @@
 
 Closures grow by rounds: the frontier is joined to the edges, what is new is kept. Every few rounds the state is written to the
 shared folder (a reliable checkpoint), which keeps plans short and survives lost executors. Rounds end when nothing is new; a
-depth bound holds only where the caller gives one. A round's size is checked with a count, nothing else reaches the driver.
+depth bound holds only where the caller gives one. A round's size is checked with a count, nothing else reaches the driver. Paths
+are searched from the side that has fewer ends, and made for the pairs that are asked for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.session import cut
+from codelattice.session import cut, stored
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -67,10 +71,43 @@ def transitive_callers(edges: DataFrame, start: DataFrame, max_depth: int | None
 def find_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(src, dst, path)``: the shortest path of each pair, of several the one that comes first by its nodes; pairs without one are left out.
 
-    Paths grow only from the pairs' sources, one node a round, one path for each (source, node).
+    With no more destinations than sources, each destination's search goes back over the edges and keeps one next node for each
+    (destination, node); the pairs then walk along. Otherwise whole paths grow from the sources.
     """
-    seen = paths_from(edges, pairs.select(F.col("src").alias("root")), max_depth)
-    return pairs.join(seen, (pairs["src"] == seen["root"]) & (pairs["dst"] == seen["node"])).select(pairs["src"], pairs["dst"], "path")
+    pairs = cut(pairs.select("src", "dst"))
+    ends = pairs.agg(F.countDistinct("src").alias("src"), F.countDistinct("dst").alias("dst")).first()
+    if ends["dst"] > ends["src"]:
+        seen = paths_from(edges, pairs.select(F.col("src").alias("root")), max_depth)
+        return pairs.join(seen, (pairs["src"] == seen["root"]) & (pairs["dst"] == seen["node"])).select(pairs["src"], pairs["dst"], "path")
+    walk = pairs.dropna().select("src", F.col("dst").alias("root"), F.col("src").alias("node"), F.array("src").alias("path"))
+    for i, level in enumerate(reversed(steps_to(edges, pairs.select(F.col("dst").alias("root")), max_depth)), 1):
+        on = F.col("next").isNotNull()
+        walk = walk.join(level, ["root", "node"], "left").select("src", "root", F.coalesce("next", "node").alias("node"), F.when(on, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"))
+        if i % 5 == 0:
+            walk = cut(walk)
+    return walk.where("node = root").select("src", F.col("root").alias("dst"), "path")
+
+
+def steps_to(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> list[DataFrame]:
+    """``(root, node, next)`` for each distance from 1: the nodes from which the root is that far, and the least next node of a shortest path there."""
+    e = stored(edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b")).dropna().distinct(), "edges")
+    front = roots.select("root").dropna().distinct().withColumn("node", F.col("root"))
+    seen, levels = [(0, front)], []
+    while max_depth is None or len(levels) < max_depth:
+        step = front.join(e, F.col("node") == F.col("_b")).groupBy("root", F.col("_a").alias("node")).agg(F.min("_b").alias("next"))
+        new = stored(step.join(_union(x for _, x in seen), ["root", "node"], "left_anti"), "steps")
+        if new.isEmpty():
+            break
+        levels.append(new)
+        front = new.select("root", "node")
+        seen.append((0, front))
+        while len(seen) > 5 and seen[-5][0] == seen[-1][0]:  # five of a size become one: few parts, and each row is written again only so often
+            seen[-5:] = [(seen[-1][0] + 1, cut(_union(x for _, x in seen[-5:])))]
+    return levels
+
+
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def paths_from(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -82,6 +82,43 @@ def test_closures_have_no_depth_bound(spark):
     assert all(inspect.signature(f).parameters["max_depth"].default is None for f in (traversal.closure, traversal.reachable, traversal.transitive_callers))
 
 
+def test_paths_take_no_rounds_for_what_leads_nowhere(spark, monkeypatch):
+    """What a source reaches beside the path, however deep, costs nothing."""
+    rounds = []
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(traversal, name, lambda df, *_, f=getattr(traversal, name, None): (rounds.append(1), f(df, *_))[1], raising=False)
+    side = [f"n{i:02}" for i in range(40)]
+    e = edges(spark, ("a", "b"), ("b", "z"), ("a", "c"), ("c", "z"), ("a", side[0]), *zip(side, side[1:], strict=False))
+    got = traversal.find_path(e, spark.createDataFrame([("a", "z"), ("c", "z")], "src string, dst string"))
+    assert sorted(tuple(r.path) for r in got.collect()) == [("a", "b", "z"), ("c", "z")] and len(rounds) < 10
+
+
+def test_paths_against_brute_force(spark):
+    """Random graphs with cycles and loops, from both sides: repeated pairs, a node to itself, pairs without a path, missing ends, depths."""
+    import random
+
+    rnd = random.Random(11)
+    pairs_of = lambda a, b: [(x, y) for x in a for y in b] + [(a[0], b[0]), (None, b[0]), (a[0], None)]
+    for n, ends, depth in ((30, ((3, 9, 10, 11), (10, 2)), None), (30, ((3, 10), (2, 10, 29, 7)), None), (60, (tuple(range(0, 60, 4)), (4, 33)), 3)):
+        arcs = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(2 * n)}
+        asked = pairs_of(*ends)
+
+        def best(a, b):
+            paths = [(a,)]
+            for _ in range(n if depth is None else depth + 1):
+                if done := [p for p in paths if p[-1] == b]:
+                    return min(done)
+                first = {}
+                for p in sorted((*p, y) for p in paths for x, y in arcs if x == p[-1]):  # noqa: B023
+                    first.setdefault(p[-1], p)
+                paths = list(first.values())
+
+        e = spark.createDataFrame([*arcs, (None, 1), (2, None)], "src bigint, dst bigint")
+        got = traversal.find_path(e, spark.createDataFrame(asked, "src bigint, dst bigint"), depth)
+        want = sorted((a, b, p) for a, b in asked if a is not None and b is not None and (p := best(a, b)))  # noqa: B023
+        assert sorted((r.src, r.dst, tuple(r.path)) for r in got.collect()) == want and want
+
+
 def test_asof_and_edges(spark):
     defs = spark.createDataFrame([("f", "x", 1), ("f", "x", 5), ("f", "y", 9)], "fqn string, var string, line int")
     uses = spark.createDataFrame([("f", "x", 1), ("f", "x", 4), ("f", "x", 5), ("f", "y", 8), ("g", "x", 3)], "fqn string, var string, line int")
